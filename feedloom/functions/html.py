@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .text import let, normalize_ws, text_or_empty
@@ -78,12 +79,12 @@ def page_text(markup: str) -> str:
     return "".join(collector.pieces)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _parse_text(markup: pd.Series) -> pd.Series:
     return markup.map(page_text, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _unescape_all(value: pd.Series) -> pd.Series:
     return value.map(html_std.unescape, na_action="ignore")
 

@@ -48,29 +48,41 @@ def _clean_query(query: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """One spelling per address: what a posting's URL is compared by."""
 
-    def build(u: Column) -> Column:
+    # Each stage binds its parts once; the next stage only refers to them.
+    def split(u: Column) -> Column:
         part = lambda i: F.regexp_extract(u, _PARTS, i)
-        scheme = F.lower(part(1))
-        host = F.lower(part(2))
-        path = F.when(
-            scheme.isin(_PARAM_SCHEMES), F.regexp_replace(part(3), ";[^/]*$", "")
-        ).otherwise(part(3))
-        path = F.rtrim(path, F.lit("/"))
-        query = _clean_query(part(4))
-        rooted = (host != "") & (path != "") & ~F.startswith(path, F.lit("/"))
+        return F.struct(
+            F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"),
+            part(3).alias("path"), part(4).alias("query"),
+        )
+
+    def clean(p: Column) -> Column:
+        bare = F.when(
+            p["scheme"].isin(_PARAM_SCHEMES), F.regexp_replace(p["path"], ";[^/]*$", "")
+        ).otherwise(p["path"])
+        return F.struct(
+            F.when(p["scheme"] == "", F.lit("https")).otherwise(p["scheme"]).alias("scheme"),
+            p["host"].alias("host"),
+            F.rtrim(bare, F.lit("/")).alias("path"),
+            F.when(p["query"] == "", F.lit("")).otherwise(_clean_query(p["query"])).alias("query"),
+        )
+
+    def build(p: Column) -> Column:
+        rooted = F.startswith(p["path"], F.lit("/")) | (p["path"] == "")
         return F.concat(
-            F.when(scheme == "", F.lit("https")).otherwise(scheme),
-            F.lit(":"),
-            F.when((host != "") | (path == "") | F.startswith(path, F.lit("/")), F.lit("//")).otherwise(F.lit("")),
-            host,
-            F.when(rooted, F.lit("/")).otherwise(F.lit("")),
-            path,
-            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+            p["scheme"],
+            F.when((p["host"] != "") | rooted, F.lit("://")).otherwise(F.lit(":")),
+            p["host"],
+            F.when((p["host"] != "") & ~rooted, F.lit("/")).otherwise(F.lit("")),
+            p["path"],
+            F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"])),
         )
 
     # Tabs and line breaks inside an address carry no meaning.
     cleaned = F.translate(strip_ws(text_or_empty(url)), "\t\r\n", "")
-    return F.when(text_or_empty(url) == "", F.lit("")).otherwise(let(cleaned, build))
+    return F.when(text_or_empty(url) == "", F.lit("")).otherwise(
+        let(let(let(cleaned, split), clean), build)
+    )
 
 
 def absolute_url(base: Column, href: Column) -> Column:

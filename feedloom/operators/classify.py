@@ -170,7 +170,7 @@ def family(title: Column, pack: RulePack) -> Column:
     """First matching family of the pack, else `other`."""
     chain = F
     for name, pattern in pack.families:
-        chain = chain.when(title.rlike("(?i)" + _ascii_bounds(pattern)), F.lit(name))
+        chain = chain.when(title.rlike("(?iu)" + _ascii_bounds(pattern)), F.lit(name))
     return chain.otherwise(F.lit("other"))
 
 

@@ -145,6 +145,26 @@ def fold(run_log: DataFrame) -> DataFrame:
     )
 
 
+def continue_fold(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Combine the folds of two consecutive parts of a run log."""
+    a = earlier.select("company", F.struct(*[c for c in earlier.columns if c != "company"]).alias("a"))
+    b = later.select("company", F.struct(*[c for c in later.columns if c != "company"]).alias("b"))
+    both = a.join(b, "company", "full_outer")
+    newest = lambda name: F.when(F.col("b").isNotNull(), F.col(f"b.{name}")).otherwise(F.col(f"a.{name}"))
+    added = lambda name: F.coalesce(f"a.{name}", F.lit(0)) + F.coalesce(f"b.{name}", F.lit(0))
+    return both.select(
+        "company",
+        newest("last_attempt").alias("last_attempt"),
+        F.coalesce("b.last_success", "a.last_success").alias("last_success"),
+        newest("status").alias("status"),
+        newest("jobs_fetched").alias("jobs_fetched"),
+        F.when(F.col("b.last_success").isNotNull(), F.col("b.consecutive_failures"))
+        .otherwise(added("consecutive_failures"))
+        .alias("consecutive_failures"),
+        added("runs").alias("runs"),
+    )
+
+
 def problems(health: DataFrame) -> DataFrame:
     """Failed sources, then skipped ones; the message is cut for a table cell."""
     return health.where(F.col("status").isin("failed", "skipped")).select(

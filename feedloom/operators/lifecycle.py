@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import utc_stamp
 from ..functions.urls import canonical_url
 from ..schema import RECORD_COLUMNS, conform_records
+from ..session import written
 from .identity import record_fingerprint, record_id
 
 TIERS = ("id", "url", "fingerprint")
@@ -84,7 +85,7 @@ def _history() -> Column:
 def resolve(fetched: DataFrame, previous: DataFrame, archived: DataFrame) -> DataFrame:
     """Which state row each fetched row is.
 
-    Returns (fetch_ord, company, own_id, rank, history): rank 1-3 is a tier of
+    Returns (fetch_ord, own_id, rank, history): rank 1-3 is a tier of
     the active state, 4-6 a tier of the archive, NULL is unknown.
     """
     side = lambda df, scope: _lookup_rows(
@@ -99,16 +100,15 @@ def resolve(fetched: DataFrame, previous: DataFrame, archived: DataFrame) -> Dat
             F.min_by("history", F.when(F.col("scope") == 1, F.col("ord"))).alias("archive"),
         )
     )
-    wanted = _lookup_rows(fetched, "fetch_ord", "company", F.col("job_id").alias("own_id"))
+    wanted = _lookup_rows(fetched, "fetch_ord", F.col("job_id").alias("own_id"))
     rank = F.when(F.col("active").isNotNull(), F.col("tier")).when(
         F.col("archive").isNotNull(), F.col("tier") + 3
     )
     candidates = wanted.join(known, ["tier", "key"], "left").select(
-        "fetch_ord", "company", "own_id",
+        "fetch_ord", "own_id",
         rank.alias("rank"), F.coalesce("active", "archive").alias("history"),
     )
     return candidates.groupBy("fetch_ord").agg(
-        F.first("company").alias("company"),
         F.first("own_id").alias("own_id"),
         F.min("rank").alias("rank"),
         F.min_by("history", "rank").alias("history"),
@@ -172,7 +172,8 @@ def merge_state(
         fetched.select("fetch_ord", "job_id", "company", "title", "location", "application_url"),
         previous, archived,
     )
-    winners = _winners(resolved, archived)
+    # Narrow, and needed by all three parts below.
+    winners = written(_winners(resolved, archived), "winners")
 
     took = fetched.drop("job_id").join(winners, "fetch_ord")
     rank, history = F.col("rank"), F.col("history")

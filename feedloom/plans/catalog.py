@@ -11,7 +11,6 @@ from ..functions.dates import (
     age_days, date_ordinal, epoch_millis_date, epoch_seconds_date, local_stamps, relative_date,
     us_date, utc_stamp,
 )
-from ..functions.html import strip_html
 from ..functions.labels import score_band
 from ..functions.paths import as_text, dig_text, fill_template
 from ..functions.text import md_escape, normalize_ws, passage, phrase_hits, truncate
@@ -399,9 +398,7 @@ def detail_enrichment_capped(spark, folder):
 
 
 # ------------------------------------------------------------------- health
-@query
-def source_health_fold(spark, folder):
-    folded = health.fold(views.run_log(spark, folder))
+def shown_health(folded: DataFrame) -> DataFrame:
     return folded.select(
         "company", utc_stamp(F.col("last_attempt")).alias("last_attempt"),
         F.coalesce(utc_stamp(F.col("last_success")), F.lit("")).alias("last_success"),
@@ -409,6 +406,11 @@ def source_health_fold(spark, folder):
     )
 
 
+@query
+def source_health_fold(spark, folder):
+    return shown_health(health.fold(views.run_log(spark, folder)))
+
+
 def folded_health(spark, folder) -> DataFrame:
     """The folded run log in the shape of a saved health table."""
     category = F.when(F.col("status") == "failed", F.lit("network_error")).when(
@@ -571,10 +573,3 @@ def explorer_cards(spark, folder):
     rows = judged(spark, folder)
     shown = report.explorer_view(rows, rows.where("date_posted >= '1998-01-01'"))
     return shown.select("job_id", "is_new", "sponsorship_label", "evidence_line")
-
-
-# -------------------------------------------------------------------- pages
-@query
-def page_text(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", "html")
-    return strip_html(pages, "html").withColumnRenamed("html", "text")

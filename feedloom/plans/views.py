@@ -42,10 +42,10 @@ def doc_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
+def records(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> DataFrame:
     """Documents as full records: place from nation/region, date from orders, URL
-    from pages."""
-    docs = table(spark, folder, "documents")
+    from pages.  `docs` is another batch of documents (a micro-batch)."""
+    docs = table(spark, folder, "documents") if docs is None else docs
     places = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select("n_nationkey", "n_name", "r_name")
@@ -101,10 +101,11 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def run_log(spark: SparkSession, folder: str) -> DataFrame:
+def run_log(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Events as a run log: a user is a source, an event is one run of it."""
+    events = table(spark, folder, "events") if events is None else events
     kind, rows = F.col("event_type"), F.floor("value")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("company"),
         F.col("ts").alias("run_ts"),
         F.col("event_id").alias("run_id"),
@@ -125,7 +126,7 @@ def ok_sources(spark: SparkSession, folder: str) -> DataFrame:
     return last.where(F.col("status").isin("ok", "ok_empty")).select("company")
 
 
-def _history(spark: SparkSession, folder: str) -> DataFrame:
+def _history(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> DataFrame:
     """Records with what earlier runs knew of them.
 
     Labelled as poor, or German and unlabelled: closed earlier.  French and
@@ -134,7 +135,7 @@ def _history(spark: SparkSession, folder: str) -> DataFrame:
     """
     labels = table(spark, folder, "labels")
     quality = F.col("quality")
-    return records(spark, folder).join(labels, "doc_id", "left").withColumns(
+    return records(spark, folder, docs).join(labels, "doc_id", "left").withColumns(
         {
             "slot": F.when((quality == 0) | (quality.isNull() & (F.col("lang") == "de")), F.lit("archive"))
             .when(quality.isNull() & (F.col("lang") == "fr"), F.lit("unseen"))
@@ -176,7 +177,7 @@ def archived_state(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def fetched(spark: SparkSession, folder: str) -> DataFrame:
+def fetched(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> DataFrame:
     """What this run fetched from the sources that answered.
 
     Spanish feeds renumbered their postings and tag their links; well-labelled
@@ -189,7 +190,7 @@ def fetched(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(url, F.when(F.contains(url, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("utm_source=x")),
     ).otherwise(url)
     listed = (
-        _history(spark, folder)
+        _history(spark, folder, docs)
         .where(~F.col("left_feed"))
         .join(ok_sources(spark, folder), "company", "left_semi")
         .withColumns(
@@ -217,3 +218,58 @@ def year_texts(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Expected completion: May "), year))
         .alias("description"),
     )
+
+
+# ------------------------------------------------------------ landed payloads
+def _escape(text: Column) -> Column:
+    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def feed_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the pieces the payload builders put together."""
+    text = F.col("text")
+    return table(spark, folder, "documents").select(
+        "doc_id", "lang", "n_chars",
+        F.col("source").alias("company"),
+        F.col("doc_id").cast("string").alias("id"),
+        first_sentence(text).alias("title"),
+        F.concat(F.lit("<p>"), _escape(text), F.lit("</p>")).alias("markup"),
+        F.concat(F.lit("<ul><li>"), F.col("lang"), F.lit("</li><li>"), F.col("n_chars").cast("string"), F.lit("</li></ul>")).alias("needs"),
+        (F.lit(1700000000) + F.col("n_chars") * 3600).alias("epoch"),
+    )
+
+
+def landed(docs: DataFrame, source_type: str, preset: str, body: Column) -> DataFrame:
+    """One landed page per document; the document number is the page number."""
+    return docs.select(
+        "company", F.lit(source_type).alias("source_type"), F.lit(preset).alias("preset"),
+        F.lit(0).alias("query_no"), F.col("doc_id").alias("page_no"),
+        F.lit(FETCH_TS).cast("timestamp").alias("fetched_at"),
+        F.concat(F.lit("https://feeds.example.com/"), F.col("id")).alias("url"),
+        body.alias("body"), F.lit(None).cast("string").alias("context_json"),
+    )
+
+
+def feed_sources(docs: DataFrame, source_type: str, identifier: str) -> DataFrame:
+    """The sources of a landed feed, all of one type, without a place rule."""
+    return docs.select(F.col("company").alias("name")).distinct().select(
+        _source_number().alias("source_no"), "name", F.lit(True).alias("enabled"), F.lit(1).alias("priority"),
+        F.concat(F.lit("https://"), F.col("name"), F.lit(".example.com/jobs")).alias("careers_url"),
+        F.lit(source_type).alias("source_type"), F.lit(identifier).alias("source_identifier"),
+        F.array().cast("array<string>").alias("locations"), F.lit("").alias("notes"),
+    )
+
+
+def feed_details(spark: SparkSession, folder: str, docs: DataFrame, body: Column) -> DataFrame:
+    """Landed detail answers exist for the labelled documents."""
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id").select("company", F.col("detail_key"), body.alias("body"))
+
+
+def page_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """Web pages with their host as the source."""
+    return table(spark, folder, "pages").select(
+        F.col("page_id").alias("doc_id"), F.col("page_id").cast("string").alias("id"),
+        F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("company"), "url", "html",
+    )

@@ -77,7 +77,7 @@ SOURCE_SCHEMA = T.StructType.fromDDL(
     "source_type STRING, source_identifier STRING, locations ARRAY<STRING>, notes STRING"
 )
 LANDING_SCHEMA = T.StructType.fromDDL(
-    "company STRING, source_type STRING, preset STRING, query_no INT, page_no INT, "
+    "company STRING, source_type STRING, preset STRING, query_no INT, page_no BIGINT, "
     "fetched_at TIMESTAMP, url STRING, body STRING, context_json STRING"
 )
 # Landed detail answers: `detail_key` is the listing's key for the posting.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does the run-time sizing: it turns a sort-merge join into
 # a broadcast join only after measuring the side, splits skewed join partitions
@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Pages can be large: keep Arrow batches small so a batch fits a worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Expressions here are composed of many small calls; recording a call site
+    # for each of them would dominate the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -45,3 +48,15 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a result several plans share to the shared folder and read it back.
+
+    A shared sub-plan is otherwise computed once per consumer (each consumer
+    prunes other columns, so Spark finds no exchange to reuse).  The table also
+    survives lost executors and gives the planner its real size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

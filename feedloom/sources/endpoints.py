@@ -295,13 +295,24 @@ def _mapped_source(pages: DataFrame, config: dict) -> Normalized:
 
 @register("json")
 def generic(pages: DataFrame, ctx: Context) -> Normalized:
-    """All configured JSON sources; a source without a mapping is a bad config."""
-    configs = {n: c for n, c in ctx.configs.items() if c.get("request")}
-    parts = [_mapped_source(pages.where(F.col("company") == n), c) for n, c in configs.items()]
-    rest = pages.where(~F.col("company").isin(list(configs))).withColumn("category", F.lit("invalid_config"))
-    if not parts:
-        parts = [_mapped_source(pages.where(F.lit(False)), {})]
+    """All configured JSON sources; a source without a mapping is a bad config.
+
+    Sources that share a mapping share one plan; `*` is the mapping of all
+    sources without one of their own.
+    """
+    named = {n: c for n, c in ctx.configs.items() if c.get("request") and n != "*"}
+    groups: list[tuple[dict, list[str]]] = []
+    for name, config in named.items():
+        for shared, members in groups:
+            if shared == config:
+                members.append(name)
+                break
+        else:
+            groups.append((config, [name]))
+    parts = [_mapped_source(pages.where(F.col("company").isin(m)), c) for c, m in groups]
+    rest = pages.where(~F.col("company").isin(list(named)))
+    parts.append(_mapped_source(rest, ctx.configs.get("*", {})))
     return Normalized(
         reduce(DataFrame.unionByName, [p.records for p in parts]),
-        reduce(DataFrame.unionByName, [*[p.problems for p in parts], problem_rows(rest)]),
+        reduce(DataFrame.unionByName, [p.problems for p in parts]),
     )

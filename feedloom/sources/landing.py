@@ -25,8 +25,8 @@ PAGE_COLUMNS = ["company", "source_type", "fetch_page", "url"]
 class Context:
     """What normalisers need besides the pages.
 
-    `configs` maps a source name to its adapter configuration (a small dict
-    from the configuration file); `details` holds landed detail answers.
+    `configs` maps a source name (`*` for all others) to its adapter
+    configuration, a small dict; `details` holds landed detail answers.
     """
 
     sources: DataFrame

@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.dates import iso_prefix
@@ -30,7 +31,7 @@ _BLOCK = (
 
 
 # ---------------------------------------------------------------- JSON-LD
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def _postings(blocks: pd.Series) -> pd.Series:
     """Every JobPosting object of a block, at any depth; NULL for bad JSON."""
 
@@ -225,7 +226,9 @@ class _RowReader(HTMLParser):
         self.captures = [c for c in self.captures if c[0] <= depth]
 
 
-_ROW_TYPE = "array<struct<title:string,link:string,location:string,date:string>>"
+_ROW_TYPE = T.ArrayType(
+    T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "location", "date")])
+)
 
 
 @pandas_udf(_ROW_TYPE)
@@ -257,7 +260,7 @@ def _read_rows(
     return pd.Series([read(*r) for r in zip(body, base, row, title, location, date)])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _read_element(body: pd.Series, selector: pd.Series) -> pd.Series:
     """Text of the first element a selector picks, NULL when there is none."""
 
@@ -276,8 +279,10 @@ def _read_element(body: pd.Series, selector: pd.Series) -> pd.Series:
 
 
 def _setting(ctx: Context, name: str, default: str = "") -> Column:
-    table = {c: str(cfg[name]) for c, cfg in ctx.configs.items() if cfg.get(name)}
-    return lookup(F.col("company"), table, F.lit(default)) if table else F.lit(default)
+    """A source's configured value; `*` configures sources without their own."""
+    table = {c: str(cfg[name]) for c, cfg in ctx.configs.items() if cfg.get(name) is not None}
+    fallback = F.lit(table.pop("*", default))
+    return lookup(F.col("company"), table, fallback) if table else fallback
 
 
 def read_rows(pages: DataFrame, ctx: Context) -> DataFrame:
@@ -315,12 +320,17 @@ def with_page_details(records: DataFrame, ctx: Context) -> DataFrame:
         _setting(ctx, "fetch_details", "True") != "False"
     )
     joined = enrich(listing, ctx.details, wanted, ["fetch_ord"], "detail_key")
-    text = _read_element(F.col("detail.body"), _setting(ctx, "detail_selector", "body"))
+    selector = _setting(ctx, "detail_selector", "body")
     return joined.withColumn(
-        "description", F.left(normalize_ws(text), F.lit(DETAIL_CHARS))
+        "description", element_text(F.col("detail.body"), selector)
     ).drop("detail", "detail_key")
 
 
+def element_text(body: Column, selector: Column) -> Column:
+    """Text of the first selected element, normalised and cut."""
+    return F.left(normalize_ws(_read_element(body, selector)), F.lit(DETAIL_CHARS))
+
+
 @register("html")
 def html_rows(pages: DataFrame, ctx: Context) -> Normalized:
     usable = (
