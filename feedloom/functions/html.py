@@ -22,16 +22,18 @@ from .text import let, normalize_ws, text_or_empty
 HIDDEN = frozenset({"script", "style", "template", "rt", "rp"})
 
 # Markup whose removal needs no parser: comments, hidden elements, whole tags.
+# All alternatives share their first character, so other text is skipped fast.
 _BLOCKS = (
-    r"(?is)<!--.*?-->|<(script|style)\b[^<>]*(?<!/)>.*?</\1\s*>"
-    r"|</?[a-z][a-z0-9]*(?:\s[^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*|'[^'<>]*'[^<>\"']*){0,40})?>|<!doctype[^<>]*>"
+    r"(?is)<(?:!--.*?-->|(script|style)\b[^<>]*(?<!/)>.*?</\1\s*>|!doctype[^<>]*>"
+    r"|/?[a-z][a-z0-9]*(?:\s[^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*|'[^'<>]*'[^<>\"']*){0,40})?>)"
 )
 # Markers that the short way does not cover: elements that hide text but may
 # nest, raw-text elements, other declarations, unusual entities.
-_NEEDS_PARSER = (
-    r"(?is)<(?:template|rt|rp|textarea|title\b[^>]*/|script\b[^>]*/|style\b[^>]*/|noscript|iframe|xmp|noembed|noframes|plaintext|!\[|\?)"
-    r"|&(?!(?:amp|lt|gt|quot|apos|nbsp|copy|middot|#39|#x27);|\s|&|$)"
+_RARE_TAGS = (
+    r"(?is)<(?:template|rt|rp|textarea|title\b[^>]*/|script\b[^>]*/|style\b[^>]*/"
+    r"|noscript|iframe|xmp|noembed|noframes|plaintext|!\[|\?)"
 )
+_RARE_ENTITIES = r"&(?!(?:amp|lt|gt|quot|apos|nbsp|copy|middot|#39|#x27);|\s|&|$)"
 # The entities decoded on the short way; `amp` must come last.
 _ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
@@ -90,9 +92,13 @@ def _unescape_all(value: pd.Series) -> pd.Series:
 
 
 def decode_common(value: Column) -> Column:
-    for entity, char in _ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
+    def decode(v: Column) -> Column:
+        out = v
+        for entity, char in _ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(F.contains(v, F.lit("&")), out).otherwise(v)
+
+    return let(value, decode)
 
 
 def unescape(value: Column) -> Column:
@@ -110,7 +116,9 @@ def _short_way(value: Column) -> Column:
             F.regexp_replace(v, _BLOCKS, " "),
             lambda bare: F.struct(
                 decode_common(bare).alias("text"),
-                (v.rlike(_NEEDS_PARSER) | F.contains(bare, F.lit("<"))).alias("hard"),
+                (
+                    v.rlike(_RARE_TAGS) | v.rlike(_RARE_ENTITIES) | F.contains(bare, F.lit("<"))
+                ).alias("hard"),
             ),
         )
 

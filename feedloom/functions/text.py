@@ -42,14 +42,21 @@ def strip_ws(value: Column) -> Column:
     return F.regexp_replace(value, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+# White space that is not yet one plain space: most spaces need no replacement.
+_UNEVEN = rf"(?U)[\s\x1c-\x1f&&[^ ]]{SPACE}*| {SPACE}+"
+
+
 def normalize_ws(value: Column) -> Column:
     """Runs of Unicode white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text_or_empty(value), f"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(value), _UNEVEN, " "))
 
 
 def truncate(value: Column, limit: int) -> Column:
-    short = F.regexp_replace(F.left(value, F.lit(limit - 1)), f"(?U){SPACE}+$", "")
-    return F.when(F.length(value) > limit, F.concat(short, F.lit("…"))).otherwise(value)
+    def cut(v: Column) -> Column:
+        short = F.regexp_replace(F.left(v, F.lit(limit - 1)), f"(?U){SPACE}+$", "")
+        return F.when(F.length(v) > limit, F.concat(short, F.lit("…"))).otherwise(v)
+
+    return let(value, cut)
 
 
 def md_escape(value: Column) -> Column:

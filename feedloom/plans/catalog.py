@@ -20,6 +20,7 @@ from ..operators import (
 )
 from ..rules import CORPUS
 from ..schema import SOURCE_TYPES, conform_records
+from ..session import written
 from . import views
 from .run import judge_records
 from .views import FETCH_TS, RUN_TS, run_ts, table
@@ -264,15 +265,24 @@ def recency_score(spark, folder):
     )
 
 
-def judged(spark, folder) -> DataFrame:
+def scored(spark, folder) -> DataFrame:
     """All records gated, classified and scored; `fetch_ord` is the document id."""
     feed = conform_records(views.records(spark, folder).withColumn("fetch_ord", F.col("doc_id")), "fetch_ord")
     return judge_records(feed, views.sources(spark, folder), PACK, run_ts())
 
 
+def judged(spark, folder) -> DataFrame:
+    """The scored records as a saved table, without the long texts.
+
+    Reports sort and filter on scores: on a plain plan the sort's sampling and
+    each pushed-down filter would score every text again.
+    """
+    return written(scored(spark, folder).drop("description", "requirements"), "judged")
+
+
 @query
 def overall_score(spark, folder):
-    return judged(spark, folder).select(
+    return scored(spark, folder).select(
         "job_id", "role_match_score", "graduation_match", "sponsorship_classification", "overall_score",
         "score_explanation", "disqualified", "disqualify_reason",
         joined("matched_keywords").alias("keywords"),
@@ -281,7 +291,7 @@ def overall_score(spark, folder):
 
 @query
 def score_bands(spark, folder):
-    return summary.band_counts(judged(spark, folder), PACK)
+    return summary.band_counts(scored(spark, folder), PACK)
 
 
 @query
@@ -322,9 +332,10 @@ def merged(spark, folder) -> lifecycle.Merge:
 
 def judged_merge(spark, folder) -> lifecycle.Merge:
     """The merge a real run makes: fetched rows are gated and scored first."""
-    fresh = judge_records(
+    scores = judge_records(
         views.fetched(spark, folder), views.sources(spark, folder), PACK, run_ts()
     )
+    fresh = written(scores.drop("description", "requirements"), "judged")
     return lifecycle.merge_state(
         fresh, views.previous_state(spark, folder), views.archived_state(spark, folder),
         views.ok_sources(spark, folder), run_ts(FETCH_TS), PACK.archive_after_missing_runs,
@@ -539,7 +550,7 @@ def explore_by_date(spark, folder):
 def explore_by_company(spark, folder):
     return _explore(
         spark, folder, "company",
-        rank.Explore(company="src1", sponsorship="likely_supported", new_only=True),
+        rank.Explore(company="src4", sponsorship="likely_supported", new_only=True),
     )
 
 

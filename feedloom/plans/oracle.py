@@ -613,7 +613,7 @@ ORACLE: dict[str, str] = {
     ),
     "explore_by_company": _with(
         ALL_JUDGED,
-        """SELECT job_id, company, title, overall_score, date_posted FROM judged WHERE company = 'src1' AND NOT disqualified
+        """SELECT job_id, company, title, overall_score, date_posted FROM judged WHERE company = 'src4' AND NOT disqualified
         AND sponsorship_classification = 'likely_supported' AND date_posted >= '1998-01-01'
         ORDER BY lower(company), company, overall_score DESC, job_id LIMIT 400""",
     ),

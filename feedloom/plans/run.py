@@ -53,21 +53,28 @@ class Run:
         return gates.digest_eligible(self.merge.state, self.pack)
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 def plan_run(
-    found: Normalized, pages: DataFrame, sources: DataFrame, previous: DataFrame,
-    archived: DataFrame, previous_health: DataFrame, run_ts: Column,
-    pack: RulePack = POSTING, refiner: FrameRefiner | None = None,
+    payloads: DataFrame, ctx: Context, previous: DataFrame, archived: DataFrame,
+    previous_health: DataFrame, refiner: FrameRefiner | None = None,
+    keep: Keep = lambda df, name: df,
 ) -> Run:
-    """Plan of everything after normalisation (also the dry run: it writes nothing)."""
+    """Plan of a run.  `keep` may write a named step and go on from the table;
+    without it the plan reads only, apart from the merge's shared lookup result.
+    """
+    found = normalize(payloads, ctx)
+    found = Normalized(keep(found.records, "normalized"), keep(found.problems, "problems"))
     records = found.accepted()
-    outcomes = health.run_outcomes(sources, pages, records, found.problems)
-    judged = judge_records(records, sources, pack, run_ts, refiner)
+    outcomes = keep(health.run_outcomes(ctx.sources, payloads, records, found.problems), "outcomes")
+    judged = keep(judge_records(records, ctx.sources, ctx.pack, ctx.run_ts, refiner), "judged")
     ok = outcomes.where(health.is_ok(F.col("status"))).select("company")
     merge = lifecycle.merge_state(
-        judged, previous, archived, ok, run_ts, pack.archive_after_missing_runs
+        judged, previous, archived, ok, ctx.run_ts, ctx.pack.archive_after_missing_runs
     )
-    now = health.step(previous_health, outcomes, utc_stamp(run_ts))
-    return Run(merge, now, found, pack)
+    now = health.step(previous_health, outcomes, utc_stamp(ctx.run_ts))
+    return Run(merge, now, found, ctx.pack)
 
 
 def _in_scope(sources: DataFrame, only: list[str] | None) -> DataFrame:
@@ -97,25 +104,25 @@ def run_once(
     """Run against the state saved in `state` and write all outputs to `target`.
 
     The two folders differ, so a run never overwrites what it reads and a failed
-    run can be repeated.  The normalised records are written before the merge
-    reads them, so pages are parsed once however many outputs follow.
+    run can be repeated.  Normalised and judged records are written before the
+    merge reads them, so pages are parsed and texts scored once however many
+    outputs follow.
     """
     spark = payloads.sparkSession
-    scope = _in_scope(sources, only)
-    found = normalize(payloads, Context(scope, run_ts, details, pack, configs or {}))
-    if not dry_run:
-        found = Normalized(
-            _written(found.records, f"{target}/normalized"), _written(found.problems, f"{target}/problems")
-        )
+    ctx = Context(_in_scope(sources, only), run_ts, details, pack, configs or {})
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return df if dry_run else _written(df, f"{target}/{name}")
+
     run = plan_run(
-        found, payloads, scope,
+        payloads, ctx,
         load_records(spark, f"{state}/active"), load_records(spark, f"{state}/archived"),
-        load_health(spark, f"{state}/health"), run_ts, pack, refiner,
+        load_health(spark, f"{state}/health"), refiner, keep,
     )
     if dry_run:
         return run
     merge, now = write_outputs(run.merge, run.health, sources, target, run_ts, pack, deliver)
-    return Run(merge, now, found, pack)
+    return Run(merge, now, run.normalized, pack)
 
 
 def validate_sources(

@@ -72,16 +72,17 @@ HEALTH_SCHEMA = T.StructType([T.StructField(n, t) for n, t, _ in HEALTH_FIELDS])
 RECORD_COLUMNS = [n for n, _, _ in RECORD_FIELDS]
 HEALTH_COLUMNS = [n for n, _, _ in HEALTH_FIELDS]
 
-SOURCE_SCHEMA = T.StructType.fromDDL(
+# DDL texts: they can be read before any session exists.
+SOURCE_SCHEMA = (
     "source_no INT, name STRING, enabled BOOLEAN, priority INT, careers_url STRING, "
     "source_type STRING, source_identifier STRING, locations ARRAY<STRING>, notes STRING"
 )
-LANDING_SCHEMA = T.StructType.fromDDL(
+LANDING_SCHEMA = (
     "company STRING, source_type STRING, preset STRING, query_no INT, page_no BIGINT, "
     "fetched_at TIMESTAMP, url STRING, body STRING, context_json STRING"
 )
 # Landed detail answers: `detail_key` is the listing's key for the posting.
-DETAIL_SCHEMA = T.StructType.fromDDL("company STRING, detail_key STRING, body STRING")
+DETAIL_SCHEMA = "company STRING, detail_key STRING, body STRING"
 
 
 def _default(value: object, dtype: T.DataType) -> Column:

@@ -14,7 +14,9 @@ from ..functions.text import first_filled, text_or_empty
 from ..operators.gates import title_prefilter
 from ..operators.identity import first_per_key, record_fingerprint
 from .boards import KEEP, _t, filled, with_details
-from .landing import Context, Normalized, open_items, page_order, problem_rows, register
+from .landing import (
+    Context, Normalized, explode_once, open_items, page_order, problem_rows, register,
+)
 
 # Fixed value: the country the presets ask their API for.
 US = "United States"
@@ -258,18 +260,16 @@ def _mapped_source(pages: DataFrame, config: dict) -> Normalized:
     """One configured source: paths are compiled into VARIANT lookups."""
     fields = config.get("fields") or {}
     valid = bool(fields.get("title")) and bool((config.get("request") or {}).get("url"))
-    parsed = pages.withColumn("payload", F.try_parse_json("body")).withColumn(
-        "items", dig_list(F.col("payload"), config.get("jobs_path"))
-    )
+    payload = F.try_parse_json("body")
+    items = dig_list(payload, config.get("jobs_path")) if valid else F.lit(None).cast("array<variant>")
     category = (
         F.when(F.lit(not valid), F.lit("invalid_config"))
-        .when(F.col("payload").isNull(), F.lit("parse_error"))
-        .when(F.col("items").isNull(), F.lit("structure_changed"))
+        .when(payload.isNull(), F.lit("parse_error"))
+        .otherwise(F.lit("structure_changed"))
     )
-    checked = parsed.withColumn("category", category)
-    good = checked.where("category IS NULL").select(
-        "company", "source_type", "fetch_page", F.col("url").alias("page_url"),
-        F.posexplode("items").alias("pos", "item"),
+    broken = pages.where(items.isNull()).withColumn("category", category)
+    good = explode_once(
+        pages.select("company", "source_type", "fetch_page", F.col("url").alias("page_url"), items.alias("items"))
     )
     item = F.col("item")
     records = good.select(
@@ -290,7 +290,7 @@ def _mapped_source(pages: DataFrame, config: dict) -> Normalized:
     )
     key = first_filled(F.col("source_job_id"), record_fingerprint())
     once = _once(records.drop("item", "page_url"), key).drop("key")
-    return Normalized(strip_html(once, "description"), problem_rows(checked))
+    return Normalized(strip_html(once, "description"), problem_rows(broken))
 
 
 @register("json")

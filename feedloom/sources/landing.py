@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_or_empty
+from ..functions.text import let, text_or_empty
 from ..operators.gates import skipped_source
 from ..rules import POSTING, RulePack
 
@@ -73,13 +73,17 @@ def source_pages(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def page_order() -> Column:
-    """Fetch order of one item: source, query, page, place in the page."""
+def page_order(place: Column | None = None) -> Column:
+    """Fetch order of one item: source, query, page, place in the page.
+
+    A place is a pair (block, position); pages with one list have one block.
+    """
+    place = F.struct(F.lit(0), "pos") if place is None else place
     return F.struct(
         F.col("fetch_page.source_no").alias("source_no"),
         F.col("fetch_page.query_no").alias("query_no"),
         F.col("fetch_page.page_no").alias("page_no"),
-        F.col("pos").alias("pos"),
+        place.cast("struct<block:int,pos:int>").alias("place"),
     )
 
 
@@ -93,23 +97,31 @@ def open_items(
     A page is bad JSON, misses its list, or its source misses an identifier.
     Only pages that failed are parsed a second time, to tell the first two apart.
     """
-    parsed = pages.withColumn("payload", F.from_json("body", schema)).withColumn(
-        "items", items(F.col("payload"))
-    )
-    shaped = F.startswith(F.ltrim("body"), F.lit(root)) & F.col("items").isNotNull()
-    if failed is not None:
-        shaped = shaped & ~F.coalesce(failed(F.col("payload")), F.lit(False))
-    category = (
+    wanted = F.startswith(F.ltrim("body"), F.lit(root)) & (needs if needs is not None else F.lit(True))
+
+    def listed(payload: Column) -> Column:
+        refused = F.coalesce(failed(payload), F.lit(False)) if failed is not None else F.lit(False)
+        return F.when(~refused, items(payload))
+
+    listed_once = F.when(wanted, let(F.from_json("body", schema), listed))
+    broken = pages.where(listed_once.isNull()).withColumn(
+        "category",
         F.when(~(needs if needs is not None else F.lit(True)), F.lit("invalid_config"))
-        .when(shaped, F.lit(None).cast("string"))
         .when(F.try_parse_json("body").isNull(), F.lit("parse_error"))
-        .otherwise(F.lit("structure_changed"))
+        .otherwise(F.lit("structure_changed")),
     )
-    checked = parsed.withColumn("category", category)
-    good = checked.where("category IS NULL").select(
-        *[c for c in pages.columns if c != "body"], F.posexplode("items").alias("pos", "item")
-    )
-    return good.withColumn("fetch_ord", page_order()), problem_rows(checked)
+    good = explode_once(pages.select(*[c for c in pages.columns if c != "body"], listed_once.alias("items")))
+    return good.withColumn("fetch_ord", page_order()), problem_rows(broken)
+
+
+def explode_once(df: DataFrame) -> DataFrame:
+    """Explode `items` into (pos, item).
+
+    A plain explode makes the optimizer add a filter on the array and push it
+    down, which would parse every page a second time; the outer form does not.
+    """
+    rest = [c for c in df.columns if c != "items"]
+    return df.select(*rest, F.posexplode_outer("items").alias("pos", "item")).where("pos IS NOT NULL")
 
 
 def problem_rows(checked: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from ..operators.enrich import enrich
 from ..operators.gates import title_prefilter
 from ..operators.identity import first_per_key
 from .boards import filled
-from .landing import Context, Normalized, page_order, problem_rows, register
+from .landing import Context, Normalized, explode_once, page_order, problem_rows, register
 
 # Marks of a page that asks for a human.
 CHALLENGE_MARKERS = ["captcha", "cf-challenge", "are you a robot", "access denied"]
@@ -105,14 +105,15 @@ def jsonld_blocks(pages: DataFrame) -> DataFrame:
 
 def jsonld_records(blocks: DataFrame) -> DataFrame:
     # Blocks come in page order and postings in block order.
-    each = blocks.select(
-        "company", "source_type", "fetch_page", "url", "block_no",
-        F.posexplode("postings").alias("in_block", "posting"),
-    ).withColumn("pos", F.col("block_no") * 1000000 + F.col("in_block"))
-    p = F.col("posting")
+    each = explode_once(
+        blocks.select(
+            "company", "source_type", "fetch_page", "url", "block_no", F.col("postings").alias("items")
+        )
+    )
+    p = F.col("item")
     ident = _json(p, "identifier")
     records = each.select(
-        "company", "source_type", page_order().alias("fetch_ord"),
+        "company", "source_type", page_order(F.struct("block_no", "pos")).alias("fetch_ord"),
         text_or_empty(F.when(_is_object(ident), _json(ident, "value")).otherwise(ident)).alias("source_job_id"),
         text_or_empty(_json(p, "title")).alias("title"),
         posting_location(p).alias("location"),
@@ -298,16 +299,16 @@ def read_rows(pages: DataFrame, ctx: Context) -> DataFrame:
 
 
 def selector_records(read: DataFrame) -> DataFrame:
-    rows = read.select(
-        "company", "source_type", "fetch_page", "url", F.posexplode("rows").alias("pos", "row")
-    ).where("row.title IS NOT NULL")
+    rows = explode_once(
+        read.select("company", "source_type", "fetch_page", "url", F.col("rows").alias("items"))
+    ).where("item.title IS NOT NULL")
     return rows.select(
         "company", "source_type", page_order().alias("fetch_ord"),
-        normalize_ws(F.col("row.title")).alias("title"),
-        normalize_ws(F.col("row.location")).alias("location"),
-        first_filled(F.col("row.link"), F.col("url")).alias("application_url"),
+        normalize_ws(F.col("item.title")).alias("title"),
+        normalize_ws(F.col("item.location")).alias("location"),
+        first_filled(F.col("item.link"), F.col("url")).alias("application_url"),
         F.col("url").alias("source_url"),
-        iso_prefix(normalize_ws(F.col("row.date"))).alias("date_posted"),
+        iso_prefix(normalize_ws(F.col("item.date"))).alias("date_posted"),
     )
 
 
