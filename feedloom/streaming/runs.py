@@ -24,7 +24,7 @@ BatchView = Callable[[DataFrame], DataFrame]
 def table_stream(spark: SparkSession, folder: str, name: str, **options: object) -> DataFrame:
     """Files of one table as a stream, with the table's own schema."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     return reader.options(**options).parquet(folder)
 
 
@@ -97,7 +97,8 @@ def announce_once(stream: DataFrame, key: str, within: str | None = None, event_
     """
     if within is None:
         return stream.dropDuplicates([key])
-    return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key])
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key])
 
 
 def date_floor(stream: DataFrame, column: str, bound: str) -> DataFrame:
