@@ -309,10 +309,10 @@ def landed_problems(spark, folder):
     refused = F.when(c["lang"] == "es", F.lit('{"error_category": "blocked", "error_message": "refused"}'))
     landed = views.landed(docs, "greenhouse", "", body).drop("context_json")
     flagged = landed.join(docs.select(F.col("doc_id").alias("page_no"), refused.alias("context_json")), "page_no")
-    # One source type nobody registered.
-    odd = F.when(F.col("company") == "src9", F.lit("carrier")).otherwise(F.col("source_type"))
-    sources = views.feed_sources(docs, "greenhouse", "board")
-    found = normalize(flagged.withColumn("source_type", odd), Context(sources, run_ts(FETCH_TS), pack=PACK))
+    # One source has a type nobody registered.
+    odd = F.when(F.col("name") == "src9", F.lit("carrier")).otherwise(F.col("source_type"))
+    sources = views.feed_sources(docs, "greenhouse", "board").withColumn("source_type", odd)
+    found = normalize(flagged, Context(sources, run_ts(FETCH_TS), pack=PACK))
     return found.problems.groupBy("company", "category").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,7 +1,7 @@
 """From landed payload pages to records: checks, registry and dispatch.
 
 Landing table: one row per fetched page (`schema.LANDING_SCHEMA`), best kept
-partitioned by `source_type` so each normaliser prunes to its own pages.
+partitioned by the day of `fetched_at`, so a run reads its own pages only.
 """
 
 from __future__ import annotations
@@ -61,14 +61,25 @@ def register(source_type: str, preset: str = "") -> Callable[[Normalizer], Norma
     return add
 
 
+def _kind() -> Column:
+    """(source_type, preset) a source is read as; unknown presets mean a mapping."""
+    presets = [p for t, p in REGISTRY if t == "json" and p]
+    named = F.substring_index(text_or_empty(F.col("source_identifier")), ":", 1)
+    preset = F.when((F.col("source_type") == "json") & named.isin(presets), named).otherwise(F.lit(""))
+    return F.struct(F.col("source_type"), preset.alias("preset"))
+
+
 def source_pages(payloads: DataFrame, sources: DataFrame) -> DataFrame:
-    """Pages with their source's identifier, and a sortable page position."""
+    """Pages with their source's type, identifier, and a sortable page position.
+
+    How a page is read is up to the source dimension, not to the landed row.
+    """
     dim = sources.select(
-        F.col("name").alias("company"), "source_no",
+        F.col("name").alias("company"), "source_no", _kind().alias("kind"),
         text_or_empty(F.col("source_identifier")).alias("source_identifier"),
         text_or_empty(F.col("careers_url")).alias("careers_url"),
-    )
-    return payloads.join(dim, "company").withColumn(
+    ).select("*", "kind.*").drop("kind")
+    return payloads.drop("source_type", "preset").join(dim, "company").withColumn(
         "fetch_page", F.struct("source_no", "query_no", "page_no")
     )
 
@@ -132,10 +143,12 @@ def problem_rows(checked: DataFrame) -> DataFrame:
 
 
 def normalize(payloads: DataFrame, ctx: Context) -> Normalized:
-    """Dispatch every page to the normaliser of its type and preset.
+    """Dispatch every page to the normaliser of its source's type and preset.
 
-    Sources without one are reported as `unsupported`; disabled sources are
-    left out here and appear as skipped in the health step.
+    Only kinds that occur in the source dimension get a branch (that list is at
+    most as long as the registry).  Sources without a normaliser are reported as
+    `unsupported`; disabled sources are left out and appear as skipped in the
+    health step.
     """
     live = ctx.sources.where(~skipped_source(F.col("enabled"), F.col("source_type")))
     landed = source_pages(payloads, live)
@@ -143,23 +156,28 @@ def normalize(payloads: DataFrame, ctx: Context) -> Normalized:
     error = F.get_json_object("context_json", "$.error_category")
     message = F.get_json_object("context_json", "$.error_message")
     pages = landed.where(error.isNull())
-    key = F.struct(F.col("source_type"), text_or_empty(F.col("preset")).alias("preset"))
-    records, problems = [], []
-    for (source_type, preset), fn in REGISTRY.items():
-        mine = pages.where((F.col("source_type") == source_type) & (text_or_empty(F.col("preset")) == preset))
-        done = fn(mine, ctx)
-        records.append(done.records)
-        problems.append(done.problems)
     known = F.array(
         *[F.struct(F.lit(t).alias("source_type"), F.lit(p).alias("preset")) for t, p in REGISTRY]
     )
-    unknown = pages.where(~F.array_contains(known, key)).withColumn("category", F.lit("unsupported"))
-    problems.append(problem_rows(unknown))
-    problems.append(
+    is_known = F.array_contains(known, F.struct("source_type", "preset"))
+    present = live.select(_kind().alias("kind")).select("kind.*").where(is_known).distinct()
+    kinds = sorted((r["source_type"], r["preset"]) for r in present.take(len(REGISTRY)))
+
+    problems = [
+        problem_rows(pages.where(~is_known).withColumn("category", F.lit("unsupported"))),
         landed.where(error.isNotNull()).select(
             "company", error.alias("category"), text_or_empty(message).alias("message")
-        )
-    )
+        ),
+    ]
+    records = []
+    for kind in kinds:
+        mine = pages.where((F.col("source_type") == kind[0]) & (F.col("preset") == kind[1]))
+        done = REGISTRY[kind](mine, ctx)
+        records.append(done.records)
+        problems.append(done.problems)
+    if not records:
+        none = pages.where(F.lit(False)).withColumn("pos", F.lit(0))
+        records.append(none.select("company", "source_type", page_order().alias("fetch_ord")))
     return Normalized(
         reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), records),
         reduce(DataFrame.unionByName, problems),
