@@ -107,9 +107,9 @@ def fold(run_log: DataFrame) -> DataFrame:
     """Current health of every source from its whole run history.
 
     Failures count since the last success.  A window per source would put a hot
-    source into one task, so this is two aggregations with map-side combine and
-    a join of the failed rows against one row per source, salted so that a hot
-    source's failures spread over many tasks.
+    source into one task, so this is an aggregation with map-side combine and a
+    join of one row per source to the failed rows, salted so that a hot source's
+    failures spread over many tasks.
     """
     ok = is_ok(F.col("status"))
     latest = run_log.groupBy("company").agg(
@@ -118,30 +118,34 @@ def fold(run_log: DataFrame) -> DataFrame:
         F.max_by(F.struct("status", "jobs_fetched"), _moment()).alias("last"),
         F.count(F.lit(1)).alias("runs"),
     )
-    salt = F.pmod(F.xxhash64("run_id"), F.lit(SALTS))
-    failed = run_log.where("status = 'failed'").select(
-        "company", salt.alias("salt"), _moment().alias("moment")
-    )
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
     spread = latest.select(
-        "company", "last_ok", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt")
+        "company", F.struct(*[c for c in latest.columns if c != "company"]).alias("latest"),
+        F.explode(salts).alias("salt"),
+    )
+    failed = run_log.where("status = 'failed'").select(
+        "company", F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).alias("salt"), _moment().alias("moment")
     )
-    since = (
-        failed.join(spread, ["company", "salt"])
-        .where(F.col("last_ok").isNull() | (F.col("moment") > F.col("last_ok")))
+    last_ok = F.col("latest.last_ok")
+    since_ok = F.col("moment").isNotNull() & (last_ok.isNull() | (F.col("moment") > last_ok))
+    # `latest` is the same in all rows of a source; it is computed once and
+    # travels along instead of being joined again.
+    folded = (
+        spread.join(failed, ["company", "salt"], "left")
         .groupBy("company", "salt")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if(since_ok).alias("n"), F.first("latest").alias("latest"))
         .groupBy("company")
-        .agg(F.sum("n").alias("consecutive_failures"))
+        .agg(F.sum("n").alias("consecutive_failures"), F.first("latest").alias("latest"))
     )
-    return latest.join(since, "company", "left").select(
+    answered = is_ok(F.col("latest.last.status"))
+    return folded.select(
         "company",
-        F.col("last_run.run_ts").alias("last_attempt"),
-        F.col("last_ok.run_ts").alias("last_success"),
-        F.col("last.status").alias("status"),
-        F.when(is_ok(F.col("last.status")), F.col("last.jobs_fetched")).otherwise(F.lit(0))
-        .cast("bigint").alias("jobs_fetched"),
-        F.coalesce("consecutive_failures", F.lit(0)).cast("bigint").alias("consecutive_failures"),
-        "runs",
+        F.col("latest.last_run.run_ts").alias("last_attempt"),
+        F.col("latest.last_ok.run_ts").alias("last_success"),
+        F.col("latest.last.status").alias("status"),
+        F.when(answered, F.col("latest.last.jobs_fetched")).otherwise(F.lit(0)).cast("bigint").alias("jobs_fetched"),
+        F.col("consecutive_failures").cast("bigint").alias("consecutive_failures"),
+        F.col("latest.runs").alias("runs"),
     )
 
 

@@ -670,8 +670,9 @@ _PLAIN_PAGE = (
 
 def page_plain(x: str) -> str:
     out = _PLAIN_PAGE.format(x=x)
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = f"replace({out}, {quoted(entity)}, {quoted(char)})"
+    # A cut title may end in an entity without its semicolon.
+    for entity, char in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, {quoted(entity)}, {quoted(char)}, 'g')"
     return norm_ws(out)
 
 
