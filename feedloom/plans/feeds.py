@@ -391,9 +391,9 @@ def page_jsonld(spark, folder):
 
 @query
 def rendered_rows(spark, folder):
-    """Rendered pages: one with a fragment met a challenge; others give rows."""
+    """Rendered pages: those of one kind of host met a challenge; others give rows."""
     feed = views.page_feed(spark, folder).withColumn(
-        "html", F.when(F.contains("url", F.lit("#")), F.concat(F.col("html"), F.lit("<p>Access Denied</p>"))).otherwise(F.col("html"))
+        "html", F.when(F.contains("url", F.lit("casino")), F.concat(F.col("html"), F.lit("<p>Access Denied</p>"))).otherwise(F.col("html"))
     )
     landed, ctx = _page_context(feed, "playwright")
     shared = Context(ctx.sources, ctx.run_ts, None, PACK, {"*": SELECTORS})

@@ -784,7 +784,7 @@ ORACLE.update(
         "rendered_rows": _with(
             _NAV,
             f"""SELECT company, {norm_ws('raw')} AS title, application_url FROM found
-            WHERE company NOT IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) FROM pages WHERE contains(url, '#'))""",
+            WHERE company NOT IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) FROM pages WHERE contains(url, 'casino'))""",
         ),
         "stream_lifecycle": ORACLE["lifecycle_merge"],
         "stream_health": ORACLE["source_health_fold"],
