@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import written
-from . import adaptive_rules, bpe, fair_mix
+from . import adaptive_rules, bpe, fair_mix, hyperminhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op3_fair_mix(spark, folder):
 ORACLE["op3_fair_mix"] = fair_mix.mix_sql()
 
 
+@query
+def op5_near_duplicates(spark, folder):
+    found = hyperminhash.near_duplicates(table(spark, folder, "documents"), k=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op6_bpe_round_trip(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), word_bpe_file())
