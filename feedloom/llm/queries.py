@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import written
-from . import adaptive_rules, bpe, fair_mix, hyperminhash
+from . import adaptive_rules, bpe, fair_mix, hyperminhash, sentence_spans
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op6_bpe_round_trip(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), word_bpe_file())
 
 
+@query
+def op8_sentence_spans(spark, folder):
+    return sentence_spans.dedup_texts(table(spark, folder, "documents"))
+
+
 @query
 def op9_adaptive_rules(spark, folder):
     metrics = written(adaptive_rules.metrics_of(table(spark, folder, "documents")), "rules")
