@@ -8,12 +8,13 @@ other buckets in an order fixed per bucket, so short texts are found as well.  B
 their Jaccard is estimated from the registers, corrected for chance collisions of registers; those more than six
 standard deviations below the threshold are left out.  All others are confirmed on the full sets.
 
-Large groups.  Documents with one and the same set are one node.  In each band bucket every member is compared with one
-hub only, the member that shares most buckets: a group of near copies costs links in proportion to its size.  Where
-a bucket still holds several components, its members outside the largest one are compared with all members, in
-cells of bounded size that are compared by array operations and give out only links they have confirmed; a pair that
-shares several bands is compared in the first of them.  So no link between different sets that share a band is
-lost, and no task gathers a whole bucket.
+Large groups.  Documents with one and the same set are one node.  In each band bucket every member meets one hub
+only, the member that shares most buckets, and of its hubs a node is confirmed with the likeliest ones: a group of
+near copies costs work in proportion to its size.  Nodes that hub pairs join, confirmed or not, form a cluster; every
+two nodes that share a bucket are in one.  Where a cluster still holds several components, its members outside the
+largest one are compared with all members, in cells of bounded size that work on arrays and give out only links they
+have confirmed.  So no link between different sets that share a band is lost, no task gathers a whole group, and
+no pairs are listed.
 
 Nulls: a NULL or blank text has no shingles and is linked with nothing; rows with a NULL doc_id are grouped like others but
 are no group's smallest doc_id.  Repeated rows belong to one node.  Very long texts are whole.  An empty table gives
@@ -39,7 +40,11 @@ BANDS = BUCKETS // ROWS
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: Shingles in one side of a comparison cell, about.
-CELL = 150_000
+CELL = 40_000
+#: Hubs that a node is confirmed with before its cluster is looked at.
+HUBS = 2
+#: A list of narrow keys is broadcast up to so many rows (counted first), else joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _probes = np.argsort(
     mixed(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(77)).reshape(BUCKETS, BUCKETS), axis=1
@@ -158,12 +163,17 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): every member of a bucket with the bucket's hub, each pair once."""
+    """(node, hub): every member of a bucket with the bucket's hub, each pair once."""
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = shared.select("bucket", "node").join(degree, "node")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
-    pairs = shared.select("bucket", "node").join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket").where("node <> hub")
-    return pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = shared.select("bucket", "node").join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket")
+    return pairs.where("node <> hub").select("node", "hub").distinct()
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """A written table of narrow keys, marked for broadcast if its counted rows are few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -174,7 +184,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     firsts = nodes.select("node", F.col("first.id").alias("_id"), F.col("first.th").alias("_th"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), text_hash(F.col("text")).alias("_t"), F.col("text").cast("binary").alias("text"))
-    rows = texts.join(firsts, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))).select("node", "text")
+    rows = texts.join(if_small(written(firsts, "firsts")), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))).select("node", "text")
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
     return rows.mapInArrow(per_batch(run, schema), "node long, set binary")
 
@@ -183,17 +193,29 @@ def _likely(est: np.ndarray, sd: np.ndarray, percent: int) -> np.ndarray:
     return est >= percent / 100 - 6 * sd
 
 
-def confirmed_pairs(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; estimated first on the narrow registers."""
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, hub): of each node the pairs with the best estimates, `HUBS` at most, that may be similar enough."""
 
     def guess(cols):
-        a = np.stack([np.frombuffer(x, np.uint16) for x in cols["ra"]])
-        b = np.stack([np.frombuffer(x, np.uint16) for x in cols["rb"]])
-        keep = [
-            bool(_likely(*estimates(x, y[None], n, np.array([m])), percent)[0])
-            for x, y, n, m in zip(a, b, cols["na"], cols["nb"])
-        ]
-        return {c: [v for v, ok in zip(cols[c], keep) if ok] for c in ("a", "b")}
+        out: dict[str, list] = {"node": [], "hub": [], "est": []}
+        for x, y, n, m, a, b in zip(cols["rnode"], cols["rhub"], cols["nnode"], cols["nhub"], cols["node"], cols["hub"]):
+            est, sd = estimates(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)[None], n, np.array([m]))
+            if _likely(est, sd, percent)[0]:
+                out["node"].append(a)
+                out["hub"].append(b)
+                out["est"].append(float(est[0]))
+        return out
+
+    schema = pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("est", pa.float64())])
+    regs = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    rows = pairs.join(regs("node"), "node").join(regs("hub"), "hub").select("node", "hub", "nnode", "nhub", "rnode", "rhub")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.col("est").desc(), "hub"))
+    guessed = rows.mapInArrow(per_batch(guess, schema), "node long, hub long, est double")
+    return guessed.withColumn("_nth", nth).where(F.col("_nth") <= HUBS).select("node", "hub")
+
+
+def confirmed_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs whose full sets are similar enough."""
 
     def check(cols):
         keep = [
@@ -203,85 +225,77 @@ def confirmed_pairs(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent
         return {c: [v for v, ok in zip(cols[c], keep) if ok] for c in ("a", "b")}
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    regs = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     full = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
-    guessed = pairs.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(
-        per_batch(guess, schema), "a long, b long"
-    )
-    return guessed.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb").mapInArrow(
+    named = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return named.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb").mapInArrow(
         per_batch(check, schema), "a long, b long"
     )
 
 
-def open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components: (bucket, node, root, outside).
+def open_members(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the clusters that hold several components: (cluster, node, root, outside).
 
-    `outside` marks members that do not belong to the bucket's largest component.
+    `outside` marks members that do not belong to the cluster's largest component.
     """
     known = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    rooted = shared.join(known, shared["node"] == F.col("_n"), "left").select(
-        "bucket", "node", F.coalesce("_r", "node").alias("root")
+    rooted = clusters.join(known, clusters["node"] == F.col("_n"), "left").select(
+        F.col("clusters_root").alias("cluster"), "node", F.coalesce("_r", "node").alias("root")
     )
-    per_root = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed_up = per_root.groupBy("bucket").agg(
+    per_root = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = per_root.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("main")
-    ).where("roots > 1").select(F.col("bucket").alias("_b"), F.col("main.root").alias("_main"))
-    return rooted.join(mixed_up, rooted["bucket"] == F.col("_b")).select(
-        "bucket", "node", "root", (F.col("root") != F.col("_main")).alias("outside")
+    ).where("roots > 1").select(F.col("cluster").alias("_b"), F.col("main.root").alias("_main"))
+    return rooted.join(several, rooted["cluster"] == F.col("_b")).select(
+        "cluster", "node", "root", (F.col("root") != F.col("_main")).alias("outside")
     )
 
 
 def cell_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between outside members and all members of their buckets, by comparison cells.
+    """(a, b): links between outside members and all members of their clusters, by comparison cells.
 
-    A bucket is cut into parts of about `CELL` shingles, members with their sets.  A cell is a part of its outside
-    members beside a part of all its members.  Of each outside member, a cell gives out at most one link to each
-    other component.
+    A cluster's members, and its outside members, are cut into parts of about `CELL` shingles; a cell is one part
+    of each.  Cells are laid out on narrow rows; sets join them once.  Of each outside member, a cell gives
+    out at most one link to each other component.
     """
-    sized = members.join(nodes.select("node", "n", "regs"), "node")
-    loads = sized.groupBy("bucket").agg(
+    sized = members.join(nodes.select("node", "n"), "node")
+    loads = sized.groupBy("cluster").agg(
         F.ceil(F.sum("n") / CELL).alias("parts"),
         F.ceil(F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)) / CELL).alias("outer"),
     )
-    rows = sized.join(sets, "node").join(loads, "bucket")
-    spread = F.pmod(F.xxhash64("node"), F.col("parts"))
-    member = F.struct("node", "root", "n", "regs", "set")
-    inner = rows.withColumn("j", spread).groupBy("bucket", "j").agg(
-        F.collect_list(member).alias("all"), F.first("outer").alias("outer")
-    )
-    inner = inner.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)))
-    outer = rows.where("outside").withColumn("i", F.pmod(F.xxhash64("node"), F.col("outer"))).groupBy(
-        F.col("bucket").alias("_b"), F.col("i").alias("_i")
-    ).agg(F.collect_list(member).alias("outside"))
-    cells = inner.join(outer, (inner["bucket"] == F.col("_b")) & (inner["i"] == F.col("_i"))).select("bucket", "outside", "all")
+    rows = sized.join(loads, "cluster")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    inner = rows.select("cluster", "node", "root", F.lit(False).alias("outside"), part("parts").alias("j"), upto("outer").alias("i"))
+    outer = rows.where("outside").select("cluster", "node", "root", "outside", part("outer").alias("i"), upto("parts").alias("j"))
+    placed = inner.unionByName(outer).join(nodes.select("node", "n", "regs"), "node").join(sets, "node")
+    cells = placed.groupBy("cluster", "i", "j").agg(
+        F.collect_list(F.struct("outside", "node", "root", "n", "regs", "set")).alias("members")
+    ).select("members")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(bucket: int, outside: list[dict], everyone: list[dict]) -> Iterator[tuple[int, int]]:
+    def compare(cell: list[dict]) -> Iterator[tuple[int, int]]:
+        outside = [m for m in cell if m["outside"]]
+        everyone = [m for m in cell if not m["outside"]]
+        if not outside or not everyone:
+            return
         regs = np.stack([np.frombuffer(m["regs"], np.uint16) for m in everyone])
-        keys = bands(regs)
-        node = np.array([m["node"] for m in everyone], np.int64)
         root = np.array([m["root"] for m in everyone], np.int64)
         n = np.array([m["n"] for m in everyone], np.int64)
         for x in outside:
-            own = np.frombuffer(x["regs"], np.uint16)
-            own_keys = bands(own)[0]
-            est, sd = estimates(own, regs, x["n"], n)
+            est, sd = estimates(np.frombuffer(x["regs"], np.uint16), regs, x["n"], n)
             ok = (root != x["root"]) & _likely(est, sd, percent)
-            ok &= (100 * np.minimum(n, x["n"]) >= percent * np.maximum(n, x["n"]))
+            ok &= 100 * np.minimum(n, x["n"]) >= percent * np.maximum(n, x["n"])
             at = np.flatnonzero(ok)
-            # A pair that shares several bands is compared in the first of them only.
-            at = at[own_keys[(keys[at] == own_keys).argmax(axis=1)] == bucket]
             mine, done = np.frombuffer(x["set"], np.uint64), set()
             for i in at[np.argsort(-est[at])]:
                 if root[i] not in done and jaccard_at_least(mine, np.frombuffer(everyone[i]["set"], np.uint64), percent):
                     done.add(root[i])
-                    yield x["node"], int(node[i])
+                    yield x["node"], everyone[i]["node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                cell = batch.slice(r, 1).to_pylist()[0]
-                links = list(compare(cell["bucket"], cell["outside"], cell["all"]))
+                links = list(compare(batch.column(0).slice(r, 1).to_pylist()[0]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for x in links], pa.int64()) for i in range(2)], schema=schema
                 )
@@ -300,9 +314,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = written(shared_buckets(memberships(nodes)), "buckets")
     in_use = nodes.join(shared.select("node").distinct(), "node", "left_semi")
     sets = written(full_sets(docs, in_use, k), "sets")
-    links = written(confirmed_pairs(hub_pairs(shared), nodes, sets, percent), "links")
+    pairs = written(hub_pairs(shared), "pairs")
+    links = written(confirmed_pairs(likely_pairs(pairs, nodes, percent), sets, percent), "links")
     roots = connected(links)
-    rest = written(open_members(shared, roots), "open")
+    clusters = connected(pairs, "node", "hub").withColumnRenamed("root", "clusters_root")
+    rest = written(open_members(clusters, roots), "open")
     more = written(cell_links(rest, nodes, sets, percent), "links")
     if more.limit(1).count():
         roots = connected(links.unionByName(more))
@@ -328,12 +344,15 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Documents without words all stay, except that repeated rows (equal in doc_id and text) stay once.
     """
     names = docs.columns
-    kept = near_duplicates(docs, k, percent).where("first").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    kept = written(kept, "kept").withColumnsRenamed({"doc_id": "_id", "th": "_th", "n": "_n"})
-    rows = docs.withColumn("_t", text_hash(F.col("text")))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")))
-    single = joined.where("_n = 1").select(*names)
-    if not kept.where("_n > 1").limit(1).count():
+    rows = written(near_duplicates(docs, k, percent).select("doc_id", "th", "first"), "verdicts")
+    copies = rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"), F.bool_and("first").alias("first"))
+    marked = written(copies.where("n > 1 or not first"), "marked").withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))
+    hashed = docs.withColumn("_t", text_hash(F.col("text")))
+    single = hashed.join(if_small(marked), same, "left_anti").select(*names)
+    again = marked.where("first")
+    if not again.limit(1).count():
         return single
     nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(*names))
-    return single.unionByName(joined.where("_n > 1").withColumn("_nth", nth).where("_nth = 1").select(*names))
+    repeated = hashed.join(if_small(again), same).withColumn("_nth", nth).where("_nth = 1")
+    return single.unionByName(repeated.select(*names))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import written
-from . import adaptive_rules, bpe, fair_mix, hyperminhash, sentence_spans
+from . import adaptive_rules, bpe, fair_mix, hyperminhash, sentence_spans, topk, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,21 @@ def word_bpe_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: (host, path, verdict) of the query's rules.
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
+
+
+@query
+def op1_url_filter(spark, folder):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged_urls(table(spark, folder, "pages"), rules)
+
+
+ORACLE["op1_url_filter"] = url_filter.urls_sql(URL_RULES)
+
+
 @query
 def op3_fair_mix(spark, folder):
     return fair_mix.mix(table(spark, folder, "documents"))
@@ -33,6 +48,15 @@ def op3_fair_mix(spark, folder):
 ORACLE["op3_fair_mix"] = fair_mix.mix_sql()
 
 
+@query
+def op4_top_k(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+ORACLE["op4_top_k"] = topk.topk_sql()
+
+
 @query
 def op5_near_duplicates(spark, folder):
     found = hyperminhash.near_duplicates(table(spark, folder, "documents"), k=2, percent=80)
