@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import written
-from . import adaptive_rules, bpe, fair_mix, hyperminhash, sentence_spans, topk, url_filter
+from . import adaptive_rules, bpe, fair_mix, huffman, hyperminhash, sentence_spans, token_histogram, topk, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,11 @@ def op6_bpe_round_trip(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), word_bpe_file())
 
 
+@query
+def op7_token_files(spark, folder):
+    return huffman.tokens_written_and_read(table(spark, folder, "documents"), word_bpe_file())
+
+
 @query
 def op8_sentence_spans(spark, folder):
     return sentence_spans.dedup_texts(table(spark, folder, "documents"))
@@ -80,3 +85,8 @@ def op9_adaptive_rules(spark, folder):
 
 
 ORACLE["op9_adaptive_rules"] = adaptive_rules.rules_sql()
+
+
+@query
+def op10_token_histogram(spark, folder):
+    return token_histogram.token_counts(table(spark, folder, "documents"), word_bpe_file())
