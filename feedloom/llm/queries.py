@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import written
-from . import adaptive_rules, bpe, fair_mix, huffman, hyperminhash, sentence_spans, token_histogram, topk, url_filter
+from . import (
+    adaptive_rules, bpe, fair_mix, huffman, hyperminhash, quality_pu, sentence_spans, token_histogram, topk, url_filter,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,11 @@ def op1_url_filter(spark, folder):
 ORACLE["op1_url_filter"] = url_filter.urls_sql(URL_RULES)
 
 
+@query
+def op2_quality_pu(spark, folder):
+    return quality_pu.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op3_fair_mix(spark, folder):
     return fair_mix.mix(table(spark, folder, "documents"))
