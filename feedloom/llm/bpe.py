@@ -30,6 +30,12 @@ from pyspark.sql import functions as F
 from .common import Memo, per_batch
 
 LONG = 96
+#: Remembered stretches between white space, and words in them, per worker.
+CHUNKS, WORDS = 120_000, 250_000
+#: Below this character every text is in normal form, and lower-casing is letter by letter.
+PLAIN = "\u0250"
+#: Characters that str.split() takes for white space but the vocabulary's split does not.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Texts are cut at white space into pieces of about so many characters, to bound memory.
 PIECE = 1_000_000
 _NONE = 1 << 60
@@ -114,7 +120,9 @@ class Codec:
         self.pieces: list[str | None] = [None] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             self.pieces[i] = token
-        self.memo = Memo(self.word)
+        self.byte_letters = {i: c for i, c in enumerate(letters)}
+        self.memo = Memo(self.chunk, CHUNKS)
+        self.known = Memo(self.word, WORDS)
 
     def word(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
@@ -123,6 +131,20 @@ class Codec:
         merged = merge_short(parts, self.pairs) if len(parts) <= LONG else merge_long(parts, self.pairs)
         return struct.pack(f"<{len(merged)}I", *merged)
 
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a normalised stretch without white space; no pre-token goes over white space."""
+        if chunk.isalpha():
+            return self.known[chunk]
+        return b"".join([self.known[w] for w in self.split.findall(chunk)])
+
+    def chunks(self, part: str) -> list[str]:
+        """The normalised stretches of a text; the library's normaliser runs where the short way might differ."""
+        if max(part) >= PLAIN:
+            part = self.normalizer.normalize_str(part)
+        else:
+            part = part.lower()
+        return [part] if any(c in part for c in ODD) else part.split()
+
     def segments(self, text: str) -> Iterator[str | int]:
         """Stretches of ordinary text, and ids of the added tokens between them."""
         start = 0
@@ -144,10 +166,8 @@ class Codec:
             if isinstance(part, int):
                 out.append(struct.pack("<I", part))
                 continue
-            # For ASCII the normaliser only lower-cases and joins white space, which the split drops anyway.
-            low = part.lower() if part.isascii() else self.normalizer.normalize_str(part)
             memo = self.memo
-            out.append(b"".join([memo[w] for w in self.split.findall(low)]))
+            out.append(b"".join([memo[c] for c in self.chunks(part)]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

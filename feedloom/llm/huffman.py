@@ -135,7 +135,7 @@ def unpack(blocks: list[tuple[int, bytes, bytes]], table: tuple[np.ndarray, np.n
 
 
 def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """(doc_id, ids): each text's ids as little-endian uint16 (or uint32) with the end id behind; one pass, no shuffle."""
+    """(doc_id, ids): each text's ids as little-endian uint32 with the end id behind; one pass, no shuffle."""
     from .lib_words import library_codec
 
     def run(cols):
@@ -154,13 +154,11 @@ def global_counts(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                found = np.bincount(np.frombuffer(ids, "<u4"))
-                if len(found) > len(total):
-                    found[:len(total)] += total
-                    total = found
-                else:
-                    total[:len(found)] += found
+            for start in range(0, batch.num_rows, 256):
+                data = b"".join(batch.column("ids").slice(start, 256).to_pylist())
+                found = np.bincount(np.frombuffer(data, "<u4"), minlength=len(total))
+                found[:len(total)] += total
+                total = found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 

@@ -1,58 +1,31 @@
 """Token ids through the tokenizers library, word by word.
 
-The library's own normaliser and split decide the words; each word not yet known to the worker is encoded by the
-library, in batches, and remembered, so a word is encoded once however often it occurs.  The ids of a text are those of
-its words in order, which is how the library's word-level BPE works; tests hold them against whole-text encoding.
+The vocabulary's own normaliser and split decide the words; the library's model encodes each word once, and its ids are
+remembered by the stretch of text they stand in, so a stretch is encoded once however often it occurs.  The ids of a text are
+those of its words in order; tests hold them against the library's whole-text encoding.
 """
 
 from __future__ import annotations
 
 import functools
-import os
 import struct
 
 from .bpe import Codec
 
-WORDS = 600_000
-
 
 class LibraryCodec(Codec):
     def __init__(self, file: str):
         super().__init__(file)
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.known: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(file)
-        # Words are normalised and split already: the library only maps bytes and merges.
-        self.library.normalizer = None
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.library.encode_special_tokens = True
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.known.clear()
-        new = list(words)
-        for word, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def encode(self, text: str | None) -> bytes:
-        out = []
-        for part in self.segments(text or ""):
-            if isinstance(part, int):
-                out.append(struct.pack("<I", part))
-                continue
-            found = self.split.findall(part.lower() if part.isascii() else self.normalizer.normalize_str(part))
-            new = set(found).difference(self.known)
-            if new:
-                self.learn(new)
-            known = self.known
-            try:
-                out.append(b"".join([known[w] for w in found]))
-            except KeyError:  # the memory was emptied for the new words: learn this text's words together
-                self.learn(set(found))
-                out.append(b"".join([self.known[w] for w in found]))
-        return b"".join(out)
+        self.model = self.library.model
+
+    def word(self, word: str) -> bytes:
+        """The model reads bytes as letters; printable ASCII letters stand for themselves."""
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.byte_letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.cache
