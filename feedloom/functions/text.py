@@ -98,9 +98,11 @@ def on_boundary(lowered: Column, term: Column) -> Column:
 def word_hits_in(lowered: Column, terms: Sequence[str]) -> Column:
     """As `word_hits`, for a text that is lower-cased already.
 
-    The cheap substring test runs first; only its survivors meet a regex.
+    Terms are trimmed for the test.  The cheap substring test runs first; only its survivors meet a regex.
     """
-    return F.filter(contained(lowered, terms), lambda t: on_boundary(lowered, t))
+    return F.filter(
+        literals(terms), lambda t: F.contains(lowered, F.lower(F.trim(t))) & on_boundary(lowered, F.trim(t))
+    )
 
 
 def word_hits(text: Column, terms: Sequence[str]) -> Column:
@@ -113,7 +115,7 @@ def any_word_hit(text: Column, terms: Column) -> Column:
         let(
             F.lower(text),
             lambda low: F.exists(
-                terms, lambda t: F.contains(low, F.lower(t)) & on_boundary(low, F.trim(t))
+                terms, lambda t: F.contains(low, F.lower(F.trim(t))) & on_boundary(low, F.trim(t))
             ),
         ),
         F.lit(False),

@@ -1,4 +1,4 @@
-"""Detail enrichment of listings, under a title/place predicate and a cap."""
+"""Detail enrichment of listings, under a title/place predicate and an optional cap."""
 
 from __future__ import annotations
 
@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from .identity import first_n_per_key
 
-DETAIL_CAP = 40
-
 
 def eligible_for_detail(
-    listing: DataFrame, predicate: Column, order: list[str | Column], key: str, cap: int = DETAIL_CAP
+    listing: DataFrame, predicate: Column, order: list[str | Column], key: str, cap: int | Column | None = None
 ) -> DataFrame:
-    """(company, key) of the first `cap` rows per source that pass the predicate.
+    """(company, key) of the rows per source that pass the predicate, all or the first `cap`.
 
-    The predicate runs below the window, and the cap is a group limit applied
-    before the shuffle, so a hot source costs one short list per task.
+    The predicate runs below the window, and a constant cap is a group limit applied
+    before the shuffle, so a hot source costs one short list per task.  A cap column
+    holds each source's own; NULL is no cap.
     """
-    return first_n_per_key(listing.where(predicate), ["company"], order, cap).select("company", key)
+    wanted = listing.where(predicate)
+    if cap is not None:
+        wanted = first_n_per_key(wanted, ["company"], order, cap)
+    return wanted.select("company", key)
 
 
 def enrich(
     listing: DataFrame, details: DataFrame, predicate: Column, order: list[str | Column],
-    key: str, cap: int = DETAIL_CAP,
+    key: str, cap: int | Column | None = None,
 ) -> DataFrame:
     """Listing left-joined to its allowed details; `detail` is a struct or NULL."""
     allowed = eligible_for_detail(listing, predicate, order, key, cap)

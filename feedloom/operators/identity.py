@@ -49,7 +49,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     return present.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
 
 
-def first_n_per_key(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
-    """First `n` rows per key (a per-source cap), bounded before the shuffle too."""
+def first_n_per_key(df: DataFrame, keys: list[str], order: list[str | Column], n: int | Column) -> DataFrame:
+    """First `n` rows per key (a per-source cap; a constant bounds the rows before the shuffle too)."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= n).drop("_nth")
+    within = F.coalesce(F.col("_nth") <= n, F.lit(True)) if isinstance(n, Column) else F.col("_nth") <= n
+    return df.withColumn("_nth", F.row_number().over(window)).where(within).drop("_nth")

@@ -103,9 +103,20 @@ def only_new(active: DataFrame, new: DataFrame) -> DataFrame:
 
 def explore(
     active: DataFrame, new: DataFrame, conditions: Explore, pack: RulePack,
-    by: str = "score", limit: int = 400,
+    by: str = "score", limit: int | None = None,
 ) -> DataFrame:
+    """All rows that match, in explorer order; only an explicit `limit` cuts them."""
     found = active.where(conditions.condition(pack))
     if conditions.new_only:
         found = only_new(found, new)
-    return found.orderBy(*explorer_order(by)).limit(limit)
+    ordered = found.orderBy(*explorer_order(by))
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def explore_page(
+    active: DataFrame, new: DataFrame, conditions: Explore, pack: RulePack, by: str, size: int,
+) -> DataFrame:
+    """The first `size` rows that match, each with `matched`, the number of all that do."""
+    found = explore(active, new, conditions, pack, by)
+    total = found.agg(F.count(F.lit(1)).alias("matched")).withColumn("_one", F.lit(1))
+    return found.limit(size).withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")

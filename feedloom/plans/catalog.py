@@ -62,10 +62,8 @@ def site_links(spark, folder):
 
 @query
 def url_dedup_first_wins(spark, folder):
-    site = table(spark, folder, "pages").select(
-        "page_id", canonical_url(absolute_url(F.col("url"), F.lit("/"))).alias("site")
-    )
-    return identity.first_per_key(site, ["site"], ["page_id"])
+    pages = table(spark, folder, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical_url"))
+    return identity.first_per_key(pages, ["canonical_url"], ["page_id"])
 
 
 @query
@@ -395,19 +393,29 @@ def mark_announced(spark, folder):
 
 
 # ------------------------------------------------------------------- detail
-@query
-def detail_enrichment_capped(spark, folder):
-    """Documents as a listing, their labels as landed details, 40 per source."""
+def _detailed(spark, folder, cap: int | None = None) -> DataFrame:
     listing = views.doc_texts(spark, folder).withColumn("detail_key", F.col("doc_id"))
     details = table(spark, folder, "labels").select(F.col("doc_id").alias("detail_key"), "quality", "toxic")
     owned = details.join(listing.select("company", "detail_key"), "detail_key")
-    done = enrich.enrich(listing, owned, gates.title_prefilter(F.col("title"), PACK), ["doc_id"], "detail_key")
+    done = enrich.enrich(listing, owned, gates.title_prefilter(F.col("title"), PACK), ["doc_id"], "detail_key", cap)
     return done.select(
         "doc_id", "company",
         F.col("detail.quality").alias("quality"), F.col("detail.toxic").alias("toxic"),
     )
 
 
+@query
+def detail_enrichment(spark, folder):
+    """Documents as a listing, their labels as landed details."""
+    return _detailed(spark, folder)
+
+
+@query
+def detail_enrichment_capped(spark, folder):
+    """The same with an explicit cap of 40 details per source."""
+    return _detailed(spark, folder, 40)
+
+
 # ------------------------------------------------------------------- health
 def shown_health(folded: DataFrame) -> DataFrame:
     return folded.select(
@@ -487,8 +495,7 @@ def report_summary(spark, folder):
 
 @query
 def rows_per_source(spark, folder):
-    rows = views.doc_texts(spark, folder).where(F.col("lang") == "fr")
-    return health.rows_per_source(rows, views.sources(spark, folder))
+    return health.rows_per_source(views.doc_texts(spark, folder), views.sources(spark, folder))
 
 
 @query
@@ -554,6 +561,14 @@ def explore_by_company(spark, folder):
     )
 
 
+@query
+def explore_page(spark, folder):
+    """A page of an explicit size with the number of all matches."""
+    rows = judged(spark, folder)
+    page = rank.explore_page(rows, rows, rank.Explore(location="e", show_disqualified=True), PACK, "date", 400)
+    return page.select("job_id", "company", "title", "overall_score", "date_posted", "matched")
+
+
 @query
 def new_only(spark, folder):
     merge = merged(spark, folder)

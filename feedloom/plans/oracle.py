@@ -424,8 +424,8 @@ ORACLE: dict[str, str] = {
     "site_links": """SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/jobs' AS rooted,
       regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'next' AS beside,
       regexp_extract(url, '^([a-z]+):', 1) || '://cdn.example.org/x' AS other_host, url AS itself FROM pages""",
-    "url_dedup_first_wins": """SELECT lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) AS site, min(page_id) AS page_id
-      FROM pages GROUP BY 1""",
+    "url_dedup_first_wins": f"""SELECT canonical_url, min(page_id) AS page_id
+      FROM (SELECT page_id, {canonical('url')} AS canonical_url FROM pages) WHERE canonical_url <> '' GROUP BY 1""",
     "normalized_text": f"SELECT doc_id, {norm_ws('text')} AS text FROM documents",
     "evidence_passages": _with(
         f"{DOCS}, found AS (SELECT doc_id, description, {hits('lower(description)', P.positive)}[1] AS phrase FROM docs)",
@@ -536,6 +536,11 @@ ORACLE: dict[str, str] = {
         """SELECT d.doc_id, company, l.quality, l.toxic FROM docs d LEFT JOIN (SELECT * FROM labels WHERE doc_id IN (SELECT doc_id FROM allowed)) l
         ON l.doc_id = d.doc_id""",
     ),
+    "detail_enrichment": _with(
+        f"{DOCS}, decided AS (SELECT doc_id, company, {TITLE_HITS} FROM docs)",
+        """SELECT d.doc_id, company, CASE WHEN ok THEN l.quality END AS quality, CASE WHEN ok THEN l.toxic END AS toxic
+        FROM (SELECT doc_id, company, len(matched) > 0 AND len(excluded) = 0 AS ok FROM decided) d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    ),
     "source_health_fold": _with(FOLD, "SELECT company, last_attempt, last_success, status, jobs_fetched, consecutive_failures, runs FROM folded"),
     "source_outcomes": _with(OUTCOMES, "SELECT company, source_type, status, jobs_fetched, error_category, error_message FROM outcomes"),
     "source_health_step": _with(
@@ -579,7 +584,7 @@ ORACLE: dict[str, str] = {
     "rows_per_source": _with(
         SOURCES,
         """SELECT name AS company, coalesce(n, 0) AS jobs_fetched FROM sources
-        LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY 1) ON source = name""",
+        LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) ON source = name""",
     ),
     "company_list": "SELECT DISTINCT source AS company FROM documents",
     "unknown_sources": """SELECT DISTINCT 'src' || user_id AS name FROM events
@@ -604,18 +609,23 @@ ORACLE: dict[str, str] = {
         ALL_JUDGED,
         f"""SELECT job_id, company, title, overall_score, date_posted FROM judged WHERE NOT disqualified AND overall_score >= 40
         AND (contains(lower(title), 'the') OR contains(lower(company), 'the')) AND {FAMILY} = 'articles'
-        ORDER BY overall_score DESC, date_posted DESC, job_id LIMIT 400""",
+        ORDER BY overall_score DESC, date_posted DESC, job_id""",
     ),
     "explore_by_date": _with(
         ALL_JUDGED,
         """SELECT job_id, company, title, overall_score, date_posted FROM judged WHERE contains(lower(location), 'e')
-        ORDER BY date_posted DESC, overall_score DESC, job_id LIMIT 400""",
+        ORDER BY date_posted DESC, overall_score DESC, job_id""",
+    ),
+    "explore_page": _with(
+        ALL_JUDGED,
+        """SELECT job_id, company, title, overall_score, date_posted, count(*) OVER () AS matched FROM judged
+        WHERE contains(lower(location), 'e') ORDER BY date_posted DESC, overall_score DESC, job_id LIMIT 400""",
     ),
     "explore_by_company": _with(
         ALL_JUDGED,
         """SELECT job_id, company, title, overall_score, date_posted FROM judged WHERE company = 'src4' AND NOT disqualified
         AND sponsorship_classification = 'likely_supported' AND date_posted >= '1998-01-01'
-        ORDER BY lower(company), company, overall_score DESC, job_id LIMIT 400""",
+        ORDER BY lower(company), company, overall_score DESC, job_id""",
     ),
     "new_only": _with(MERGED, "SELECT job_id, company FROM merged WHERE lifecycle = 'new'"),
     "report_lines": _with(
@@ -649,10 +659,9 @@ def feed(source: str = "documents", ctes: str = "", **columns: str) -> str:
 
 
 def detailed(eligible: str = "TRUE") -> str:
-    """Documents with `has_detail`: labelled, passing the title gate, first 40 per source."""
+    """Documents with `has_detail`: labelled and passing the title gate."""
     return f"""decided AS (SELECT doc_id, source, lang, {TITLE_HITS} FROM (SELECT *, {SENTENCE} AS title FROM documents)),
-allowed AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth
-  FROM decided WHERE len(matched) > 0 AND len(excluded) = 0 AND {eligible}) WHERE nth <= 40),
+allowed AS (SELECT doc_id FROM decided WHERE len(matched) > 0 AND len(excluded) = 0 AND {eligible}),
 feed AS (SELECT d.*, a.doc_id IS NOT NULL AND l.doc_id IS NOT NULL AS has_detail FROM documents d
   LEFT JOIN allowed a ON a.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
@@ -769,7 +778,7 @@ ORACLE.update(
             WHEN lang = 'de' THEN 'parse_error' ELSE 'structure_changed' END AS category, count(*) AS n
           FROM documents WHERE lang <> 'en' OR source = 'src9' GROUP BY ALL""",
         "page_text": f"SELECT page_id, {page_plain('html')} AS text FROM pages",
-        "page_articles": f"SELECT page_id, left({page_plain(_ARTICLE)}, 20000) AS text FROM pages",
+        "page_articles": f"SELECT page_id, {page_plain(_ARTICLE)} AS text FROM pages",
         "page_rows": _with(
             _NAV,
             f"""SELECT company, {norm_ws('raw')} AS title, application_url FROM (

@@ -82,7 +82,7 @@ def _in_scope(sources: DataFrame, only: list[str] | None) -> DataFrame:
     if not only:
         return sources
     wanted = sources.sparkSession.createDataFrame([(n,) for n in only], "name STRING")
-    unknown = [r["name"] for r in gates.unknown_companies(wanted, sources).orderBy("name").take(20)]
+    unknown = [r["name"] for r in gates.unknown_companies(wanted, sources).orderBy("name").take(len(only))]
     if unknown:
         raise ValueError(f"unknown companies: {', '.join(unknown)}")
     return gates.only_companies(sources, only)

@@ -36,10 +36,14 @@ def build_session(app: str = "feedloom", master: str | None = None, **settings:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a session without the setting (a local test) gets a folder of its own.
+    Only a local session without the setting (a test) gets a folder of its own; on a cluster
+    its executors could not see a folder of the driver's machine, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

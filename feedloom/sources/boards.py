@@ -11,7 +11,7 @@ from ..functions.text import first_filled, text_or_empty
 from ..operators.enrich import enrich
 from ..operators.gates import location_matches, title_prefilter, with_source
 from ..operators.identity import first_per_key
-from .landing import Context, Normalized, open_items, register
+from .landing import Context, Normalized, detail_cap, open_items, register
 
 KEEP = ["company", "source_type", "fetch_ord"]
 
@@ -135,10 +135,10 @@ def _wants_detail(ctx: Context) -> Column:
 
 
 def with_details(listing: DataFrame, ctx: Context, predicate: Column, schema: str) -> DataFrame:
-    """Attach parsed detail answers (`info`, NULL without one) within the cap."""
+    """Attach parsed detail answers (`info`, NULL without one), within a source's cap if it has one."""
     if ctx.details is None:
         return listing.withColumn("info", F.from_json(F.lit(None).cast("string"), schema))
-    joined = enrich(listing, ctx.details, predicate, ["fetch_ord"], "detail_key")
+    joined = enrich(listing, ctx.details, predicate, ["fetch_ord"], "detail_key", detail_cap(ctx))
     return joined.withColumn("info", F.from_json(F.col("detail.body"), schema)).drop("detail")
 
 

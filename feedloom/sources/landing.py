@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import lookup
 from ..functions.text import let, text_or_empty
 from ..operators.gates import skipped_source
 from ..rules import POSTING, RulePack
@@ -36,6 +37,15 @@ class Context:
     configs: dict[str, dict] = field(default_factory=dict)
 
 
+def detail_cap(ctx: Context) -> Column | None:
+    """Each source's configured `detail_fetch_cap`; None, or NULL in the column, is no cap."""
+    caps = {c: int(cfg["detail_fetch_cap"]) for c, cfg in ctx.configs.items() if cfg.get("detail_fetch_cap") is not None}
+    if not caps:
+        return None
+    fallback = F.lit(caps.pop("*", None)).cast("int")
+    return lookup(F.col("company"), caps, fallback) if caps else fallback
+
+
 @dataclass(frozen=True)
 class Normalized:
     records: DataFrame

@@ -20,11 +20,10 @@ from ..operators.enrich import enrich
 from ..operators.gates import title_prefilter
 from ..operators.identity import first_per_key
 from .boards import filled
-from .landing import Context, Normalized, explode_once, page_order, problem_rows, register
+from .landing import Context, Normalized, detail_cap, explode_once, page_order, problem_rows, register
 
 # Marks of a page that asks for a human.
 CHALLENGE_MARKERS = ["captcha", "cf-challenge", "are you a robot", "access denied"]
-DETAIL_CHARS = 20000
 _BLOCK = (
     r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
 )
@@ -103,7 +102,9 @@ def jsonld_blocks(pages: DataFrame) -> DataFrame:
     return exploded.withColumn("postings", _postings("block"))
 
 
-def jsonld_records(blocks: DataFrame) -> DataFrame:
+def jsonld_records(blocks: DataFrame, direct: bool = True) -> DataFrame:
+    """One record per posting; without an address of its own, `direct` lets directApply stand in before the page."""
+    links = [_json(F.col("item"), name) for name in (("url", "directApply") if direct else ("url",))]
     # Blocks come in page order and postings in block order.
     each = explode_once(
         blocks.select(
@@ -121,7 +122,7 @@ def jsonld_records(blocks: DataFrame) -> DataFrame:
         F.when(_json(p, "jobLocationType") == "TELECOMMUTE", F.lit("remote")).otherwise(F.lit("")).alias("workplace_type"),
         text_or_empty(F.get(_listed(_json(p, "employmentType")), F.lit(0))).alias("employment_type"),
         text_or_empty(_json(p, "description")).alias("description"),
-        first_filled(_json(p, "url"), _json(p, "directApply"), F.col("url")).alias("application_url"),
+        first_filled(*links, F.col("url")).alias("application_url"),
         F.col("url").alias("source_url"),
         iso_prefix(_json(p, "datePosted")).alias("date_posted"),
     )
@@ -240,6 +241,8 @@ def _read_rows(
     """Rows of each page by its source's selectors; empty when none matched."""
 
     def read(page, address, row_sel, title_sel, location_sel, date_sel):
+        if page is None:
+            return []
         cells = {"title": title_sel, "location": location_sel, "date": date_sel}
         reader = _RowReader(row_sel, cells)
         reader.feed(page)
@@ -286,14 +289,17 @@ def _setting(ctx: Context, name: str, default: str = "") -> Column:
     return lookup(F.col("company"), table, fallback) if table else fallback
 
 
-def read_rows(pages: DataFrame, ctx: Context) -> DataFrame:
-    """Pages with an array column `rows`, read by each source's selectors."""
-    base = first_filled(_setting(ctx, "url_prefix"), F.col("url"))
+def read_rows(pages: DataFrame, ctx: Context, landed: bool = True) -> DataFrame:
+    """Pages with an array column `rows`, read by each source's selectors.
+
+    Rendered pages (`landed=False`) have neither a link prefix nor a date selector.
+    """
+    base = first_filled(_setting(ctx, "url_prefix"), F.col("url")) if landed else F.col("url")
     return pages.withColumn(
         "rows",
         _read_rows(
             "body", base, _setting(ctx, "row_selector"), _setting(ctx, "title_selector"),
-            _setting(ctx, "location_selector"), _setting(ctx, "date_selector"),
+            _setting(ctx, "location_selector"), _setting(ctx, "date_selector") if landed else F.lit(""),
         ),
     )
 
@@ -320,16 +326,17 @@ def with_page_details(records: DataFrame, ctx: Context) -> DataFrame:
     wanted = title_prefilter(F.col("title"), ctx.pack) & (
         _setting(ctx, "fetch_details", "True") != "False"
     )
-    joined = enrich(listing, ctx.details, wanted, ["fetch_ord"], "detail_key")
+    joined = enrich(listing, ctx.details, wanted, ["fetch_ord"], "detail_key", detail_cap(ctx))
     selector = _setting(ctx, "detail_selector", "body")
     return joined.withColumn(
         "description", element_text(F.col("detail.body"), selector)
     ).drop("detail", "detail_key")
 
 
-def element_text(body: Column, selector: Column) -> Column:
-    """Text of the first selected element, normalised and cut."""
-    return F.left(normalize_ws(_read_element(body, selector)), F.lit(DETAIL_CHARS))
+def element_text(body: Column, selector: Column, limit: int | None = None) -> Column:
+    """Text of the first selected element, normalised; whole unless a limit is given."""
+    text = normalize_ws(_read_element(body, selector))
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
 @register("html")
@@ -339,7 +346,7 @@ def html_rows(pages: DataFrame, ctx: Context) -> Normalized:
         & (_setting(ctx, "row_selector") != "") & (_setting(ctx, "title_selector") != "")
     )
     read = read_rows(pages, ctx)
-    category = F.when(~usable, F.lit("invalid_config")).when(
+    category = F.when(~usable, F.lit("invalid_config")).when(F.col("body").isNull(), F.lit("parse_error")).when(
         (F.col("page_no") == 0) & (F.size("rows") == 0), F.lit("structure_changed")
     )
     checked = read.withColumn("category", category)
@@ -357,16 +364,19 @@ def rendered(pages: DataFrame, ctx: Context) -> Normalized:
         F.array(*[F.lit(m) for m in CHALLENGE_MARKERS]), lambda m: F.contains(low, m)
     )
     usable = (_setting(ctx, "row_selector") != "") & (_setting(ctx, "title_selector") != "")
-    open_pages = pages.where(~challenged)
-    structured = jsonld_records(jsonld_blocks(open_pages))
+    challenged = F.coalesce(challenged, F.lit(False))
+    broken = F.col("body").isNull()
+    open_pages = pages.where(~challenged & ~broken)
+    structured = jsonld_records(jsonld_blocks(open_pages), direct=False)
     plain = open_pages.join(
         structured.select("company", F.col("source_url").alias("url")).distinct(),
         ["company", "url"], "left_anti",
     )
-    rows = selector_records(read_rows(plain.where(usable), ctx))
+    rows = selector_records(read_rows(plain.where(usable), ctx, landed=False))
     bad = pages.where(challenged).withColumn("category", F.lit("blocked")).unionByName(
         plain.where(~usable).withColumn("category", F.lit("invalid_config")).select(*pages.columns, "category")
     )
+    bad = bad.unionByName(pages.where(broken).withColumn("category", F.lit("parse_error")))
     kept = structured.select("company", "source_type", "fetch_ord", "title", "description",
                              "application_url", "source_url", "date_posted")
     return Normalized(kept.unionByName(rows, allowMissingColumns=True), problem_rows(bad))

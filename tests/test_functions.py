@@ -195,3 +195,26 @@ def test_bands_and_labels(one):
     ]
     assert one(labels.sponsorship_badge(F.lit("unclear"))) == "⚪ unclear"
     assert one(labels.sponsorship_label(F.lit("other"))) == "other"
+
+
+def test_terms_are_trimmed_before_both_tests(one):
+    from feedloom.functions.text import any_word_hit, word_hits
+
+    assert one(word_hits(F.col("x"), ["us ", "eu"]), x="Remote (US)") == ["us "]
+    assert one(any_word_hit(F.col("x"), F.array(F.lit(" us "))), x="Remote (US)") is True
+
+
+def test_only_a_local_session_makes_its_own_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from feedloom.session import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("yarn", "hdfs:/shared/")) == "hdfs:/shared"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))

@@ -132,9 +132,10 @@ def test_workday_first_wins_and_details(spark):
 def test_detail_cap_is_per_source(spark):
     items = [{"id": i, "name": "SWE I", "locations": ["Austin"]} for i in range(50)]
     details = [("Acme", str(i), {"data": {"jobDescription": "<p>D</p>"}}) for i in range(50)]
-    got, _ = run(spark, boards.eightfold, [page({"data": {"positions": items}}, kind="eightfold")],
-                 [source(kind="eightfold", ident="h.test/d.test")], details=details)
-    assert len(got) == 50 and sum(r["description"] == "D" for r in got) == 40
+    for configs, expected in (({}, 50), ({"Acme": {"detail_fetch_cap": 40}}, 40)):
+        got, _ = run(spark, boards.eightfold, [page({"data": {"positions": items}}, kind="eightfold")],
+                     [source(kind="eightfold", ident="h.test/d.test")], details=details, configs=configs)
+        assert len(got) == 50 and sum(r["description"] == "D" for r in got) == expected
     assert [r["source_job_id"] for r in got if r["description"]] == [str(i) for i in range(40)]
 
 
@@ -297,3 +298,34 @@ def test_plan_run_is_lazy(spark):
     empty = load_records(spark, "/nonexistent/feedloom")
     run_ = plan_run(spark.createDataFrame([page(BOARD)], LANDING_SCHEMA), ctx, empty, empty, load_health(spark, "/nonexistent/feedloom"))
     assert run_.merge.new.count() == 2
+
+
+def test_a_page_without_a_body_is_a_parse_error_not_a_job_failure(spark):
+    _, problems = run(spark, pages.html_rows, [page(None, kind="html")], [source(kind="html")], configs={"Acme": SELECT})
+    assert problems == [("Acme", "parse_error")]
+    _, problems = run(spark, pages.rendered, [page(None, kind="playwright")], [source(kind="playwright")], configs={"Acme": SELECT})
+    assert problems == [("Acme", "parse_error")]
+
+
+def test_a_rendered_posting_without_url_links_to_its_page(spark):
+    body = '<script type="application/ld+json">{"@type": "JobPosting", "title": "Dev", "directApply": true}</script>'
+    got, _ = run(spark, pages.rendered, [page(body, kind="playwright", url="https://a.test/x")], [source(kind="playwright")], configs={"Acme": SELECT})
+    assert [g["application_url"] for g in got] == ["https://a.test/x"]
+
+
+def test_detail_cap_is_a_setting_of_the_source(spark):
+    from feedloom.operators.enrich import enrich
+    from feedloom.sources.landing import detail_cap
+
+    names = ["A"] * 3 + ["B"] * 3 + ["C"] * 3
+    listing = spark.createDataFrame([(n, str(i), i) for i, n in enumerate(names)], "company STRING, detail_key STRING, fetch_ord INT")
+    details = listing.select("company", "detail_key", F.lit("x").alias("body"))
+
+    def attached(configs):
+        cap = detail_cap(Context(listing, now(), configs=configs))
+        rows = enrich(listing, details, F.lit(True), ["fetch_ord"], "detail_key", cap).where("detail IS NOT NULL")
+        return sorted(rows.groupBy("company").count().collect())
+
+    assert attached({}) == [("A", 3), ("B", 3), ("C", 3)]
+    assert attached({"A": {"detail_fetch_cap": 1}}) == [("A", 1), ("B", 3), ("C", 3)]
+    assert attached({"A": {"detail_fetch_cap": 1}, "*": {"detail_fetch_cap": 2}}) == [("A", 1), ("B", 2), ("C", 2)]
