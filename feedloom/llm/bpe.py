@@ -19,6 +19,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import Memo, per_batch
 
 LONG = 96
-#: Remembered stretches between white space, and words in them, per worker.
-CHUNKS, WORDS = 120_000, 250_000
+#: Remembered words, and stretches between white space that hold several, per worker.
+WORDS = 300_000
 #: Below this character every text is in normal form, and lower-casing is letter by letter.
-PLAIN = "\u0250"
+NOT_PLAIN = re.compile("[\u0250-\U0010ffff]")
 #: Characters that str.split() takes for white space but the vocabulary's split does not.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Texts are cut at white space into pieces of about so many characters, to bound memory.
@@ -103,7 +104,8 @@ class Codec:
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.normalizer = Tokenizer.from_file(file).normalizer
+        self.library = Tokenizer.from_file(file)
+        self.normalizer = self.library.normalizer
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         vocab = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -111,9 +113,7 @@ class Codec:
             "(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")"
         ) if self.special else None
         end = model.get("end_of_word_suffix") or ""
-        self.pairs = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.pairs = self.ranks(model["merges"], vocab)
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + end] for c in letters]
@@ -121,8 +121,12 @@ class Codec:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.pieces[i] = token
         self.byte_letters = {i: c for i, c in enumerate(letters)}
-        self.memo = Memo(self.chunk, CHUNKS)
-        self.known = Memo(self.word, WORDS)
+        self.memo = Memo(self.chunk, WORDS)
+
+    @staticmethod
+    def ranks(merges: list, vocab: dict[str, int]) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, merged id) of each pair of ids that merges."""
+        return {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
 
     def word(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
@@ -134,12 +138,13 @@ class Codec:
     def chunk(self, chunk: str) -> bytes:
         """Ids of a normalised stretch without white space; no pre-token goes over white space."""
         if chunk.isalpha():
-            return self.known[chunk]
-        return b"".join([self.known[w] for w in self.split.findall(chunk)])
+            return self.word(chunk)
+        found = self.split.findall(chunk)
+        return self.word(chunk) if found == [chunk] else b"".join([self.memo[w] for w in found])
 
     def chunks(self, part: str) -> list[str]:
         """The normalised stretches of a text; the library's normaliser runs where the short way might differ."""
-        if max(part) >= PLAIN:
+        if NOT_PLAIN.search(part):
             part = self.normalizer.normalize_str(part)
         else:
             part = part.lower()

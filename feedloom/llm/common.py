@@ -40,16 +40,24 @@ def chained(columns: Sequence[np.ndarray]) -> np.ndarray:
 
 
 class Memo(dict):
-    """A dict that computes missing values; emptied when full, so a worker's memory stays bounded."""
+    """A dict that computes missing values and keeps at most `limit` of them, so a worker's memory stays bounded.
+
+    Values are held in two generations of half the limit: when the young one is full it becomes the old one, from which
+    values in use move back.  Frequent keys so outlive the many that occur once.
+    """
 
     def __init__(self, make: Callable, limit: int = 400_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.old = make, max(1, limit // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
