@@ -134,21 +134,26 @@ def unpack(blocks: list[tuple[int, bytes, bytes]], table: tuple[np.ndarray, np.n
     return found
 
 
-def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """(doc_id, ids): each text's ids as little-endian uint32 with the end id behind; one pass, no shuffle."""
+def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, width: int = 4) -> DataFrame:
+    """(doc_id, ids): each text's ids as little-endian integers of `width` bytes, the end id behind; one pass, no shuffle.
+
+    A vocabulary with ids too large for `width` is an error.
+    """
     from .lib_words import library_codec
 
     def run(cols):
-        encode = library_codec(file).encode
-        stop = np.array([end], "<u4").tobytes()
-        return {"doc_id": cols["doc_id"], "ids": [encode(t) + stop for t in cols["text"]]}
+        codec = library_codec(file)
+        if max(len(codec.pieces) - 1, end) >= 1 << 8 * width:
+            raise ValueError(f"{len(codec.pieces)} ids need more than {width} bytes")
+        stop, kind = np.array([end], f"<u{width}").tobytes(), f"<u{width}"
+        return {"doc_id": cols["doc_id"], "ids": [np.frombuffer(codec.encode(t), "<u4").astype(kind).tobytes() + stop for t in cols["text"]]}
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(per_batch(run, schema), "doc_id long, ids binary")
 
 
-def global_counts(rows: DataFrame) -> np.ndarray:
+def global_counts(rows: DataFrame, width: int = 4) -> np.ndarray:
     """How often each id occurs: counted per partition, summed by Spark; as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +161,7 @@ def global_counts(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 data = b"".join(batch.column("ids").slice(start, 256).to_pylist())
-                found = np.bincount(np.frombuffer(data, "<u4"), minlength=len(total))
+                found = np.bincount(np.frombuffer(data, f"<u{width}"), minlength=len(total))
                 found[:len(total)] += total
                 total = found
         at = np.flatnonzero(total)
@@ -169,10 +174,10 @@ def global_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def write_tokens(rows: DataFrame, folder: str) -> None:
-    """Write (doc_id, ids) rows as token files."""
+def write_tokens(rows: DataFrame, folder: str, width: int = 4) -> None:
+    """Write (doc_id, ids) rows, ids of `width` bytes each, as token files."""
     spark = rows.sparkSession
-    lengths = code_lengths(global_counts(rows))
+    lengths = code_lengths(global_counts(rows, width))
     codes = canonical_codes(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "code_lengths binary").write.parquet(f"{folder}/lengths")
     schema = pa.schema([
@@ -188,9 +193,9 @@ def write_tokens(rows: DataFrame, folder: str) -> None:
             cols = [number, np.array(docs, "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), np.array(sizes, "<i8").tobytes(), held, payload, checkpoints]
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cols, schema)], schema=schema)
 
-        for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                rest = np.frombuffer(data, "<u4").astype(np.int64)
+        for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            for doc, data in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
+                rest = np.frombuffer(data, f"<u{width}").astype(np.int64)
                 while len(rest):
                     piece, rest = rest[:BLOCK - held], rest[BLOCK - held:]
                     docs.append(doc or 0)
@@ -307,9 +312,12 @@ def _fold(parts) -> int | None:
     return crc
 
 
-def tokens_written_and_read(docs: DataFrame, file: str) -> DataFrame:
-    """Encode, write the token files below the shared folder, read them back: one row per document."""
+def tokens_written_and_read(docs: DataFrame, file: str, width: int = 4) -> DataFrame:
+    """Encode, write the token files below the shared folder, read them back: one row per document.
+
+    `width` is the number of bytes of an id between encoding and packing, where every id crosses a shuffle.
+    """
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
-    write_tokens(written(encoded(docs, file), "ids"), folder)
+    write_tokens(written(encoded(docs, file, width=width), "ids"), folder, width)
     return catalogue(read_tokens(spark, folder))

@@ -16,11 +16,13 @@ from .bpe import Codec
 class LibraryCodec(Codec):
     def __init__(self, file: str):
         super().__init__(file)
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(file)
         self.model = self.library.model
 
+    @staticmethod
+    def ranks(merges, vocab):
+        """The library merges; a worker need not hold the pairs a second time."""
+        return {}
+
     def word(self, word: str) -> bytes:
         """The model reads bytes as letters; printable ASCII letters stand for themselves."""
         letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.byte_letters)
