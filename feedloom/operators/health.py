@@ -13,7 +13,6 @@ from ..functions.text import first_filled, md_escape, truncate
 from ..schema import HEALTH_COLUMNS, conform_health
 from .gates import skipped_source
 
-SALTS = 16
 
 
 def is_ok(status: Column) -> Column:
@@ -107,9 +106,10 @@ def fold(run_log: DataFrame) -> DataFrame:
     """Current health of every source from its whole run history.
 
     Failures count since the last success.  A window per source would put a hot
-    source into one task, so this is an aggregation with map-side combine and a
-    join of one row per source to the failed rows, salted so that a hot source's
-    failures spread over many tasks.
+    source into one task.  Instead the failed rows look up their source's last
+    success in a table of one row per source, which is broadcast if its measured
+    size allows (else a hot source's share of the left side may be split), and
+    their counts are combined before the shuffle.
     """
     ok = is_ok(F.col("status"))
     latest = run_log.groupBy("company").agg(
@@ -118,34 +118,21 @@ def fold(run_log: DataFrame) -> DataFrame:
         F.max_by(F.struct("status", "jobs_fetched"), _moment()).alias("last"),
         F.count(F.lit(1)).alias("runs"),
     )
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
-    spread = latest.select(
-        "company", F.struct(*[c for c in latest.columns if c != "company"]).alias("latest"),
-        F.explode(salts).alias("salt"),
-    )
-    failed = run_log.where("status = 'failed'").select(
-        "company", F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).alias("salt"), _moment().alias("moment")
-    )
-    last_ok = F.col("latest.last_ok")
-    since_ok = F.col("moment").isNotNull() & (last_ok.isNull() | (F.col("moment") > last_ok))
-    # `latest` is the same in all rows of a source; it is computed once and
-    # travels along instead of being joined again.
-    folded = (
-        spread.join(failed, ["company", "salt"], "left")
-        .groupBy("company", "salt")
-        .agg(F.count_if(since_ok).alias("n"), F.first("latest").alias("latest"))
+    failed = run_log.where("status = 'failed'").select("company", _moment().alias("moment"))
+    counts = (
+        failed.join(latest.select("company", "last_ok"), "company", "left")
+        .where("last_ok IS NULL OR moment > last_ok")
         .groupBy("company")
-        .agg(F.sum("n").alias("consecutive_failures"), F.first("latest").alias("latest"))
+        .agg(F.count(F.lit(1)).alias("failures"))
     )
-    answered = is_ok(F.col("latest.last.status"))
-    return folded.select(
+    return latest.join(counts, "company", "left").select(
         "company",
-        F.col("latest.last_run.run_ts").alias("last_attempt"),
-        F.col("latest.last_ok.run_ts").alias("last_success"),
-        F.col("latest.last.status").alias("status"),
-        F.when(answered, F.col("latest.last.jobs_fetched")).otherwise(F.lit(0)).cast("bigint").alias("jobs_fetched"),
-        F.col("consecutive_failures").cast("bigint").alias("consecutive_failures"),
-        F.col("latest.runs").alias("runs"),
+        F.col("last_run.run_ts").alias("last_attempt"),
+        F.col("last_ok.run_ts").alias("last_success"),
+        F.col("last.status").alias("status"),
+        F.when(is_ok(F.col("last.status")), F.col("last.jobs_fetched")).otherwise(F.lit(0)).cast("bigint").alias("jobs_fetched"),
+        F.coalesce("failures", F.lit(0)).cast("bigint").alias("consecutive_failures"),
+        "runs",
     )
 
 
