@@ -9,7 +9,7 @@ from ..functions.labels import score_band, sponsorship_badge, sponsorship_label
 from ..functions.text import first_filled, md_escape, text_or_empty, truncate
 from ..rules import RulePack
 from .gates import digest_eligible, visible
-from .rank import with_priority
+from .rank import recommended_order, with_priority
 
 NO_NEW_ROWS = "No new matching jobs were discovered in this run."
 LISTED_BANDS = ("excellent", "strong", "possible")
@@ -62,24 +62,26 @@ def _lines(df: DataFrame, line: Column, *extra: Column) -> DataFrame:
 
 
 def report_lines(active: DataFrame, sources: DataFrame, pack: RulePack) -> DataFrame:
-    """Lines of the active report with their section; low rows are only counted."""
+    """Lines of the active report with their section, in order; low rows are only counted."""
     band = score_band(F.col("overall_score"), pack.thresholds)
     shown = with_priority(visible(active), sources).withColumn("band", band).where(
         F.col("band").isin(*LISTED_BANDS)
     )
-    return _lines(shown, active_line(), F.col("band"))
+    section = F.array_position(F.array(*[F.lit(b) for b in LISTED_BANDS]), F.col("band"))
+    return _lines(shown, active_line(), F.col("band")).orderBy(section, *recommended_order())
 
 
 def new_report_lines(new: DataFrame, sources: DataFrame) -> DataFrame:
-    """Lines of the new-rows report, or one line that says there are none."""
+    """Lines of the new-rows report in order, or one line that says there are none."""
     shown = _lines(with_priority(visible(new), sources), active_line())
     empty = visible(new).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     notice = empty.select(F.lit(NO_NEW_ROWS).alias("line"))
-    return shown.unionByName(notice, allowMissingColumns=True)
+    return shown.unionByName(notice, allowMissingColumns=True).orderBy(*recommended_order())
 
 
 def digest_lines(state: DataFrame, sources: DataFrame, pack: RulePack) -> DataFrame:
-    return _lines(with_priority(digest_eligible(state, pack), sources), digest_line())
+    lines = _lines(with_priority(digest_eligible(state, pack), sources), digest_line())
+    return lines.orderBy(*recommended_order())
 
 
 def explorer_view(df: DataFrame, new: DataFrame) -> DataFrame:

@@ -97,21 +97,26 @@ def invalid_sources(sources: DataFrame, allowed_types: list[str]) -> DataFrame:
     return sources.select(name.alias("name"), "source_type", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def source_validation(outcomes: DataFrame, records: DataFrame, order: str) -> DataFrame:
-    """Try-every-source report: status with row count, first title or message."""
+def source_validation(outcomes: DataFrame, records: DataFrame, sources: DataFrame, order: str) -> DataFrame:
+    """Try-every-source report: status with row count and first title, message, or note of a source left out."""
     seen = records.groupBy("company").agg(
         F.count(F.lit(1)).alias("rows"), F.min_by("title", order).alias("first_title")
     )
-    joined = outcomes.join(seen, "company", "left")
+    listed = sources.select(F.col("name").alias("company"), "enabled", F.coalesce("notes", F.lit("")).alias("notes"))
+    joined = outcomes.join(listed, "company").join(seen, "company", "left")
     rows = F.coalesce("rows", F.lit(0))
     status = F.col("status")
+    unresolved = F.coalesce(F.col("source_type") == "unresolved", F.lit(False))
+    disabled = ~F.coalesce("enabled", F.lit(True))
     return joined.select(
         "company",
-        F.when(status == "skipped", F.lit("skipped"))
+        F.when(unresolved, F.lit("unresolved"))
+        .when(disabled, F.lit("disabled"))
         .when(status == "failed", F.concat(F.lit("FAILED ("), F.col("error_category"), F.lit(")")))
         .otherwise(F.concat(F.lit("ok ("), rows.cast("string"), F.lit(" jobs)")))
         .alias("result"),
-        F.when(is_ok(status), F.left(F.coalesce("first_title", F.lit("")), F.lit(80)))
+        F.when(unresolved | disabled, F.col("notes"))
+        .when(is_ok(status), F.left(F.coalesce("first_title", F.lit("")), F.lit(80)))
         .otherwise(F.left(F.col("error_message"), F.lit(160)))
         .alias("detail"),
         F.when(status == "failed", F.lit(1)).otherwise(F.lit(0)).alias("failing"),

@@ -20,7 +20,8 @@ from ..operators import (
 )
 from ..rules import CORPUS
 from ..schema import SOURCE_TYPES, conform_records
-from ..session import written
+from ..session import scratch_path, written
+from ..sources import state
 from . import views
 from .run import judge_records
 from .views import FETCH_TS, RUN_TS, run_ts, table
@@ -474,7 +475,7 @@ def source_problems(spark, folder):
 @query
 def source_validation(spark, folder):
     records = views.doc_texts(spark, folder)
-    return summary.source_validation(step_outcomes(spark, folder), records, "doc_id")
+    return summary.source_validation(step_outcomes(spark, folder), records, views.sources(spark, folder), "doc_id")
 
 
 @query
@@ -575,23 +576,68 @@ def new_only(spark, folder):
     return rank.only_new(merge.active, merge.new).select("job_id", "company")
 
 
+# -------------------------------------------------------------------- sinks
+@query
+def saved_records(spark, folder):
+    """The active rows, saved as JSON lines and loaded again."""
+    path = scratch_path(spark, "active")
+    state.save_records(merged(spark, folder).active, path, run_ts(FETCH_TS), "json")
+    return state.load_records(spark, path, "json").select("job_id", "title", "application_url", "first_seen")
+
+
+@query
+def saved_envelope(spark, folder):
+    path = scratch_path(spark, "active")
+    state.save_records(merged(spark, folder).active, path, run_ts(FETCH_TS))
+    return spark.read.schema("generated_at STRING, count BIGINT").json(f"{path}/envelope")
+
+
+@query
+def saved_csv(spark, folder):
+    path = scratch_path(spark, "csv")
+    state.save_csv(merged(spark, folder).active, path)
+    return state.load_csv(spark, path).select("job_id", "title", "application_url", "first_seen")
+
+
+@query
+def saved_health(spark, folder):
+    path = scratch_path(spark, "health")
+    state.save_health(source_health_step(spark, folder), path, run_ts(FETCH_TS))
+    return state.load_health(spark, path)
+
+
+@query
+def run_outputs(spark, folder):
+    """All outputs of a run whose digest was delivered; its rows are saved as announced."""
+    path = scratch_path(spark, "run")
+    state.write_outputs(
+        judged_merge(spark, folder), source_health_step(spark, folder), views.sources(spark, folder), path,
+        run_ts(FETCH_TS), PACK, deliver=lambda digest: True,
+    )
+    return state.load_records(spark, f"{path}/active").select("job_id", "announced")
+
+
 # ------------------------------------------------------------------ reports
+#: What the lines of a report are sorted by.
+SORTED = ("overall_score", "date_posted", "priority", "company", "job_id")
+
+
 @query
 def report_lines(spark, folder):
     lines = report.report_lines(judged(spark, folder), views.sources(spark, folder), PACK)
-    return lines.select("band", "job_id", "line")
+    return lines.select("band", *SORTED, "line")
 
 
 @query
 def new_report_lines(spark, folder):
     lines = report.new_report_lines(judged_merge(spark, folder).new, views.sources(spark, folder))
-    return lines.select("job_id", "priority", "line")
+    return lines.select(*SORTED, "line")
 
 
 @query
 def digest_lines(spark, folder):
     lines = report.digest_lines(judged_merge(spark, folder).state, views.sources(spark, folder), PACK)
-    return lines.select("job_id", "priority", "line")
+    return lines.select(*SORTED, "line")
 
 
 @query

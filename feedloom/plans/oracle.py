@@ -364,11 +364,12 @@ VALIDATION = f"""{OUTCOMES}, {DOCS}, seen AS (
   SELECT company, count(*) AS n, arg_min(title, doc_id) AS first_title FROM docs GROUP BY 1),
 validation AS (
   SELECT o.company,
-    CASE status WHEN 'skipped' THEN 'skipped' WHEN 'failed' THEN 'FAILED (' || error_category || ')'
-      ELSE 'ok (' || coalesce(n, 0) || ' jobs)' END AS result,
-    CASE WHEN status IN ('ok', 'ok_empty') THEN left(coalesce(first_title, ''), 80) ELSE left(error_message, 160) END AS detail,
+    CASE WHEN o.source_type = 'unresolved' THEN 'unresolved' WHEN NOT s.enabled THEN 'disabled'
+      WHEN status = 'failed' THEN 'FAILED (' || error_category || ')' ELSE 'ok (' || coalesce(n, 0) || ' jobs)' END AS result,
+    CASE WHEN o.source_type = 'unresolved' OR NOT s.enabled THEN coalesce(s.notes, '')
+      WHEN status IN ('ok', 'ok_empty') THEN left(coalesce(first_title, ''), 80) ELSE left(error_message, 160) END AS detail,
     CASE status WHEN 'failed' THEN 1 ELSE 0 END AS failing
-  FROM outcomes o LEFT JOIN seen USING (company))"""
+  FROM outcomes o JOIN sources s ON s.name = o.company LEFT JOIN seen USING (company))"""
 
 BADGE = cased("sponsorship_classification", SPONSORSHIP_BADGES, "sponsorship_classification")
 _PLACE = escaped(truncated("location", 60))
@@ -390,6 +391,7 @@ BAND = (
     f"WHEN overall_score >= {P.thresholds['possible']} THEN 'possible' ELSE 'low' END"
 )
 PRIORITY = "coalesce((SELECT priority FROM sources s WHERE s.name = company), 9)"
+SORTED = f"overall_score, date_posted, {PRIORITY} AS priority, company, job_id"
 ORDER = (
     "overall_score DESC, coalesce(date_diff('day', DATE '1970-01-01', try_cast(date_posted AS DATE)), 0) DESC, "
     "priority, lower(company), job_id"
@@ -525,6 +527,9 @@ ORACLE: dict[str, str] = {
     "lifecycle_merge": _with(MERGED, f"SELECT {STATE_COLUMNS} FROM merged"),
     "lifecycle_counts": _with(MERGED, "SELECT lifecycle, count(*) AS n FROM merged GROUP BY 1"),
     "active_rows": _with(MERGED, f"SELECT job_id, title, application_url, first_seen FROM merged WHERE {ACTIVE}"),
+    "saved_envelope": _with(
+        MERGED, f"SELECT '{FETCH_TS.replace(' ', 'T')}Z' AS generated_at, count(*) AS count FROM merged WHERE {ACTIVE}"
+    ),
     "reopened_rows": _with(MERGED, f"SELECT {STATE_COLUMNS} FROM merged WHERE lifecycle = 'reopened'"),
     "closed_this_run": _with(MERGED, f"SELECT {STATE_COLUMNS} FROM merged WHERE lifecycle = 'closed'"),
     "digest_rows": _with(JUDGED_MERGE, f"SELECT job_id, overall_score, sponsorship_classification FROM merged WHERE {ELIGIBLE}"),
@@ -629,12 +634,12 @@ ORACLE: dict[str, str] = {
     ),
     "new_only": _with(MERGED, "SELECT job_id, company FROM merged WHERE lifecycle = 'new'"),
     "report_lines": _with(
-        ALL_JUDGED, f"SELECT {BAND} AS band, job_id, {ACTIVE_LINE} AS line FROM judged WHERE NOT disqualified AND {BAND} <> 'low'"
+        ALL_JUDGED, f"SELECT {BAND} AS band, {SORTED}, {ACTIVE_LINE} AS line FROM judged WHERE NOT disqualified AND {BAND} <> 'low'"
     ),
     "new_report_lines": _with(
-        JUDGED_MERGE, f"SELECT job_id, {PRIORITY} AS priority, {ACTIVE_LINE} AS line FROM merged WHERE lifecycle = 'new' AND NOT disqualified"
+        JUDGED_MERGE, f"SELECT {SORTED}, {ACTIVE_LINE} AS line FROM merged WHERE lifecycle = 'new' AND NOT disqualified"
     ),
-    "digest_lines": _with(JUDGED_MERGE, f"SELECT job_id, {PRIORITY} AS priority, {DIGEST_LINE} AS line FROM merged WHERE {ELIGIBLE}"),
+    "digest_lines": _with(JUDGED_MERGE, f"SELECT {SORTED}, {DIGEST_LINE} AS line FROM merged WHERE {ELIGIBLE}"),
     "explorer_cards": _with(
         ALL_JUDGED,
         f"""SELECT job_id, date_posted >= '1998-01-01' AS is_new,
@@ -796,6 +801,10 @@ ORACLE.update(
             WHERE company NOT IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) FROM pages WHERE contains(url, 'casino'))""",
         ),
         "stream_lifecycle": ORACLE["lifecycle_merge"],
+        "saved_records": ORACLE["active_rows"],
+        "saved_csv": ORACLE["active_rows"],
+        "saved_health": ORACLE["source_health_step"],
+        "run_outputs": ORACLE["mark_announced"],
         "stream_health": ORACLE["source_health_fold"],
         "stream_announce_once": "SELECT DISTINCT 'src' || user_id AS company FROM events",
         "stream_date_floor": ORACLE["date_floor"],

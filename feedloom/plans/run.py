@@ -133,4 +133,4 @@ def validate_sources(
     found = normalize(payloads, Context(sources, run_ts, details, pack, configs or {}))
     records = found.accepted()
     outcomes = health.run_outcomes(sources, payloads, records, found.problems)
-    return summary.source_validation(outcomes, records, "fetch_ord")
+    return summary.source_validation(outcomes, records, sources, "fetch_ord")

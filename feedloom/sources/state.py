@@ -78,6 +78,12 @@ def save_csv(df: DataFrame, path: str) -> None:
     csv_rows(df).write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
+def load_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of `save_csv`, every cell a text; CSV has no NULL, and a cell may hold line breaks."""
+    schema = ", ".join(f"{c} STRING" for c in RECORD_COLUMNS)
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path).na.fill("")
+
+
 def save_health(df: DataFrame, path: str, run_ts: Column, fmt: str = "parquet") -> None:
     _save(df.select(*HEALTH_COLUMNS).orderBy(F.lower("company")), path, run_ts, fmt)
 

@@ -161,7 +161,9 @@ def test_recommended_order(spark):
 
 
 def test_report_lines_and_summary(spark):
-    lines = {r["job_id"]: r for r in report.report_lines(active(spark), dims(spark), POSTING).collect()}
+    rows = report.report_lines(active(spark), dims(spark), POSTING).collect()
+    assert [r["job_id"] for r in rows] == ["c", "d", "b", "a"]
+    lines = {r["job_id"]: r for r in rows}
     assert set(lines) == {"a", "b", "c", "d"} and lines["c"]["band"] == "excellent"
     assert lines["a"]["line"].startswith("| [Apply](https://x.test/1) | Zeta | Data Engineer \\| I | ")
     fresh = active(spark).withColumn("lifecycle", F.lit("new"))

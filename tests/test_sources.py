@@ -273,11 +273,14 @@ def test_dry_run_writes_nothing(spark, tmp_path):
 
 
 def test_validate_sources(spark):
-    sources = spark.createDataFrame([source(), source("Beta", no=2)], SOURCE_SCHEMA)
+    sources = spark.createDataFrame([
+        source(), source("Beta", no=2), source("Off", no=3, enabled=False, notes="paused"), source("Who", "unresolved", no=4, notes=None),
+    ], SOURCE_SCHEMA)
     payloads = spark.createDataFrame([page(BOARD), page({"x": 1}, name="Beta")], LANDING_SCHEMA)
     got = {r["company"]: r for r in validate_sources(payloads, sources, now()).collect()}
     assert (got["Acme"]["result"], got["Acme"]["detail"]) == ("ok (4 jobs)", "Graduate Backend Engineer (2027)")
     assert (got["Beta"]["result"], got["Beta"]["failing"]) == ("FAILED (structure_changed)", 1)
+    assert tuple(got["Off"])[1:] == ("disabled", "paused", 0) and tuple(got["Who"])[1:] == ("unresolved", "", 0)
 
 
 def test_load_envelope_projects_the_schema(spark, tmp_path):
