@@ -1,11 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after . ! ? (and closing quotes or brackets) before white space, and at line ends.  From
-every sentence starts one span: the shortest run of at least `SENTENCES` consecutive sentences that has at least
-`MIN_WORDS` words (a single sentence of `LONG_SENTENCE` words or more is a span by itself).  Where a run ends depends on
-its own sentences only, so a passage gives the same spans in every document.  Spans are hashed (128 bits, words
-joined by single spaces), equal ones are found by one global aggregation, and all sentences under a span that is not
-its first occurrence (by doc_id, then text, then position) are removed.
+A text is cut into sentences: after . ! ? (and closing quotes or brackets) before white space, and at line ends.  A run
+of at least `SENTENCES` consecutive sentences that has at least `MIN_WORDS` words fits (a single sentence of
+`LONG_SENTENCE` words or more fits by itself).  Every run that fits and is not its first occurrence (by doc_id, then text,
+then position) is removed.  For that, two spans of each sentence are enough: the shortest run that fits and starts at it, and
+the shortest that ends at it.  A sentence of a repeated run lies under the first if what follows it in the run fits,
+else under the one that ends with the run; and the spans of a repeated run occur with it, in the same order.  Spans are hashed
+(128 bits, words joined by single spaces), and equal ones are found by one global aggregation.
 
 Spans are counted with a map-side combine, only repeated ones are joined back, and that join's large side may be split
 by the optimizer, so a passage in a third of all documents is no hot group.  Removal lists are grouped per document.
@@ -39,24 +40,31 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 
 def spans(text: bytes, n_sentences: int = SENTENCES, min_words: int = MIN_WORDS,
           long_sentence: int = LONG_SENTENCE) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, digest) of every span."""
+    """(first sentence, number of sentences, digest) of every span, each once."""
     parts = [words(text[a:b]) for a, b in sentences(text)]
-    sizes, joined = [len(p) for p in parts], [b" ".join(p) for p in parts]
-    out, end, total = [], 0, 0
-    for start, size in enumerate(sizes):
-        if not size:  # white space only: part of runs, but no start of one
-            continue
-        if size >= long_sentence:
-            out.append((start, 1, xxhash.xxh3_128_digest(joined[start])))
-            continue
-        end, total, filled = start, 0, 0
-        while end < len(sizes) and (filled < n_sentences or total < min_words):
-            total += sizes[end]
-            filled += sizes[end] > 0
+    at = [i for i, p in enumerate(parts) if p]  # those of white space only are part of runs, but no start or end
+    joined = [b" ".join(parts[i]) for i in at]
+    total, offset = [0], [0]
+    for i, text_of in zip(at, joined):
+        total.append(total[-1] + len(parts[i]))
+        offset.append(offset[-1] + len(text_of) + 1)
+    whole, found = b" ".join(joined), {}
+
+    def fits(a: int, b: int) -> bool:
+        n = total[b] - total[a]
+        return (b - a >= n_sentences and n >= min_words) or (b - a == 1 and n >= long_sentence)
+
+    for i in range(len(at)):
+        start, end = i, i + 1
+        while end < len(at) and not fits(i, end):
             end += 1
-        if filled >= n_sentences and total >= min_words:
-            out.append((start, end - start, xxhash.xxh3_128_digest(b" ".join(x for x in joined[start:end] if x))))
-    return out
+        if fits(i, end):
+            found[i, end] = None
+        while start > 0 and not fits(start, i + 1):
+            start -= 1
+        if fits(start, i + 1):
+            found[start, i + 1] = None
+    return [(at[a], at[b - 1] - at[a] + 1, xxhash.xxh3_128_digest(whole[offset[a]:offset[b] - 1])) for a, b in found]
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -292,6 +292,41 @@ def test_repeated_passages_stay_once(spark, odd, empty):
     assert sentence_spans.dedup_texts(empty).count() == 0
 
 
+def brute_spans(rows):
+    """Words left of each (doc_id, text): all runs of sentences that fit, without those that an earlier place has."""
+    first, left = {}, {}
+    for d, text in sorted({(d, t or "") for d, t, *_ in rows}):
+        parts = [text.encode()[a:b].split() for a, b in sentence_spans.sentences(text.encode())]
+        parts, gone = [p for p in parts if p], set()
+        for a, b in itertools.combinations(range(len(parts) + 1), 2):
+            run = b" ".join(itertools.chain(*parts[a:b]))
+            n = run.count(b" ") + 1
+            if (b - a >= 2 and n >= 25) or (b - a == 1 and n >= 50):
+                if first.setdefault(run, (d, a)) != (d, a):
+                    gone.update(range(a, b))
+        left[d] = [w.decode() for i, p in enumerate(parts) if i not in gone for w in p]
+    return left
+
+
+def passage_of(sizes, seed):
+    """Sentences of so many words that occur nowhere else."""
+    return " ".join(" ".join(prose(f"{seed}-{i}", n, 10**9)) + "." for i, n in enumerate(sizes))
+
+
+def test_repeated_passages_go_to_their_ends(spark):
+    sizes = [[30, 1, 23], [30, 8, 8, 8], [28, 12, 12], [20, 20, 12, 12], [8, 8, 8, 30], [3, 60, 3], [60, 2], [1] * 26, [24, 1], [24], [49], [50]]
+    rng = random.Random(8)
+    sizes += [[rng.choice([1, 2, 5, 9, 16, 26, 55]) for _ in range(rng.randrange(1, 8))] for _ in range(30)]
+    own = lambda i: passage_of([5, 11], f"own{i}")
+    texts = [f"{own(2 * i)} {passage_of(s, i)}\n{own(2 * i + 1)}" for i, s in enumerate(sizes)]
+    texts += [f"{own(1000 + i)}\n \n{passage_of(s, i)} {own(2000 + i)}" for i, s in enumerate(sizes)]
+    texts += [" ".join([passage_of([10, 20], "loop")] * 3) + " " + own("loop"), passage_of([9, 9], 1) + " \n" + passage_of([30, 8, 8, 8], 1)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in sentence_spans.dedup_texts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {d: r["text"].split() for d, r in got.items()} == brute_spans(rows)
+    assert [got[len(sizes) + i]["words_removed"] for i in range(4)] == [54, 54, 52, 64]
+
+
 def test_sentences_cover_the_text():
     for text in (b"A b. C d!  E?\n\nF", b"", b" . x", b"One.Two three\n", "é. ü! ß".encode()):
         assert b"".join(text[a:b] for a, b in sentence_spans.sentences(text)) == text
