@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from ..session import written
 from .common import per_batch, text_hash, words
 
-SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 25, 50
+#: The floor of 12 words is the last before hits in documents that share no 50 words with another rise steeply (README).
+SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 12, 50
 _END = re.compile(rb"(?<=[.!?])[\"')\]]*[ \t\r\f\v]+|\n\s*")
 
 

@@ -301,7 +301,7 @@ def brute_spans(rows):
         for a, b in itertools.combinations(range(len(parts) + 1), 2):
             run = b" ".join(itertools.chain(*parts[a:b]))
             n = run.count(b" ") + 1
-            if (b - a >= 2 and n >= 25) or (b - a == 1 and n >= 50):
+            if (b - a >= 2 and n >= 12) or (b - a == 1 and n >= 50):
                 if first.setdefault(run, (d, a)) != (d, a):
                     gone.update(range(a, b))
         left[d] = [w.decode() for i, p in enumerate(parts) if i not in gone for w in p]
@@ -314,7 +314,7 @@ def passage_of(sizes, seed):
 
 
 def test_repeated_passages_go_to_their_ends(spark):
-    sizes = [[30, 1, 23], [30, 8, 8, 8], [28, 12, 12], [20, 20, 12, 12], [8, 8, 8, 30], [3, 60, 3], [60, 2], [1] * 26, [24, 1], [24], [49], [50]]
+    sizes = [[30, 1, 23], [30, 8, 8, 8], [28, 12, 12], [20, 20, 12, 12], [8, 8, 8, 30], [3, 60, 3], [60, 2], [1] * 26, [24, 1], [24], [49], [50], [30, 1, 5], [12, 4, 4, 3]]
     rng = random.Random(8)
     sizes += [[rng.choice([1, 2, 5, 9, 16, 26, 55]) for _ in range(rng.randrange(1, 8))] for _ in range(30)]
     own = lambda i: passage_of([5, 11], f"own{i}")
@@ -327,6 +327,21 @@ def test_repeated_passages_go_to_their_ends(spark):
     assert [got[len(sizes) + i]["words_removed"] for i in range(4)] == [54, 54, 52, 64]
 
 
+def test_passages_of_short_sentences_go(spark):
+    """Passages of over 50 words that begin and end inside sentences; their whole sentences are short."""
+    sizes = [[2, 9, 11, 2], [4, 1, 1, 6, 5, 3], [5, 12], [13, 9], [6, 5]]
+    texts = []
+    for copy in range(2):
+        for i, whole in enumerate(sizes):
+            head, tail = (" ".join(prose(f"{end}{i}", 20, 10**9)) for end in ("head", "tail"))
+            own = [prose(f"own{copy}{i}{end}", 1, 10**9)[0] for end in range(2)]
+            texts.append(f"{own[0]} {head}. {passage_of(whole, i)} {tail} {own[1]}.")
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in sentence_spans.dedup_texts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i]["words_removed"] for i in range(10)] == [0] * 5 + [24, 20, 17, 22, 0]  # 11 words are below the floor
+    assert {d: r["text"].split() for d, r in got.items()} == brute_spans(rows)
+
+
 def test_sentences_cover_the_text():
     for text in (b"A b. C d!  E?\n\nF", b"", b" . x", b"One.Two three\n", "é. ü! ß".encode()):
         assert b"".join(text[a:b] for a, b in sentence_spans.sentences(text)) == text
