@@ -293,21 +293,52 @@ def test_repeated_passages_stay_once(spark, odd, empty):
 
 
 def brute_spans(rows):
-    """Words left of each (doc_id, text): all runs of sentences that fit, without those that an earlier place has."""
+    """Text left of each (doc_id, text): all runs of sentences that fit, without those that an earlier place has."""
     first, left = {}, {}
     for d, text in sorted({(d, t or "") for d, t, *_ in rows}):
-        parts = [text.encode()[a:b].split() for a, b in sentence_spans.sentences(text.encode())]
-        parts, gone = [p for p in parts if p], set()
-        for a, b in itertools.combinations(range(len(parts) + 1), 2):
-            run = b" ".join(itertools.chain(*parts[a:b]))
-            n = run.count(b" ") + 1
-            if (b - a >= 2 and n >= 12) or (b - a == 1 and n >= 50):
-                if first.setdefault(run, (d, a)) != (d, a):
-                    gone.update(range(a, b))
-        left[d] = [w.decode() for i, p in enumerate(parts) if i not in gone for w in p]
+        data = text.encode()
+        pieces = [data[a:b] for a, b in sentence_spans.sentences(data)]
+        at, gone = [i for i, p in enumerate(pieces) if p.split()], set()
+        for a in range(len(at)):
+            digest, n = hashlib.sha256(), 0
+            for b in range(a, len(at)):
+                run = pieces[at[b]].split()
+                n += len(run)
+                digest.update(b"".join(w + b" " for w in run))
+                if (b > a and n >= 12) or (b == a and n >= 50):
+                    if first.setdefault(digest.digest(), (d, a)) != (d, a):
+                        gone.update(range(at[a], at[b] + 1))
+        left[d] = b"".join(p for i, p in enumerate(pieces) if i not in gone).decode()
     return left
 
 
+def brute_mix(rows, weights=(5, 2, 1)):
+    """Copies of each doc_id (once in rows of doc_id, text, source): the fair queue, one document at a time."""
+    size = {d: len(t.encode().split()) for d, t, _ in rows}
+    total = {}
+    for d, _, s in rows:
+        total[s] = total.get(s, 0) + size[d]
+    budget = 1.5 * sum(total.values())
+    unsettled = {s: weights[i % 3] for i, s in enumerate(sorted(total, key=lambda s: (s is None, s)))}
+    target, rest = {}, budget
+    while full := [s for s, w in unsettled.items() if 2 * total[s] * sum(unsettled.values()) <= rest * w]:
+        for s in full:
+            target[s] = 2.0 * total[s]
+            del unsettled[s]
+        rest = budget - sum(target.values())
+    target |= {s: w * rest / sum(unsettled.values()) for s, w in unsettled.items()}
+    offers, end = [], {}
+    for epoch in range(2):
+        for h, d, s in sorted((hashlib.md5(str(d).encode()).hexdigest(), d, s) for d, _, s in rows):
+            end[s] = end.get(s, 0) + size[d]
+            offers.append((end[s] / target[s] if target[s] else 0.0, s is None, s, epoch, h, d))
+    copies, used = {d: int(not size[d]) for d in size}, 0
+    for *_, d in sorted(offers):
+        used += size[d]
+        copies[d] += bool(size[d]) and used <= budget
+    return copies
+
+
 def passage_of(sizes, seed):
     """Sentences of so many words that occur nowhere else."""
     return " ".join(" ".join(prose(f"{seed}-{i}", n, 10**9)) + "." for i, n in enumerate(sizes))
@@ -323,7 +354,7 @@ def test_repeated_passages_go_to_their_ends(spark):
     texts += [" ".join([passage_of([10, 20], "loop")] * 3) + " " + own("loop"), passage_of([9, 9], 1) + " \n" + passage_of([30, 8, 8, 8], 1)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in sentence_spans.dedup_texts(spark.createDataFrame(rows, DOCS)).collect()}
-    assert {d: r["text"].split() for d, r in got.items()} == brute_spans(rows)
+    assert {d: r["text"].split() for d, r in got.items()} == {d: t.split() for d, t in brute_spans(rows).items()}
     assert [got[len(sizes) + i]["words_removed"] for i in range(4)] == [54, 54, 52, 64]
 
 
@@ -339,7 +370,7 @@ def test_passages_of_short_sentences_go(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in sentence_spans.dedup_texts(spark.createDataFrame(rows, DOCS)).collect()}
     assert [got[i]["words_removed"] for i in range(10)] == [0] * 5 + [24, 20, 17, 22, 0]  # 11 words are below the floor
-    assert {d: r["text"].split() for d, r in got.items()} == brute_spans(rows)
+    assert {d: r["text"].split() for d, r in got.items()} == {d: t.split() for d, t in brute_spans(rows).items()}
 
 
 def test_sentences_cover_the_text():
@@ -420,3 +451,33 @@ def test_pipeline_stages_on_documents(spark, sf_dir):
     assert sorted(r["doc_id"] for r in near.collect()) == sorted({rows[g][0] for g in groups})
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and final.count() > 0
+
+
+def test_spans_on_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = list(map(tuple, docs.select("doc_id", "text").collect()))
+    got = {r["doc_id"]: r["text"] or "" for r in sentence_spans.dedup_texts(docs).collect()}
+    want = brute_spans(rows)
+    assert {d: t.split() for d, t in got.items()} == {d: t.split() for d, t in want.items()}
+    assert any(want[d] != t for d, t in rows if t)
+
+
+def test_pipeline_rows_on_documents(spark, sf_dir):
+    """Stages 3 to 5 in plain Python, from the rows of stage 2 (held against brute force above) to those of run()."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    near = corpus_pipeline.near_dedup(spark, corpus_pipeline.quality_rules(spark, docs, sf_dir), sf_dir)
+    rows = [tuple(r) for r in near.select("doc_id", "text", "source").collect()]
+    assert len({d for d, *_ in rows}) == len(rows) > 0
+    left = brute_spans(rows)
+    rows = [(d, left[d], s) for d, t, s in rows if left[d] == t or left[d].encode().split()]
+    copies, library, want = brute_mix(rows), Tokenizer.from_file(word_bpe_file()), []
+    for d, text, _ in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        digests = [np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False).encode()]
+        want += [(d, len(ids), *(hashlib.sha256(x).hexdigest() for x in digests))] * copies[d]
+    assert 0 < len(want) and 2 in copies.values() and 0 in copies.values()
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(want)
