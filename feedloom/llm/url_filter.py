@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from .common import Memo
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-MAX_BYTES = 1 << 30
+MAX_BYTES = 64 << 20
 DEFAULT = "allow"
 
 
@@ -61,17 +62,26 @@ def entries(rules: DataFrame) -> DataFrame:
 
 
 def write_array(spark: SparkSession, sorted_entries: DataFrame, path: str) -> str:
-    """Write the array file through Spark's file system layer, entry by entry; returns its path."""
-    rows = [(r["key"], r["text"].encode()) for r in sorted_entries.toLocalIterator()]
-    keys = np.array([k for k, _ in rows], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    offsets = np.cumsum([0, *(len(t) for _, t in rows)]).astype(np.uint64)
-    data = np.array([len(rows)], np.uint64).tobytes() + keys.tobytes() + offsets.tobytes() + b"".join(t for _, t in rows)
+    """Write the array file through Spark's file system layer; returns its path.
+
+    The driver holds the entries as three flat arrays, about the file's size, never as objects.
+    """
+    keys, sizes, texts = array("q"), array("q", [0]), bytearray()
+    for r in sorted_entries.toLocalIterator():
+        text = r["text"].encode()
+        keys.append(r["key"])
+        sizes.append(len(text))
+        texts += text
+    shifted = np.frombuffer(keys, np.uint64) ^ np.uint64(1 << 63) if keys else np.empty(0, np.uint64)
+    offsets = np.cumsum(np.frombuffer(sizes, np.int64)).astype(np.uint64, copy=False)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
-        for i in range(0, len(data), 1 << 20):
-            out.write(bytearray(data[i:i + (1 << 20)]))
+        for data in (np.array([len(keys)], np.uint64), shifted, offsets, texts):
+            data = memoryview(data).cast("B") if len(data) else b""
+            for i in range(0, len(data), 1 << 20):
+                out.write(bytearray(data[i:i + (1 << 20)]))
     finally:
         out.close()
     return path

@@ -66,6 +66,23 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judged_urls(rows, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_the_driver_holds_no_rule_as_an_object(spark, tmp_path):
+    import tracemalloc
+
+    n = 30_000
+    rows = spark.range(0, n, 1, 3).select(F.col("id").alias("key"), F.concat(F.lit("r"), "id", F.lit("\0allow")).alias("text"))
+    tracemalloc.start()
+    try:
+        file = url_filter.write_array(spark, rows, str(tmp_path / "rules.bin"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    stored = url_filter.DigestArray(file)
+    assert len(stored.keys) == n and (stored.keys ^ np.uint64(1 << 63)).tolist() == list(range(n))
+    assert [stored.stored(i) for i in (0, 7, n - 1)] == [f"r{i}\0allow".encode() for i in (0, 7, n - 1)]
+    assert peak < 4 * (tmp_path / "rules.bin").stat().st_size
+
+
 def test_digest_collisions_are_confirmed(tmp_path):
     texts = [b"raa\0block", b"rbb\0allow", b"rcc\0block"]
     digest = url_filter.xxhash.xxh64_intdigest(b"rbb")
