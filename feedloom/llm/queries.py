@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import written
 from . import (
-    adaptive_rules, bpe, fair_mix, huffman, hyperminhash, quality_pu, sentence_spans, token_histogram, topk, url_filter,
+    adaptive_rules, bpe, fair_mix, hard_negatives, huffman, hyperminhash, quality_pu, sentence_spans, token_histogram, topk,
+    url_filter,
 )
 from .common import table
 
@@ -98,3 +100,13 @@ ORACLE["op9_adaptive_rules"] = adaptive_rules.rules_sql()
 @query
 def op10_token_histogram(spark, folder):
     return token_histogram.token_counts(table(spark, folder, "documents"), word_bpe_file())
+
+
+@query
+def op11_hard_negatives(spark, folder):
+    # Ids divisible by 7 carry the next label.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, folder, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_hard_negatives"] = hard_negatives.mined_sql()
