@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import (
-    adaptive_rules, bpe, fair_mix, hard_negatives, huffman, hyperminhash, quality_pu, sentence_spans, spelling,
-    token_histogram, topk, url_filter,
+    adaptive_rules, bpe, fair_mix, hard_negatives, html_extraction, huffman, hyperminhash, quality_pu,
+    sentence_spans, spelling, token_histogram, topk, url_filter,
 )
 from .common import table
 
@@ -115,3 +115,8 @@ ORACLE["op11_hard_negatives"] = hard_negatives.mined_sql()
 @query
 def op12_spelling_variants(spark, folder):
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op13_html_extraction(spark, folder):
+    return html_extraction.extracted(table(spark, folder, "pages"))
