@@ -231,6 +231,10 @@ class _Layout:
         tag = self.r.choice(["section", "div"])
         return f'<{tag} {self.r.choice(["id", "class"])}="{self.r.choice(["comments", "comment-list", "discussion", "responses"])}">{head}{inside}{self.r.choice(["", self.form()])}</{tag}>'
 
+    def unseen(self) -> str:
+        how = self.r.choice(["hidden", 'style="display: none"', 'aria-hidden="true"'])
+        return f"<div {how}><p>{self.prose(1, 3)}</p></div>"
+
     # The article ------------------------------------------------------------
     def block(self) -> str:
         kind = self.r.random()
@@ -259,8 +263,9 @@ class _Layout:
         low, high = self.r.choice([(1, 2), (2, 6), (4, 15), (15, 40)])
         blocks = [self.block() for _ in range(self.r.randint(low, high))]
         # Parts inside the article that do not belong to it.
-        for part in (self.advert, self.related, self.share, self.notice, self.form):
-            if self.r.random() < 0.15:
+        for part, chance in ((self.advert, 0.15), (self.related, 0.15), (self.share, 0.15), (self.notice, 0.15), (self.form, 0.15),
+                             (self.unseen, 0.08), (self.comments, 0.05)):
+            if self.r.random() < chance:
                 inner = part()
                 blocks.insert(self.r.randint(0, len(blocks)), f'<div {LABEL}="0">{inner}</div>' if self.r.random() < 0.3 else self._unlabelled(inner))
         title = f"<h1>{self.words(1, 10)}</h1>" if self.r.random() < 0.85 else ""
@@ -299,7 +304,7 @@ class _Layout:
         if bare < 0.07:
             return self.header() + self.menu() + self.footer()
         before = [x() for x in (self.header, self.menu, self.notice, self.advert, self.sidebar, self.form) if r.random() < 0.4]
-        after = [x() for x in (self.share, self.related, self.comments, self.sidebar, self.advert, self.notice, self.form) if r.random() < 0.35]
+        after = [x() for x in (self.share, self.related, self.comments, self.sidebar, self.advert, self.notice, self.form, self.unseen) if r.random() < 0.35]
         main = self.article()
         if r.random() < 0.2:
             # Comments may stand in the element that holds the article.
