@@ -6,13 +6,15 @@ ties between runs of one moment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, md_escape, truncate
 from ..schema import HEALTH_COLUMNS, conform_health
 from .gates import skipped_source
-
+from .joins import split_join
 
 
 def is_ok(status: Column) -> Column:
@@ -102,30 +104,59 @@ def _moment() -> Column:
     return F.struct("run_ts", "run_id")
 
 
-def fold(run_log: DataFrame) -> DataFrame:
-    """Current health of every source from its whole run history.
+@dataclass(frozen=True)
+class Partial:
+    """What a part of a run log says, in a form that merges with other parts in any order.
 
-    Failures count since the last success.  A window per source would put a hot
-    source into one task.  Instead the failed rows look up their source's last
-    success in a table of one row per source, which is broadcast if its measured
-    size allows (else a hot source's share of the left side may be split), and
-    their counts are combined before the shuffle.
+    `known` has one row per source: its last run, its last success, the last
+    run's result, the number of runs.  `failures(company, moment)` are the failed
+    runs after the last success known; a success that turns up later
+    takes back those it came after, which a count could not.
     """
+
+    known: DataFrame
+    failures: DataFrame
+
+    def write(self, path: str) -> None:
+        self.known.write.mode("overwrite").parquet(f"{path}/known")
+        self.failures.write.mode("overwrite").parquet(f"{path}/failures")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Partial:
+        return Partial(spark.read.parquet(f"{path}/known"), spark.read.parquet(f"{path}/failures"))
+
+
+def _still_open(failures: DataFrame, known: DataFrame) -> DataFrame:
+    """Failures after their source's last success; a hot source is split."""
+    looked_up = split_join(failures, known.select("company", "last_ok"), ["company"], "left")
+    return looked_up.where("last_ok IS NULL OR moment > last_ok").select("company", "moment")
+
+
+def partial_fold(run_log: DataFrame) -> Partial:
     ok = is_ok(F.col("status"))
-    latest = run_log.groupBy("company").agg(
+    known = run_log.groupBy("company").agg(
         F.max(_moment()).alias("last_run"),
         F.max(F.when(ok, _moment())).alias("last_ok"),
         F.max_by(F.struct("status", "jobs_fetched"), _moment()).alias("last"),
         F.count(F.lit(1)).alias("runs"),
     )
     failed = run_log.where("status = 'failed'").select("company", _moment().alias("moment"))
-    counts = (
-        failed.join(latest.select("company", "last_ok"), "company", "left")
-        .where("last_ok IS NULL OR moment > last_ok")
-        .groupBy("company")
-        .agg(F.count(F.lit(1)).alias("failures"))
+    return Partial(known, _still_open(failed, known))
+
+
+def merge_folds(a: Partial, b: Partial) -> Partial:
+    """The partial fold of both parts together."""
+    known = a.known.unionByName(b.known).groupBy("company").agg(
+        F.max("last_run").alias("last_run"), F.max("last_ok").alias("last_ok"),
+        F.max_by("last", "last_run").alias("last"), F.sum("runs").alias("runs"),
     )
-    return latest.join(counts, "company", "left").select(
+    return Partial(known, _still_open(a.failures.unionByName(b.failures), known))
+
+
+def folded(part: Partial) -> DataFrame:
+    """Current health of every source."""
+    counts = part.failures.groupBy("company").agg(F.count(F.lit(1)).alias("failures"))
+    return part.known.join(counts, "company", "left").select(
         "company",
         F.col("last_run.run_ts").alias("last_attempt"),
         F.col("last_ok.run_ts").alias("last_success"),
@@ -136,24 +167,15 @@ def fold(run_log: DataFrame) -> DataFrame:
     )
 
 
-def continue_fold(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Combine the folds of two consecutive parts of a run log."""
-    a = earlier.select("company", F.struct(*[c for c in earlier.columns if c != "company"]).alias("a"))
-    b = later.select("company", F.struct(*[c for c in later.columns if c != "company"]).alias("b"))
-    both = a.join(b, "company", "full_outer")
-    newest = lambda name: F.when(F.col("b").isNotNull(), F.col(f"b.{name}")).otherwise(F.col(f"a.{name}"))
-    added = lambda name: F.coalesce(f"a.{name}", F.lit(0)) + F.coalesce(f"b.{name}", F.lit(0))
-    return both.select(
-        "company",
-        newest("last_attempt").alias("last_attempt"),
-        F.coalesce("b.last_success", "a.last_success").alias("last_success"),
-        newest("status").alias("status"),
-        newest("jobs_fetched").alias("jobs_fetched"),
-        F.when(F.col("b.last_success").isNotNull(), F.col("b.consecutive_failures"))
-        .otherwise(added("consecutive_failures"))
-        .alias("consecutive_failures"),
-        added("runs").alias("runs"),
-    )
+def fold(run_log: DataFrame) -> DataFrame:
+    """Current health of every source from its whole run history.
+
+    Failures count since the last success.  A window per source would put a hot
+    source into one task.  Instead the failed rows look up their source's last
+    success in a table of one row per source, a join in which adaptive execution
+    can split a hot source, and their counts are combined before the shuffle.
+    """
+    return folded(partial_fold(run_log))
 
 
 def problems(health: DataFrame) -> DataFrame:

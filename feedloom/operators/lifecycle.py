@@ -10,11 +10,17 @@ resolves on its own and the whole merge is joins and aggregations:
 4. the winners pick the wide fetched rows; the wide state rows meet only ids.
 
 Wide columns cross one shuffle each.  Lookup keys never hold blanks, and a key
-shared by many fetched rows meets at most one state row.
+shared by many fetched rows meets at most one state row, in as many tasks as its
+rows need (`split_join`).
+
+The merge is a plan: it runs nothing.  `keep(df, name)` may write a named step and
+go on from the table; without it steps that are used more than once are computed
+once per use.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +29,10 @@ from pyspark.sql import functions as F
 from ..functions.dates import utc_stamp
 from ..functions.urls import canonical_url
 from ..schema import RECORD_COLUMNS, conform_records
-from ..session import written
 from .identity import record_fingerprint, record_id
+from .joins import split_join
+
+Keep = Callable[[DataFrame, str], DataFrame]
 
 TIERS = ("id", "url", "fingerprint")
 KEPT_ACTIVE = ("new", "continuing", "reopened", "carried", "missing")
@@ -78,18 +86,25 @@ def _lookup_rows(df: DataFrame, *carry: str | Column) -> DataFrame:
     return exploded.where(F.col("key").isNotNull())
 
 
-def _history() -> Column:
-    return F.struct("job_id", "first_seen", "announced").alias("history")
+def unkept(df: DataFrame, name: str) -> DataFrame:
+    """The step as a plan."""
+    return df
+
+
+def _history(carry: tuple[str, ...] = ()) -> Column:
+    return F.struct("job_id", "first_seen", "announced", *carry).alias("history")
 
 
-def resolve(fetched: DataFrame, previous: DataFrame, archived: DataFrame) -> DataFrame:
+def resolve(
+    fetched: DataFrame, previous: DataFrame, archived: DataFrame, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Which state row each fetched row is.
 
     Returns (fetch_ord, own_id, rank, history): rank 1-3 is a tier of
     the active state, 4-6 a tier of the archive, NULL is unknown.
     """
     side = lambda df, scope: _lookup_rows(
-        df, _history(), state_order().alias("ord"), F.lit(scope).alias("scope")
+        df, _history(carry), state_order().alias("ord"), F.lit(scope).alias("scope")
     )
     known = (
         side(previous, 0)
@@ -104,7 +119,7 @@ def resolve(fetched: DataFrame, previous: DataFrame, archived: DataFrame) -> Dat
     rank = F.when(F.col("active").isNotNull(), F.col("tier")).when(
         F.col("archive").isNotNull(), F.col("tier") + 3
     )
-    candidates = wanted.join(known, ["tier", "key"], "left").select(
+    candidates = split_join(wanted, known, ["tier", "key"], "left").select(
         "fetch_ord", "own_id",
         rank.alias("rank"), F.coalesce("active", "archive").alias("history"),
     )
@@ -121,7 +136,7 @@ def match_tier(rank: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), rank - 1), F.lit("none"))
 
 
-def _winners(resolved: DataFrame, archived: DataFrame) -> DataFrame:
+def _winners(resolved: DataFrame, archived: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """First fetched row per resolved id, with the history it takes over.
 
     The archive's ids ride along in the same grouping, because a reopened row
@@ -130,7 +145,7 @@ def _winners(resolved: DataFrame, archived: DataFrame) -> DataFrame:
     rows = resolved.select(
         F.coalesce("history.job_id", "own_id").alias("job_id"), "fetch_ord", "rank", "history"
     )
-    shelf = archived.select("job_id", state_order().alias("ord"), _history())
+    shelf = archived.select("job_id", state_order().alias("ord"), _history(carry))
     grouped = (
         rows.unionByName(shelf, allowMissingColumns=True)
         .groupBy("job_id")
@@ -158,27 +173,34 @@ def merge_state(
     ok_companies: DataFrame,
     run_ts: Column,
     archive_after: int = 3,
+    keep: Keep = unkept,
+    carry: tuple[str, ...] = (),
 ) -> Merge:
     """Merge fetched rows (with a unique, sortable `fetch_ord`) into the state.
 
     `ok_companies(company)` names the sources that answered this run; rows of
-    all other sources are carried over untouched.
+    all other sources are carried over untouched.  `carry` names columns beyond
+    the record's that both the fetched and the state rows have: the result holds
+    them, and as `was_<name>` what the state held before; rows that were fetched
+    also hold their `fetch_ord` then.
     """
     now = utc_stamp(run_ts)
-    fetched = conform_records(fetched, "fetch_ord").withColumn("job_id", record_id())
-    previous, archived = conform_records(previous), conform_records(archived)
+    fetched = conform_records(fetched, "fetch_ord", *carry).withColumn("job_id", record_id())
+    previous, archived = conform_records(previous, *carry), conform_records(archived, *carry)
 
     resolved = resolve(
         fetched.select("fetch_ord", "job_id", "company", "title", "location", "application_url"),
-        previous, archived,
+        previous, archived, carry,
     )
     # Narrow, and needed by all three parts below.
-    winners = written(_winners(resolved, archived), "winners")
+    winners = keep(_winners(resolved, archived, carry), "winners")
 
     took = fetched.drop("job_id").join(winners, "fetch_ord")
     rank, history = F.col("rank"), F.col("history")
+    was = lambda of: {f"was_{c}": of(c) for c in carry}
     kept = took.withColumns(
         {
+            **was(lambda c: history[c]),
             "first_seen": F.when(rank.isNull(), now).otherwise(
                 F.coalesce(F.nullif(history["first_seen"], F.lit("")), now)
             ),
@@ -193,12 +215,13 @@ def merge_state(
         }
     )
 
-    ok = ok_companies.select("company").distinct().withColumn("_ok", F.lit(True))
-    absent = previous.join(winners.select("job_id"), "job_id", "left_anti").join(ok, "company", "left")
+    ok = keep(ok_companies.select("company").distinct(), "ok-sources").withColumn("_ok", F.lit(True))
+    absent = split_join(previous.join(winners.select("job_id"), "job_id", "left_anti"), ok, ["company"], "left")
     count = F.col("consecutive_missing") + F.when(F.col("_ok"), F.lit(1)).otherwise(F.lit(0))
     closing = F.col("_ok") & (count >= archive_after)
     gone = absent.withColumns(
         {
+            **was(F.col),
             "lifecycle": F.when(F.col("_ok").isNull(), F.lit("carried"))
             .when(closing, F.lit("closed"))
             .otherwise(F.lit("missing")),
@@ -210,12 +233,15 @@ def merge_state(
 
     revived = winners.where(rank > 3).select("job_id")
     shelf = archived.join(revived, "job_id", "left_anti").withColumns(
-        {"lifecycle": F.lit("archived"), "matched_by": F.lit("none")}
+        {**was(F.col), "lifecycle": F.lit("archived"), "matched_by": F.lit("none")}
     )
 
-    columns = [*RECORD_COLUMNS, "lifecycle", "matched_by"]
+    columns = [*RECORD_COLUMNS, "lifecycle", "matched_by", *carry, *(f"was_{c}" for c in carry)]
+    order = ["fetch_ord"] if carry else []
     return Merge(
-        kept.select(columns).unionByName(gone.select(columns)).unionByName(shelf.select(columns))
+        kept.select(*columns, *order)
+        .unionByName(gone.select(columns), allowMissingColumns=True)
+        .unionByName(shelf.select(columns), allowMissingColumns=True)
     )
 
 

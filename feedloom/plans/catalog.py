@@ -325,7 +325,7 @@ def merged(spark, folder) -> lifecycle.Merge:
     return lifecycle.merge_state(
         views.fetched(spark, folder), views.previous_state(spark, folder),
         views.archived_state(spark, folder), views.ok_sources(spark, folder),
-        run_ts(FETCH_TS), PACK.archive_after_missing_runs,
+        run_ts(FETCH_TS), PACK.archive_after_missing_runs, written,
     )
 
 
@@ -337,7 +337,7 @@ def judged_merge(spark, folder) -> lifecycle.Merge:
     fresh = written(scores.drop("description", "requirements"), "judged")
     return lifecycle.merge_state(
         fresh, views.previous_state(spark, folder), views.archived_state(spark, folder),
-        views.ok_sources(spark, folder), run_ts(FETCH_TS), PACK.archive_after_missing_runs,
+        views.ok_sources(spark, folder), run_ts(FETCH_TS), PACK.archive_after_missing_runs, written,
     )
 
 

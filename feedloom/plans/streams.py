@@ -14,14 +14,14 @@ from .views import FETCH_TS, run_ts
 @query
 def stream_lifecycle(spark, folder):
     root = scratch_path(spark, "lifecycle")
-    runs.lifecycle_stream(
+    state = runs.lifecycle_stream(
         runs.table_stream(spark, folder, "documents"),
         lambda batch: views.fetched(batch.sparkSession, folder, batch),
         views.previous_state(spark, folder), views.archived_state(spark, folder),
         lambda batch: views.ok_sources(batch.sparkSession, folder),
         lambda batch_id: run_ts(FETCH_TS), PACK.archive_after_missing_runs, root,
     )
-    return runs.latest(spark, root).select(*catalog._STATE)
+    return state.select(*catalog._STATE)
 
 
 @query
@@ -31,7 +31,7 @@ def stream_health(spark, folder):
         runs.table_stream(spark, folder, "events"),
         lambda batch: views.run_log(batch.sparkSession, folder, batch), root,
     )
-    return catalog.shown_health(runs.latest(spark, root))
+    return catalog.shown_health(runs.latest_health(spark, root))
 
 
 @query

@@ -2,7 +2,8 @@
 
 State lives in versioned tables below a shared folder: micro-batch n reads
 version n-1 and writes version n.  A repeated micro-batch reads and overwrites
-the same two versions, so nothing is counted twice.
+the same versions, so nothing is counted twice.  Versions that no repeated
+micro-batch can ask for any more are dropped.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import health
 from ..operators.gates import posted_since
-from ..operators.lifecycle import KEPT_ACTIVE, merge_state
-from ..session import scratch_path
+from ..session import remove, scratch_path
+from ..sources.ledger import Ledger, run_ledger
 
 BatchView = Callable[[DataFrame], DataFrame]
 
@@ -45,45 +46,49 @@ def _version(root: str, batch_id: int) -> str:
 
 def lifecycle_stream(
     stream: DataFrame, fetched: BatchView, previous: DataFrame, archived: DataFrame,
-    ok_companies: BatchView, run_ts: Callable[[int], Column], archive_after: int, root: str,
-) -> None:
-    """One micro-batch is one run; the full state of run n is version n.
+    ok_companies: BatchView, run_ts: Callable[[int], Column], archive_after: int, root: str, every: int = 10,
+) -> DataFrame:
+    """One micro-batch is one run of a ledger: micro-batch n is version n+1.  Returns the state after the last.
 
     `fetched` turns a micro-batch into judged rows with `fetch_ord`;
-    `ok_companies` names the sources that answered in it.
+    `ok_companies` names the sources that answered in it.  A run writes its
+    changes; the batch is judged once.
     """
+    spark = stream.sparkSession
+    ledger = Ledger(spark, root, every)
+    ledger.start(previous, archived)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            active, shelf = previous, archived
-        else:
-            last = spark.read.parquet(_version(root, batch_id - 1))
-            kept = F.col("lifecycle").isin(*KEPT_ACTIVE)
-            active, shelf = last.where(kept), last.where(~kept)
-        merge = merge_state(
-            fetched(batch), active, shelf, ok_companies(batch), run_ts(batch_id), archive_after
-        )
-        merge.state.write.mode("overwrite").parquet(_version(root, batch_id))
+        steps = f"{root}/steps"
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{steps}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{steps}/{name}")
+
+        run_ledger(ledger, batch_id + 1, fetched(batch), ok_companies(batch), run_ts(batch_id), archive_after, keep)
+        remove(spark, steps)
 
     run_to_end(stream, run, f"{root}-checkpoint")
+    return ledger.state(ledger.newest())
 
 
 def health_stream(stream: DataFrame, run_log: BatchView, root: str) -> None:
-    """Health of every source after each micro-batch of the run log.
+    """Health of every source after each micro-batch of the run log, whatever order they come in.
 
-    A micro-batch is folded like a whole log (aggregations with map-side
-    combine), then joined to one row per source of the last version: a hot
-    source never passes through one task, as it would with per-key state
-    functions.  Micro-batches must follow each other in run order.
+    The state is `health.partial_fold`: what is known per source, and the failures that may
+    still count.  Partial folds merge like the parts of one log, so a success that
+    arrives late takes back the failures it was after, and a hot source never passes
+    through one task, as it would with per-key state functions.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = health.fold(run_log(batch))
+        now = health.partial_fold(run_log(batch))
         if batch_id > 0:
-            now = health.continue_fold(spark.read.parquet(_version(root, batch_id - 1)), now)
-        now.write.mode("overwrite").parquet(_version(root, batch_id))
+            now = health.merge_folds(health.Partial.read(spark, _version(root, batch_id - 1)), now)
+        now.write(_version(root, batch_id))
+        if batch_id > 1:
+            remove(spark, _version(root, batch_id - 2))
 
     run_to_end(stream, run, f"{root}-checkpoint")
 
@@ -121,8 +126,8 @@ def append_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(root)
 
 
-def latest(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of a versioned state."""
-    every = spark.read.option("basePath", root).parquet(root)
+def latest_health(spark: SparkSession, root: str) -> DataFrame:
+    """Health after the newest micro-batch."""
+    every = spark.read.option("basePath", root).parquet(f"{root}/version=*/known")
     newest = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == newest).drop("version")
+    return health.folded(health.Partial.read(spark, _version(root, newest)))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from feedloom.operators import health
 from feedloom.operators.identity import first_n_per_key, first_per_key
-from feedloom.operators.lifecycle import mark_announced, merge_state
+from feedloom.operators.lifecycle import mark_announced, merge_state, resolve
 from feedloom.schema import RECORD_SCHEMA, conform_records
+from feedloom.sources.ledger import Ledger, narrow, run_ledger
+
 
 def now():
     return F.lit("2026-07-12 12:00:00").cast("timestamp")
@@ -201,6 +205,128 @@ def test_merge_joins_on_keys_only(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+HOT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+@pytest.fixture
+def hot(spark):
+    """Small thresholds, under which a hot key of a small table is split as one of a large table would be."""
+    before = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_a_url_of_a_third_of_all_rows_is_looked_up_in_many_tasks(hot):
+    n = 30_000
+    url = F.when(F.col("id") % 3 == 0, F.lit("https://acme.test/all")).otherwise(F.concat(F.lit("https://acme.test/"), "id"))
+    rows = hot.range(n).select(
+        F.col("id").alias("fetch_ord"), F.lit("Acme").alias("company"), F.md5(F.col("id").cast("string")).alias("source_job_id"),
+        F.col("id").cast("string").alias("title"), url.alias("application_url"),
+    )
+    fresh = conform_records(rows, "fetch_ord").withColumn("job_id", F.concat(F.lit("new-"), "source_job_id"))
+    old = conform_records(rows.where("fetch_ord % 2 = 0").withColumn("job_id", F.concat(F.lit("old-"), "source_job_id")))
+    found = resolve(fresh, old, old.where("FALSE"))
+    assert "skew=true" in final_plan(found)
+    # The first state row in order that has the shared address answers for all.
+    ranks = {r["rank"]: r["count"] for r in found.groupBy("rank").count().collect()}
+    assert ranks == {2: n // 3 + n // 3, None: n // 3}
+
+
+def test_failures_of_a_hot_source_are_looked_up_in_many_tasks(hot):
+    company = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id") % 5_000))
+    log = hot.range(60_000).select(company.alias("company"), F.col("id").alias("run_ts"), F.col("id").alias("run_id"),
+                                   F.lit("failed").alias("status"), F.lit(0).alias("jobs_fetched"))
+    part = health.partial_fold(log)
+    assert "skew=true" in final_plan(part.failures)
+    assert part.failures.where("company = 'hot'").count() == 20_000
+
+
+def test_a_merge_is_a_plan_and_runs_nothing(spark):
+    tracker = spark.sparkContext.statusTracker()
+    rows, old = frame(spark, [row()], True), frame(spark, [row(job_id="a")])
+    spark.sparkContext.setJobGroup("merge", "merge")
+    named = []
+
+    def keep(df, name):
+        named.append(name)
+        return df
+
+    merge_state(rows, old, old.where("FALSE"), old.select("company"), now(), keep=keep)
+    assert list(tracker.getJobIdsForGroup("merge")) == [] and named == ["winners", "ok-sources"]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+# ----------------------------------------------------------------- ledger
+def ledger_rows(spark, rows):
+    return frame(spark, rows, True)
+
+
+def play_ledger(spark, root, batches, every):
+    ledger = Ledger(spark, str(root), every)
+    ledger.start()
+    ok = spark.createDataFrame([("Acme",)], "company STRING")
+    for n, rows in enumerate(batches, 1):
+        def keep(df, name, n=n):
+            df.write.mode("overwrite").parquet(f"{root}-steps/{n}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{root}-steps/{n}/{name}")
+
+        run_ledger(ledger, n, ledger_rows(spark, rows), ok, now(), 2, keep)
+    return ledger
+
+
+BATCHES = [
+    [row("1", description="a"), row("2", description="b"), row("1", description="copy")],
+    [row("2", description="b"), row("3", description="c", requirements="r")],
+    [row("2", description="edited"), row("3", description="c", requirements="r")],
+    [row("1", description="back")],
+    [],
+]
+
+
+def test_a_ledger_equals_the_runs_and_writes_what_changed(spark, tmp_path):
+    """New, continuing, edited, missing, closed and reopened rows over five runs and two bases."""
+    ledger = play_ledger(spark, tmp_path / "ledger", BATCHES, 2)
+    assert ledger.newest() == 5
+    got = {r["job_id"]: r for r in ledger.with_texts(ledger.state(5)).collect()}
+    shown = {j: (r["lifecycle"], r["consecutive_missing"], r["status"], r["description"], r["requirements"]) for j, r in got.items()}
+    # The second run missed 1 once, the third twice, which closes it; the fourth has it again.
+    assert shown == {
+        "acme-1": ("missing", 1, "active", "back", ""), "acme-2": ("closed", 2, "closed", "edited", ""),
+        "acme-3": ("closed", 2, "closed", "c", "r"),
+    }
+    assert sorted(r["job_id"] for r in ledger.active(5).collect()) == ["acme-1"]
+    folders = lambda kind: sorted(p.name for p in (tmp_path / "ledger" / kind).iterdir())
+    rows = lambda kind, n: sorted(r["job_id"] for r in spark.read.parquet(f"{ledger.root}/{kind}/version={n}").collect())
+    # Texts are those of new, edited and reopened rows; closed rows are not written again.
+    assert [rows("texts", n) for n in range(1, 6)] == [["acme-1", "acme-2"], ["acme-3"], ["acme-2"], ["acme-1"], []]
+    assert folders("changes") == ["version=3", "version=4", "version=5"] and folders("base") == ["version=2", "version=4"]
+    assert [rows("changes", n) for n in (3, 4, 5)] == [["acme-1", "acme-2", "acme-3"], ["acme-1", "acme-2", "acme-3"], ["acme-1", "acme-2", "acme-3"]]
+
+
+def test_no_text_crosses_the_merge(spark, tmp_path):
+    ledger = play_ledger(spark, tmp_path / "ledger", BATCHES[:1], 10)
+    rows = narrow(ledger_rows(spark, BATCHES[1]), "fetch_ord")
+    merge = ledger.merge(2, rows, spark.createDataFrame([("Acme",)], "company STRING"), now(), 2)
+    plan = merge.state._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "texts" in line]
+    assert scans == []
+    for c in ("description", "requirements"):
+        assert c not in rows.columns
+
+
 def test_first_per_key_is_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("k"), "id", F.lit("c").alias("company"))
     once = first_per_key(df, ["company", "k"], ["id"])

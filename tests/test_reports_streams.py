@@ -61,14 +61,19 @@ def test_fold_equals_the_plain_loop_with_a_hot_source(spark):
     assert shown(health.fold(spark.createDataFrame(rows, LOG))) == plain_fold(rows)
 
 
-def test_fold_can_be_continued(spark):
+def test_folds_of_parts_merge_in_any_order(spark):
     rows = random_log(300, seed=9)
-    parts = [health.fold(spark.createDataFrame(p, LOG)) for p in (rows[:90], rows[90:])]
-    assert shown(health.continue_fold(*parts)) == plain_fold(rows)
+    shuffled = random.Random(1).sample(rows, len(rows))
+    for log in (rows, list(reversed(rows)), shuffled):
+        parts = [health.partial_fold(spark.createDataFrame(p, LOG)) for p in (log[:90], log[90:150], log[150:])]
+        whole = health.merge_folds(parts[0], health.merge_folds(parts[1], parts[2]))
+        assert shown(health.folded(whole)) == plain_fold(rows)
 
 
-def test_health_stream_over_many_batches(spark, tmp_path):
-    rows = random_log(300, seed=5)
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_health_stream_over_many_batches(spark, tmp_path, shuffled):
+    log = random_log(300, seed=5)
+    rows = random.Random(3).sample(log, len(log)) if shuffled else log
     for i in range(3):
         spark.createDataFrame(rows[i * 100:(i + 1) * 100], LOG).coalesce(1).write.parquet(str(tmp_path / f"log{i}"))
     landing = tmp_path / "land"
@@ -81,8 +86,9 @@ def test_health_stream_over_many_batches(spark, tmp_path):
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(landing))
     root = str(tmp_path / "health")
     runs.health_stream(stream, lambda batch: batch, root)
-    assert (tmp_path / "health" / "version=2").exists()
-    assert shown(runs.latest(spark, root)) == plain_fold(rows)
+    # The version a repeated micro-batch would read stays; older ones are dropped.
+    assert sorted(p.name for p in (tmp_path / "health").iterdir()) == ["version=1", "version=2"]
+    assert shown(runs.latest_health(spark, root)) == plain_fold(log)
 
 
 def test_lifecycle_stream_ages_rows_once_per_batch(spark, tmp_path):
@@ -103,11 +109,11 @@ def test_lifecycle_stream_ages_rows_once_per_batch(spark, tmp_path):
 
     def play(root):
         stream = spark.readStream.schema(feed).option("maxFilesPerTrigger", 1).parquet(str(landing))
-        runs.lifecycle_stream(
+        state = runs.lifecycle_stream(
             stream, lambda b: b, empty, empty, lambda b: ok,
             lambda n: F.lit(datetime(2026, 7, 1 + n)).cast("timestamp"), 2, root,
         )
-        return {r["job_id"]: (r["lifecycle"], r["consecutive_missing"], r["first_seen"][:10]) for r in runs.latest(spark, root).collect()}
+        return {r["job_id"]: (r["lifecycle"], r["consecutive_missing"], r["first_seen"][:10]) for r in state.collect()}
 
     expected = {"acme-1": ("closed", 2, "2026-07-01"), "acme-2": ("continuing", 0, "2026-07-01"), "acme-3": ("new", 0, "2026-07-03")}
     root = str(tmp_path / "state")
