@@ -1,4 +1,8 @@
-"""JSON paths and templates.  Paths come from configuration, not from rows."""
+"""JSON paths and templates.
+
+A path is configuration: either one for all rows, compiled into VARIANT lookups, or a
+column, where each row brings the path of its own source.
+"""
 
 from __future__ import annotations
 
@@ -68,6 +72,44 @@ def dig_list(value: Column, path: str | None) -> Column:
     return _items(value)
 
 
+def _keyed(value: Column, name: Column) -> Column:
+    # A map lookup: a VARIANT path that differs by row would be parsed for every row.
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), name)
+
+
+def _steps(path: Column) -> Column:
+    return F.when(text_or_empty(path) == "", F.array().cast("array<string>")).otherwise(F.split(path, "[.]"))
+
+
+def _place(name: Column) -> Column:
+    return F.when(name.rlike("^[0-9]+$"), name.try_cast("int"))
+
+
+def dig_text_by(value: Column, path: Column, sep: str = "; ") -> Column:
+    """As `dig_text`, with a path per row."""
+
+    def further(values: Column, name: Column) -> Column:
+        def step(v: Column) -> Column:
+            listed = F.when(_place(name).isNotNull(), F.array(F.get(_items(v), _place(name)))).otherwise(
+                F.transform(_items(v), lambda item: _keyed(item, name))
+            )
+            return F.when(_items(v).isNotNull(), listed).otherwise(F.array(_keyed(v, name)))
+
+        return F.filter(F.flatten(F.transform(values, step)), lambda v: v.isNotNull())
+
+    found = F.aggregate(_steps(path), F.array(value), further)
+    leaves = F.flatten(F.transform(found, lambda v: F.coalesce(_leaf(v), F.array().cast("array<string>"))))
+    return F.when(text_or_empty(path) == "", F.lit("")).otherwise(text_or_empty(F.array_join(leaves, sep)))
+
+
+def dig_list_by(value: Column, path: Column) -> Column:
+    """As `dig_list`, with a path per row."""
+    return _items(F.aggregate(
+        _steps(path), value,
+        lambda v, name: F.when(_place(name).isNotNull(), F.get(_items(v), _place(name))).otherwise(_keyed(v, name)),
+    ))
+
+
 def as_text(value: Column, sep: str = "; ") -> Column:
     """A JSON field that may be a list or a scalar, as one text.
 

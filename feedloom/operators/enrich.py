@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .identity import first_n_per_key
+from .identity import Cap, first_n_per_key
 
 
 def eligible_for_detail(
-    listing: DataFrame, predicate: Column, order: list[str | Column], key: str, cap: int | Column | None = None
+    listing: DataFrame, predicate: Column, order: list[str | Column], key: str, cap: int | Cap | None = None
 ) -> DataFrame:
     """(company, key) of the rows per source that pass the predicate, all or the first `cap`.
 
-    The predicate runs below the window, and a constant cap is a group limit applied
-    before the shuffle, so a hot source costs one short list per task.  A cap column
-    holds each source's own; NULL is no cap.
+    The predicate runs below the window, and a cap, also each source's own (`Cap`), is
+    a group limit applied before the shuffle, so a hot source costs one short list per task.
+    Rows of a source without a cap pass as they are.
     """
     wanted = listing.where(predicate)
     if cap is not None:
@@ -25,7 +25,7 @@ def eligible_for_detail(
 
 def enrich(
     listing: DataFrame, details: DataFrame, predicate: Column, order: list[str | Column],
-    key: str, cap: int | Column | None = None,
+    key: str, cap: int | Cap | None = None,
 ) -> DataFrame:
     """Listing left-joined to its allowed details; `detail` is a struct or NULL."""
     allowed = eligible_for_detail(listing, predicate, order, key, cap)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,25 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     return present.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
 
 
-def first_n_per_key(df: DataFrame, keys: list[str], order: list[str | Column], n: int | Column) -> DataFrame:
-    """First `n` rows per key (a per-source cap; a constant bounds the rows before the shuffle too)."""
+@dataclass(frozen=True)
+class Cap:
+    """How many rows each key may have: a column (NULL: all of them), and the most it can say."""
+
+    each: Column
+    most: int
+
+
+def first_n_per_key(df: DataFrame, keys: list[str], order: list[str | Column], n: int | Cap) -> DataFrame:
+    """First `n` rows per key, in two phases: the first ones of a key per task, then the first ones of those.
+
+    The planner makes the first phase of a constant bound (a group limit before the shuffle; up to
+    `spark.sql.optimizer.windowGroupLimitThreshold`, 1000).  Where every key has a cap of its own, the greatest
+    cap is that bound, and rows of keys without a cap never enter the window.
+    """
     window = Window.partitionBy(*keys).orderBy(*order)
-    within = F.coalesce(F.col("_nth") <= n, F.lit(True)) if isinstance(n, Column) else F.col("_nth") <= n
-    return df.withColumn("_nth", F.row_number().over(window)).where(within).drop("_nth")
+    numbered = lambda rows: rows.withColumn("_nth", F.row_number().over(window))
+    if not isinstance(n, Cap):
+        return numbered(df).where(F.col("_nth") <= n).drop("_nth")
+    rows = df.withColumn("_cap", n.each)
+    capped = numbered(rows.where("_cap IS NOT NULL")).where(F.col("_nth") <= n.most).where("_nth <= _cap")
+    return capped.drop("_nth", "_cap").unionByName(rows.where("_cap IS NULL").drop("_cap"))

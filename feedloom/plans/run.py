@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +16,11 @@ from ..operators.refine import FrameRefiner, refine
 from ..operators.score import with_score
 from ..rules import POSTING, RulePack
 from ..schema import conform_records
+from ..session import remove
 from ..sources import boards, endpoints, pages  # noqa: F401  (registers them)
 from ..sources.landing import Context, Normalized, normalize
-from ..sources.state import load_health, load_records, write_outputs
+from ..sources.ledger import Ledger, run_ledger
+from ..sources.state import load_health, load_records, save_health, write_outputs
 
 
 def judge_records(
@@ -53,28 +55,47 @@ class Run:
         return gates.digest_eligible(self.merge.state, self.pack)
 
 
-Keep = Callable[[DataFrame, str], DataFrame]
+@dataclass(frozen=True)
+class Fetched:
+    """What a run's pages gave: judged rows, and how each source did."""
+
+    normalized: Normalized
+    outcomes: DataFrame
+    judged: DataFrame
+
+    @property
+    def ok_companies(self) -> DataFrame:
+        return self.outcomes.where(health.is_ok(F.col("status"))).select("company")
+
+
+def judge_pages(payloads: DataFrame, ctx: Context, refiner: FrameRefiner | None = None) -> Fetched:
+    """Landed pages -> records -> gates -> classes -> score, each step through the context's `keep`.
+
+    A kept source dimension has a known size, so that joins with it are planned as broadcasts where
+    it is small, and no text moves on a source's name.
+    """
+    keep = ctx.keep
+    ctx = replace(ctx, sources=keep(ctx.sources, "sources"))
+    found = normalize(payloads, ctx)
+    found = Normalized(keep(found.records, "normalized"), keep(found.problems, "problems"))
+    records = found.accepted(keep)
+    outcomes = keep(health.run_outcomes(ctx.sources, payloads, records, found.problems), "outcomes")
+    return Fetched(found, outcomes, keep(judge_records(records, ctx.sources, ctx.pack, ctx.run_ts, refiner), "judged"))
 
 
 def plan_run(
     payloads: DataFrame, ctx: Context, previous: DataFrame, archived: DataFrame,
     previous_health: DataFrame, refiner: FrameRefiner | None = None,
-    keep: Keep = lambda df, name: df,
 ) -> Run:
-    """Plan of a run.  `keep` may write a named step and go on from the table;
-    without it the plan reads only, apart from the merge's shared lookup result.
+    """Plan of a run.  The context's `keep` may write named steps and go on from the tables;
+    without one the plan runs and writes nothing.
     """
-    found = normalize(payloads, ctx)
-    found = Normalized(keep(found.records, "normalized"), keep(found.problems, "problems"))
-    records = found.accepted()
-    outcomes = keep(health.run_outcomes(ctx.sources, payloads, records, found.problems), "outcomes")
-    judged = keep(judge_records(records, ctx.sources, ctx.pack, ctx.run_ts, refiner), "judged")
-    ok = outcomes.where(health.is_ok(F.col("status"))).select("company")
+    done = judge_pages(payloads, ctx, refiner)
     merge = lifecycle.merge_state(
-        judged, previous, archived, ok, ctx.run_ts, ctx.pack.archive_after_missing_runs
+        done.judged, previous, archived, done.ok_companies, ctx.run_ts, ctx.pack.archive_after_missing_runs, ctx.keep
     )
-    now = health.step(previous_health, outcomes, utc_stamp(ctx.run_ts))
-    return Run(merge, now, found, ctx.pack)
+    now = health.step(previous_health, done.outcomes, utc_stamp(ctx.run_ts))
+    return Run(merge, now, done.normalized, ctx.pack)
 
 
 def _in_scope(sources: DataFrame, only: list[str] | None) -> DataFrame:
@@ -88,10 +109,15 @@ def _in_scope(sources: DataFrame, only: list[str] | None) -> DataFrame:
     return gates.only_companies(sources, only)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    """Write a step's result and go on from the table: it is computed once."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep_in(folder: str) -> Callable[..., DataFrame]:
+    """A `keep` that writes a step's result to a folder and goes on from the table: it is computed once."""
+
+    def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
 
 
 def run_once(
@@ -104,25 +130,66 @@ def run_once(
     """Run against the state saved in `state` and write all outputs to `target`.
 
     The two folders differ, so a run never overwrites what it reads and a failed
-    run can be repeated.  Normalised and judged records are written before the
-    merge reads them, so pages are parsed and texts scored once however many
-    outputs follow.
+    run can be repeated.  Steps that several outputs need are kept in `target/steps`, so
+    pages are parsed and texts scored once, and removed when all outputs are written.  A dry
+    run writes nothing anywhere.
     """
     spark = payloads.sparkSession
+    steps = f"{target}/steps"
     ctx = Context(_in_scope(sources, only), run_ts, details, pack, configs or {})
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        return df if dry_run else _written(df, f"{target}/{name}")
-
+    if not dry_run:
+        ctx = replace(ctx, keep=keep_in(steps))
     run = plan_run(
         payloads, ctx,
         load_records(spark, f"{state}/active"), load_records(spark, f"{state}/archived"),
-        load_health(spark, f"{state}/health"), refiner, keep,
+        load_health(spark, f"{state}/health"), refiner,
     )
     if dry_run:
         return run
+    found = Normalized(*[
+        keep_in(target)(df, name) for df, name in ((run.normalized.records, "normalized"), (run.normalized.problems, "problems"))
+    ])
     merge, now = write_outputs(run.merge, run.health, sources, target, run_ts, pack, deliver)
-    return Run(merge, now, run.normalized, pack)
+    remove(spark, steps)
+    return Run(merge, now, found, pack)
+
+
+@dataclass(frozen=True)
+class LedgerRun:
+    """Results of a run that appended to a ledger."""
+
+    changes: DataFrame
+    health: DataFrame
+    pack: RulePack
+
+    @property
+    def digest(self) -> DataFrame:
+        return gates.digest_eligible(self.changes, self.pack)
+
+
+def run_next(
+    payloads: DataFrame, sources: DataFrame, ledger: Ledger, run_ts: Column, *,
+    details: DataFrame | None = None, pack: RulePack = POSTING,
+    configs: dict[str, dict] | None = None, refiner: FrameRefiner | None = None,
+    only: list[str] | None = None, version: int | None = None,
+) -> LedgerRun:
+    """The next run of a ledger: it writes what changed, not the whole state.
+
+    Health is a table per version beside the ledger's.  A run that failed is repeated under its `version`.
+    """
+    spark, root = payloads.sparkSession, ledger.root
+    ledger.start()
+    number = version or ledger.newest() + 1
+    steps = f"{root}/steps/{number}"
+    ctx = Context(_in_scope(sources, only), run_ts, details, pack, configs or {}, keep_in(steps))
+    done = judge_pages(payloads, ctx, refiner)
+    changes = run_ledger(
+        ledger, number, done.judged, done.ok_companies, run_ts, pack.archive_after_missing_runs, ctx.keep
+    )
+    now = health.step(load_health(spark, f"{root}/health/{number - 1}"), done.outcomes, utc_stamp(run_ts))
+    save_health(now, f"{root}/health/{number}", run_ts)
+    remove(spark, steps)
+    return LedgerRun(changes, load_health(spark, f"{root}/health/{number}"), pack)
 
 
 def validate_sources(

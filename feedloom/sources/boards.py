@@ -28,7 +28,7 @@ def filled(values: Column) -> Column:
 @register("greenhouse")
 def greenhouse(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "jobs ARRAY<STRUCT<id STRING, title STRING, updated_at STRING, first_published STRING, "
         "absolute_url STRING, location STRUCT<name STRING>, departments ARRAY<STRUCT<name STRING>>, "
         "content STRING>>",
@@ -53,7 +53,7 @@ def greenhouse(pages: DataFrame, ctx: Context) -> Normalized:
 @register("lever")
 def lever(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "ARRAY<STRUCT<id STRING, text STRING, createdAt BIGINT, hostedUrl STRING, applyUrl STRING, "
         "categories STRUCT<commitment STRING, location STRING, team STRING>, country STRING, "
         "workplaceType STRING, descriptionPlain STRING, description STRING, "
@@ -93,7 +93,7 @@ def lever(pages: DataFrame, ctx: Context) -> Normalized:
 @register("ashby")
 def ashby(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "jobs ARRAY<STRUCT<id STRING, title STRING, location STRING, "
         "secondaryLocations ARRAY<STRUCT<location STRING>>, department STRING, team STRING, "
         "employmentType STRING, isListed BOOLEAN, isRemote BOOLEAN, publishedAt STRING, jobUrl STRING, "
@@ -146,7 +146,7 @@ def with_details(listing: DataFrame, ctx: Context, predicate: Column, schema: st
 def workday(pages: DataFrame, ctx: Context) -> Normalized:
     parts = F.split(F.rtrim(F.trim("source_identifier"), F.lit("/")), "/")
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "jobPostings ARRAY<STRUCT<title STRING, externalPath STRING, locationsText STRING, "
         "postedOn STRING, bulletFields ARRAY<STRING>>>",
         lambda p: p["jobPostings"],
@@ -197,7 +197,7 @@ def eightfold(pages: DataFrame, ctx: Context) -> Normalized:
     ident = F.rtrim(F.trim("source_identifier"), F.lit("/"))
     host, domain = F.substring_index(ident, "/", 1), F.regexp_replace(ident, "^[^/]*/?", "")
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "status STRING, errorMsg STRING, data STRUCT<positions ARRAY<STRUCT<id STRING, "
         "displayJobId STRING, name STRING, locations ARRAY<STRING>, standardizedLocations ARRAY<STRING>, "
         "postedTs STRING, creationTs STRING, department STRING, workLocationOption STRING, "

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_prefix, us_date
 from ..functions.html import strip_html
-from ..functions.paths import as_text, dig_list, dig_text, fill_template
-from ..functions.text import first_filled, text_or_empty
+from ..functions.paths import as_text, dig_list_by, dig_text_by
+from ..functions.text import first_filled, let, literals, text_or_empty
 from ..operators.gates import title_prefilter
 from ..operators.identity import first_per_key, record_fingerprint
 from .boards import KEEP, _t, filled, with_details
-from .landing import (
-    Context, Normalized, explode_once, open_items, page_order, problem_rows, register,
-)
+from .landing import Context, Normalized, open_items, opened_rows, register, split_opened
 
 # Fixed value: the country the presets ask their API for.
 US = "United States"
@@ -34,7 +30,7 @@ def _strip_and_join(df: DataFrame, parts: list[str]) -> DataFrame:
 @register("json", "amazon")
 def amazon(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "jobs ARRAY<STRUCT<id_icims STRING, id STRING, job_path STRING, title STRING, "
         "normalized_location STRING, location STRING, job_category STRING, job_schedule_type STRING, "
         "description STRING, basic_qualifications STRING, preferred_qualifications STRING, "
@@ -68,7 +64,7 @@ def amazon(pages: DataFrame, ctx: Context) -> Normalized:
 @register("json", "google")
 def google(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "jobs ARRAY<STRUCT<id STRING, title STRING, locations ARRAY<STRUCT<display STRING>>, "
         "description STRING, summary STRING, qualifications STRING, responsibilities STRING, "
         "apply_url STRING, publish_date STRING, created STRING>>",
@@ -100,7 +96,7 @@ def google(pages: DataFrame, ctx: Context) -> Normalized:
 def uber(pages: DataFrame, ctx: Context) -> Normalized:
     place = "STRUCT<city: STRING, region: STRING, country: STRING, countryName: STRING>"
     items, problems = open_items(
-        pages,
+        ctx, pages,
         f"data STRUCT<results ARRAY<STRUCT<id STRING, title STRING, department STRING, "
         f"description STRING, creationDate STRING, location {place}, allLocations ARRAY<{place}>>>>",
         lambda p: p["data"]["results"],
@@ -130,13 +126,13 @@ def uber(pages: DataFrame, ctx: Context) -> Normalized:
 
 
 # City marks that keep a posting of this feed.
-_KEPT_CITIES = "New York|NYC|Austin|Chicago|US"
+_KEPT_CITIES = ["New York", "NYC", "Austin", "Chicago", "US"]
 
 
 @register("json", "janestreet")
 def janestreet(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "ARRAY<STRUCT<id STRING, position STRING, title STRING, city STRING, team STRING, "
         "duration STRING, type STRING, overview STRING, description STRING>>",
         lambda p: p,
@@ -145,7 +141,7 @@ def janestreet(pages: DataFrame, ctx: Context) -> Normalized:
     address = F.concat(
         F.lit("https://www.janestreet.com/join-jane-street/position/"), _t("id"), F.lit("/")
     )
-    records = items.where(_t("city").rlike(_KEPT_CITIES)).select(
+    records = items.where(F.exists(literals(_KEPT_CITIES), lambda mark: F.contains(_t("city"), mark))).select(
         *KEEP,
         _t("id").alias("source_job_id"),
         first_filled(F.col("item.position"), F.col("item.title")).alias("title"),
@@ -167,7 +163,7 @@ _SECTIONS = ["companyDescription", "jobDescription", "qualifications", "addition
 def smartrecruiters(pages: DataFrame, ctx: Context) -> Normalized:
     board = F.regexp_replace("source_identifier", "^[^:]*:?", "")
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "content ARRAY<STRUCT<id STRING, name STRING, ref STRING, releasedDate STRING, "
         "location STRUCT<city: STRING, region: STRING, country: STRING>, "
         "function STRUCT<label: STRING>, typeOfEmployment STRUCT<label: STRING>>>",
@@ -207,7 +203,7 @@ def smartrecruiters(pages: DataFrame, ctx: Context) -> Normalized:
 @register("json", "oracle")
 def oracle(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "items ARRAY<STRUCT<requisitionList ARRAY<STRUCT<Id STRING, Title STRING, "
         "PrimaryLocation STRING, ShortDescriptionStr STRING, PostedDate STRING>>>>",
         lambda p: F.get(p["items"], F.lit(0))["requisitionList"],
@@ -230,7 +226,7 @@ def oracle(pages: DataFrame, ctx: Context) -> Normalized:
 @register("json", "salesforce")
 def salesforce(pages: DataFrame, ctx: Context) -> Normalized:
     items, problems = open_items(
-        pages,
+        ctx, pages,
         "jobs ARRAY<STRUCT<id STRING, jobId STRING, title STRING, name STRING, url STRING, "
         "applyUrl STRING, locations STRING, location STRING, department STRING, description STRING, "
         "postedDate STRING, datePosted STRING>>",
@@ -253,66 +249,65 @@ def salesforce(pages: DataFrame, ctx: Context) -> Normalized:
     return Normalized(strip_html(records, "description"), problems)
 
 
-_MAPPED = ["source_job_id", "title", "location", "country", "department", "employment_type"]
+# What a mapping says of a record, beside the path of the record list.
+_TEXTS = ["source_job_id", "title", "location", "country", "department", "employment_type"]
+_PATHS = [*_TEXTS, "description", "date_posted", "url"]
 
 
-def _mapped_source(pages: DataFrame, config: dict) -> Normalized:
-    """One configured source: paths are compiled into VARIANT lookups."""
+def mapping_row(config: dict) -> tuple:
+    """A configured mapping as one row: usable, path of the list, paths of the fields."""
     fields = config.get("fields") or {}
-    valid = bool(fields.get("title")) and bool((config.get("request") or {}).get("url"))
-    payload = F.try_parse_json("body")
-    items = dig_list(payload, config.get("jobs_path")) if valid else F.lit(None).cast("array<variant>")
-    category = (
-        F.when(F.lit(not valid), F.lit("invalid_config"))
-        .when(payload.isNull(), F.lit("parse_error"))
-        .otherwise(F.lit("structure_changed"))
-    )
-    broken = pages.where(items.isNull()).withColumn("category", category)
-    good = explode_once(
-        pages.select("company", "source_type", "fetch_page", F.col("url").alias("page_url"), items.alias("items"))
-    )
-    item = F.col("item")
-    records = good.select(
-        "company", "source_type", page_order().alias("fetch_ord"), "page_url",
-        *[dig_text(item, fields.get(name)).alias(name) for name in _MAPPED],
-        dig_text(item, fields.get("description"), " ").alias("description"),
-        iso_prefix(dig_text(item, fields.get("date_posted"))).alias("date_posted"),
-        item.alias("item"),
-    )
-    link = fields.get("url") or ""
-    address = (
-        fill_template(link, source_job_id=F.col("source_job_id"))
-        if link.startswith("http")
-        else dig_text(item, link)
-    )
-    records = records.withColumn("application_url", address).withColumn(
-        "source_url", first_filled(F.col("application_url"), F.col("page_url"))
-    )
-    key = first_filled(F.col("source_job_id"), record_fingerprint())
-    once = _once(records.drop("item", "page_url"), key).drop("key")
-    return Normalized(strip_html(once, "description"), problem_rows(broken))
+    usable = bool(fields.get("title")) and bool((config.get("request") or {}).get("url"))
+    return (usable, config.get("jobs_path") or "", *[fields.get(name) or "" for name in _PATHS])
+
+
+_MAPPING_SCHEMA = "STRUCT<usable: BOOLEAN, jobs_path: STRING, " + ", ".join(f"{n}: STRING" for n in _PATHS) + ">"
+
+
+def with_mapping(pages: DataFrame, ctx: Context) -> DataFrame:
+    """Pages with their source's `mapping`; `*` is the one of all sources without their own."""
+    shared = F.struct(*[F.lit(v).alias(n) for n, v in zip(["usable", "jobs_path", *_PATHS], mapping_row(ctx.configs.get("*", {})))])
+    named = [(n, mapping_row(c)) for n, c in ctx.configs.items() if c.get("request") and n != "*"]
+    if not named:
+        return pages.withColumn("mapping", shared)
+    table = pages.sparkSession.createDataFrame(named, f"company STRING, own {_MAPPING_SCHEMA}")
+    return pages.join(table, "company", "left").withColumn("mapping", F.coalesce("own", shared)).drop("own")
 
 
 @register("json")
 def generic(pages: DataFrame, ctx: Context) -> Normalized:
-    """All configured JSON sources; a source without a mapping is a bad config.
+    """All configured JSON sources in one plan; a source without a mapping is a bad config.
 
-    Sources that share a mapping share one plan; `*` is the mapping of all
-    sources without one of their own.
+    Mappings are data: a body is parsed once, whatever its mapping, and every row looks its
+    fields up by the paths of its own source.
     """
-    named = {n: c for n, c in ctx.configs.items() if c.get("request") and n != "*"}
-    groups: list[tuple[dict, list[str]]] = []
-    for name, config in named.items():
-        for shared, members in groups:
-            if shared == config:
-                members.append(name)
-                break
-        else:
-            groups.append((config, [name]))
-    parts = [_mapped_source(pages.where(F.col("company").isin(m)), c) for c, m in groups]
-    rest = pages.where(~F.col("company").isin(list(named)))
-    parts.append(_mapped_source(rest, ctx.configs.get("*", {})))
-    return Normalized(
-        reduce(DataFrame.unionByName, [p.records for p in parts]),
-        reduce(DataFrame.unionByName, [p.problems for p in parts]),
+    mapped = with_mapping(pages, ctx)
+
+    def opened_by(payload: Column) -> Column:
+        category = (
+            F.when(~F.col("mapping.usable"), F.lit("invalid_config"))
+            .when(payload.isNull(), F.lit("parse_error"))
+            .otherwise(F.lit("structure_changed"))
+        )
+        return let(
+            F.when(F.col("mapping.usable"), dig_list_by(payload, F.col("mapping.jobs_path"))),
+            lambda found: opened_rows(found, category),
+        )
+
+    good, problems = split_opened(ctx, mapped, let(F.try_parse_json("body"), opened_by))
+    item, path = F.col("item"), lambda name: F.col(f"mapping.{name}")
+    records = good.select(
+        *KEEP, F.col("url").alias("page_url"),
+        *[dig_text_by(item, path(name)).alias(name) for name in _TEXTS],
+        dig_text_by(item, path("description"), " ").alias("description"),
+        iso_prefix(dig_text_by(item, path("date_posted"))).alias("date_posted"),
+        F.when(F.startswith(path("url"), F.lit("http")), path("url")).alias("template"),
+        dig_text_by(item, F.when(F.startswith(path("url"), F.lit("http")), F.lit("")).otherwise(path("url"))).alias("link"),
+    )
+    filled_in = F.replace(F.col("template"), F.lit("{source_job_id}"), F.col("source_job_id"))
+    addressed = records.withColumn("application_url", F.coalesce(filled_in, F.col("link"))).withColumn(
+        "source_url", first_filled(F.col("application_url"), F.col("page_url"))
     )
+    key = first_filled(F.col("source_job_id"), record_fingerprint())
+    once = _once(addressed.drop("page_url", "template", "link"), key).drop("key")
+    return Normalized(strip_html(once, "description"), problems)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -15,11 +16,10 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.dates import iso_prefix
 from ..functions.html import HIDDEN, strip_html
 from ..functions.labels import lookup
-from ..functions.text import first_filled, normalize_ws, text_or_empty
+from ..functions.text import first_filled, normalize_ws
 from ..operators.enrich import enrich
 from ..operators.gates import title_prefilter
 from ..operators.identity import first_per_key
-from .boards import filled
 from .landing import Context, Normalized, detail_cap, explode_once, page_order, problem_rows, register
 
 # Marks of a page that asks for a human.
@@ -30,120 +30,155 @@ _BLOCK = (
 
 
 # ---------------------------------------------------------------- JSON-LD
-@pandas_udf(T.ArrayType(T.StringType()))
-def _postings(blocks: pd.Series) -> pd.Series:
-    """Every JobPosting object of a block, at any depth; NULL for bad JSON."""
-
-    def read(block: str | None) -> list[str] | None:
-        try:
-            todo = [json.loads(block or "")]
-        except ValueError:
-            return None
-        found = []
-        while todo:
-            node = todo.pop()
-            if isinstance(node, dict):
-                kind = node.get("@type")
-                if kind == "JobPosting" or (isinstance(kind, list) and "JobPosting" in kind):
-                    found.append(json.dumps(node, ensure_ascii=False))
-                todo.extend(reversed(list(node.values())))
-            elif isinstance(node, list):
-                todo.extend(reversed(node))
-        return found
-
-    return blocks.map(read)
+_POSTING = T.StructType(
+    [T.StructField(n, T.IntegerType()) for n in ("block", "pos")]
+    + [T.StructField(n, T.StringType()) for n in (
+        "identifier", "title", "location", "country", "place_type", "employment_type", "description", "url", "direct", "posted")]
+)
+_FOUND = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("postings", T.ArrayType(_POSTING))])
 
 
-def _json(value: Column, name: str) -> Column:
-    return F.get_json_object(value, f"$.{name}")
+def _text(value) -> str:
+    """A JSON value as a text; objects and lists as compact JSON."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def _is_object(value: Column) -> Column:
-    return F.startswith(F.ltrim(value), F.lit("{"))
+def _listed(value) -> list:
+    """A field that is one value or a list of them."""
+    return value if isinstance(value, list) else [] if value is None or value == "" else [value]
 
 
-def _listed(value: Column) -> Column:
-    """A field that is one value or a list of them, as an array of JSON texts."""
-    return (
-        F.when(text_or_empty(value) == "", F.array().cast("array<string>"))
-        .when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, "array<string>"))
-        .otherwise(F.array(value))
-    )
+def _addresses(posting: dict) -> list:
+    return [place.get("address") for place in _listed(posting.get("jobLocation")) if isinstance(place, dict)]
 
 
-def posting_location(posting: Column) -> Column:
+def posting_location(posting: dict) -> str:
     """Distinct 'locality, region' pieces (or plain addresses) in order."""
-    addresses = F.transform(_listed(_json(posting, "jobLocation")), lambda x: _json(x, "address"))
-    pieces = F.transform(
-        addresses,
-        lambda a: F.when(
-            _is_object(a),
-            F.array_join(filled(F.array(_json(a, "addressLocality"), _json(a, "addressRegion"))), ", "),
-        ).otherwise(a),
-    )
-    return F.array_join(F.array_distinct(filled(pieces)), "; ")
+    pieces = []
+    for address in _addresses(posting):
+        if isinstance(address, dict):
+            parts = (_text(address.get("addressLocality")), _text(address.get("addressRegion")))
+            pieces.append(", ".join(p for p in parts if p))
+        else:
+            pieces.append(_text(address))
+    return "; ".join(dict.fromkeys(p for p in pieces if p))
 
 
-def posting_country(posting: Column) -> Column:
+def posting_country(posting: dict) -> str:
     """First filled country, given as a text or as an object with a name."""
-    raw = F.transform(
-        _listed(_json(posting, "jobLocation")), lambda x: _json(_json(x, "address"), "addressCountry")
-    )
-    named = F.transform(raw, lambda c: F.when(_is_object(c), _json(c, "name")).otherwise(c))
-    return text_or_empty(F.get(filled(named), F.lit(0)))
-
-
-def jsonld_blocks(pages: DataFrame) -> DataFrame:
-    """(page columns, pos, postings) per embedded block; NULL postings: bad JSON."""
-    blocks = F.regexp_extract_all("body", F.lit(_BLOCK), F.lit(1))
-    exploded = pages.select(
-        "company", "source_type", "fetch_page", "url", F.posexplode_outer(blocks).alias("block_no", "block")
-    )
-    return exploded.withColumn("postings", _postings("block"))
-
-
-def jsonld_records(blocks: DataFrame, direct: bool = True) -> DataFrame:
+    raw = [a.get("addressCountry") for a in _addresses(posting) if isinstance(a, dict)]
+    named = (_text(c.get("name") if isinstance(c, dict) else c) for c in raw)
+    return next((c for c in named if c), "")
+
+
+def _typed(posting: dict, block: int, pos: int) -> dict:
+    ident = posting.get("identifier")
+    kinds = _listed(posting.get("employmentType"))
+    return {
+        "block": block, "pos": pos,
+        "identifier": _text(ident.get("value") if isinstance(ident, dict) else ident),
+        "title": _text(posting.get("title")), "location": posting_location(posting), "country": posting_country(posting),
+        "place_type": _text(posting.get("jobLocationType")), "employment_type": _text(kinds[0]) if kinds else "",
+        "description": _text(posting.get("description")), "url": _text(posting.get("url")),
+        "direct": _text(posting.get("directApply")), "posted": _text(posting.get("datePosted")),
+    }
+
+
+def _job_postings(block: str) -> list[dict]:
+    """Every JobPosting object of a block, at any depth, in order."""
+    found, todo = [], [json.loads(block)]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            kind = node.get("@type")
+            if kind == "JobPosting" or (isinstance(kind, list) and "JobPosting" in kind):
+                found.append(node)
+            todo.extend(reversed(list(node.values())))
+        elif isinstance(node, list):
+            todo.extend(reversed(node))
+    return found
+
+
+@pandas_udf(_FOUND)
+def _postings(pages: pd.Series) -> pd.DataFrame:
+    """Per page, from its blocks: whether one could be read, and the postings of all that could."""
+
+    def read(blocks) -> tuple[bool, list[dict]]:
+        readable, out = False, []
+        for number, block in enumerate(blocks if blocks is not None else []):
+            try:
+                found = _job_postings(block or "")
+            except (ValueError, RecursionError):
+                continue
+            readable = True
+            out.extend(_typed(p, number, i) for i, p in enumerate(found))
+        return readable, out
+
+    rows = [read(blocks) for blocks in pages]
+    return pd.DataFrame({"readable": [r for r, _ in rows], "postings": [p for _, p in rows]})
+
+
+def with_postings(pages: DataFrame) -> DataFrame:
+    """Pages with `found`: the typed postings of their blocks, parsed once."""
+    return pages.withColumn("found", _postings(F.regexp_extract_all("body", F.lit(_BLOCK), F.lit(1))))
+
+
+def jsonld_records(found: DataFrame, direct: bool = True) -> DataFrame:
     """One record per posting; without an address of its own, `direct` lets directApply stand in before the page."""
-    links = [_json(F.col("item"), name) for name in (("url", "directApply") if direct else ("url",))]
+    links = [F.col("item.url"), F.col("item.direct")] if direct else [F.col("item.url")]
+    each = explode_once(found.select("company", "source_type", "fetch_page", "url", F.col("found.postings").alias("items")))
     # Blocks come in page order and postings in block order.
-    each = explode_once(
-        blocks.select(
-            "company", "source_type", "fetch_page", "url", "block_no", F.col("postings").alias("items")
-        )
-    )
-    p = F.col("item")
-    ident = _json(p, "identifier")
     records = each.select(
-        "company", "source_type", page_order(F.struct("block_no", "pos")).alias("fetch_ord"),
-        text_or_empty(F.when(_is_object(ident), _json(ident, "value")).otherwise(ident)).alias("source_job_id"),
-        text_or_empty(_json(p, "title")).alias("title"),
-        posting_location(p).alias("location"),
-        posting_country(p).alias("country"),
-        F.when(_json(p, "jobLocationType") == "TELECOMMUTE", F.lit("remote")).otherwise(F.lit("")).alias("workplace_type"),
-        text_or_empty(F.get(_listed(_json(p, "employmentType")), F.lit(0))).alias("employment_type"),
-        text_or_empty(_json(p, "description")).alias("description"),
+        "company", "source_type", page_order(F.struct("item.block", "item.pos")).alias("fetch_ord"),
+        F.col("item.identifier").alias("source_job_id"),
+        "item.title", "item.location", "item.country",
+        F.when(F.col("item.place_type") == "TELECOMMUTE", F.lit("remote")).otherwise(F.lit("")).alias("workplace_type"),
+        "item.employment_type", "item.description",
         first_filled(*links, F.col("url")).alias("application_url"),
         F.col("url").alias("source_url"),
-        iso_prefix(_json(p, "datePosted")).alias("date_posted"),
+        iso_prefix(F.col("item.posted")).alias("date_posted"),
     )
     return strip_html(records, "description")
 
 
 @register("jsonld")
 def jsonld(pages: DataFrame, ctx: Context) -> Normalized:
-    blocks = jsonld_blocks(pages)
+    found = ctx.keep(with_postings(pages).select("company", "source_type", "fetch_page", "url", "found"), "blocks")
     # A source none of whose pages holds a readable block has changed; blocks
     # without any posting are an empty, healthy source.
     silent = (
-        blocks.groupBy("company")
-        .agg(F.max(F.col("postings").isNotNull()).alias("any_block"), F.min("url").alias("url"))
+        found.groupBy("company")
+        .agg(F.max("found.readable").alias("any_block"), F.min("url").alias("url"))
         .where(~F.col("any_block"))
         .withColumn("category", F.lit("parse_error"))
     )
-    return Normalized(jsonld_records(blocks), problem_rows(silent))
+    return Normalized(jsonld_records(found), problem_rows(silent))
 
 
 # ---------------------------------------------------------------- selectors
+_STEP = re.compile(r"(?:[A-Za-z][\w-]*)?(?:\.[\w-]+)*")
+_SELECTORS = ("row_selector", "title_selector", "location_selector", "date_selector", "detail_selector")
+
+
+def unreadable_selector(config: dict) -> str:
+    """The first selector of a configuration that is no chain of `tag`, `.class` and `tag.class` steps."""
+    for name in _SELECTORS:
+        text = str(config.get(name) or "")
+        if not all(_STEP.fullmatch(part) for part in text.split()):
+            return f"{name} {text}"
+    return ""
+
+
+def _unreadable(ctx: Context) -> Column:
+    """Per source, the selector nobody can read; blank where all are fine.  Found when the plan is built."""
+    shared = ctx.configs.get("*", {})
+    table = {c: unreadable_selector({**shared, **config}) for c, config in ctx.configs.items() if c != "*"}
+    fallback = F.lit(unreadable_selector(shared))
+    return lookup(F.col("company"), table, fallback) if table else fallback
+
+
 class _Selector:
     """A descendant chain of `tag`, `.class` and `tag.class` steps."""
 
@@ -341,15 +376,18 @@ def element_text(body: Column, selector: Column, limit: int | None = None) -> Co
 
 @register("html")
 def html_rows(pages: DataFrame, ctx: Context) -> Normalized:
+    bad = _unreadable(ctx)
     usable = (
-        (F.trim("source_identifier") != "")
+        (F.trim("source_identifier") != "") & (bad == "")
         & (_setting(ctx, "row_selector") != "") & (_setting(ctx, "title_selector") != "")
     )
-    read = read_rows(pages, ctx)
-    category = F.when(~usable, F.lit("invalid_config")).when(F.col("body").isNull(), F.lit("parse_error")).when(
+    read = read_rows(pages.withColumn("body", F.when(usable, F.col("body"))).withColumn("no_body", F.col("body").isNull()), ctx)
+    category = F.when(~usable, F.lit("invalid_config")).when(F.col("no_body"), F.lit("parse_error")).when(
         (F.col("page_no") == 0) & (F.size("rows") == 0), F.lit("structure_changed")
     )
-    checked = read.withColumn("category", category)
+    checked = ctx.keep(
+        read.select("company", "source_type", "fetch_page", "url", "rows", category.alias("category"), bad.alias("note")), "rows"
+    )
     once = first_per_key(
         selector_records(checked.where("category IS NULL")), ["company", "application_url"], ["fetch_ord"]
     )
@@ -358,25 +396,31 @@ def html_rows(pages: DataFrame, ctx: Context) -> Normalized:
 
 @register("playwright")
 def rendered(pages: DataFrame, ctx: Context) -> Normalized:
-    """Landed rendered pages: challenge check, JSON-LD first, selectors second."""
+    """Landed rendered pages: challenge check, JSON-LD first, selectors second; one read of each page."""
     low = F.lower("body")
-    challenged = F.exists(
-        F.array(*[F.lit(m) for m in CHALLENGE_MARKERS]), lambda m: F.contains(low, m)
+    challenged = F.coalesce(
+        F.exists(F.array(*[F.lit(m) for m in CHALLENGE_MARKERS]), lambda m: F.contains(low, m)), F.lit(False)
+    )
+    bad = _unreadable(ctx)
+    usable = (_setting(ctx, "row_selector") != "") & (_setting(ctx, "title_selector") != "") & (bad == "")
+    asked = pages.withColumn("challenged", challenged).withColumn("no_body", F.col("body").isNull())
+    found = with_postings(asked.withColumn("body", F.when(~F.col("challenged"), F.col("body"))))
+    # Pages without a posting are read by selectors; the others hand the reader no body.
+    plain = ~F.col("challenged") & ~F.col("no_body") & (F.size("found.postings") == 0)
+    read = read_rows(
+        found.withColumn("plain", plain).withColumn("body", F.when(F.col("plain") & usable, F.col("body"))), ctx, landed=False
     )
-    usable = (_setting(ctx, "row_selector") != "") & (_setting(ctx, "title_selector") != "")
-    challenged = F.coalesce(challenged, F.lit(False))
-    broken = F.col("body").isNull()
-    open_pages = pages.where(~challenged & ~broken)
-    structured = jsonld_records(jsonld_blocks(open_pages), direct=False)
-    plain = open_pages.join(
-        structured.select("company", F.col("source_url").alias("url")).distinct(),
-        ["company", "url"], "left_anti",
+    category = (
+        F.when(F.col("challenged"), F.lit("blocked")).when(F.col("no_body"), F.lit("parse_error"))
+        .when(F.col("plain") & ~usable, F.lit("invalid_config"))
+    )
+    note = F.when(F.col("plain"), bad).otherwise(F.lit(""))
+    checked = ctx.keep(
+        read.select("company", "source_type", "fetch_page", "url", "found", "rows", category.alias("category"), note.alias("note")),
+        "rows",
     )
-    rows = selector_records(read_rows(plain.where(usable), ctx, landed=False))
-    bad = pages.where(challenged).withColumn("category", F.lit("blocked")).unionByName(
-        plain.where(~usable).withColumn("category", F.lit("invalid_config")).select(*pages.columns, "category")
+    fine = checked.where("category IS NULL")
+    kept = jsonld_records(fine, direct=False).select(
+        "company", "source_type", "fetch_ord", "title", "description", "application_url", "source_url", "date_posted"
     )
-    bad = bad.unionByName(pages.where(broken).withColumn("category", F.lit("parse_error")))
-    kept = structured.select("company", "source_type", "fetch_ord", "title", "description",
-                             "application_url", "source_url", "date_posted")
-    return Normalized(kept.unionByName(rows, allowMissingColumns=True), problem_rows(bad))
+    return Normalized(kept.unionByName(selector_records(fine), allowMissingColumns=True), problem_rows(checked))

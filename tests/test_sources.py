@@ -5,17 +5,23 @@ from __future__ import annotations
 import csv
 import glob
 import json
+import os
+import re
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions.paths import dig_text
-from feedloom.plans.run import plan_run, run_once, validate_sources
+from feedloom.operators.identity import first_n_per_key
+from feedloom.plans.run import keep_in, plan_run, run_next, run_once, validate_sources
 from feedloom.rules import POSTING
 from feedloom.schema import DETAIL_SCHEMA, LANDING_SCHEMA, SOURCE_SCHEMA
 from feedloom.sources import boards, endpoints, pages
-from feedloom.sources.landing import REGISTRY, Context, normalize, register, source_pages
+from feedloom.session import shared_folder
+from feedloom.sources.landing import REGISTRY, Context, detail_cap, land, normalize, register, source_pages
+from feedloom.sources.ledger import Ledger
 from feedloom.sources.state import load_envelope, load_health, load_records
 
 STAMP = datetime(2026, 7, 12, 12)
@@ -232,6 +238,7 @@ def test_two_runs_end_to_end(spark, tmp_path):
         return True
 
     first = run_once(payloads, sources, folders[0], folders[1], now(), deliver=deliver)
+    assert "steps" not in os.listdir(folders[1])
     counts = first.summary.first().asDict()
     assert counts == {"companies_checked": 1, "companies_failed": 1, "companies_skipped": 1, "active_jobs": 2,
                       "new_jobs": 2, "closed_jobs": 0, "digest_jobs": 1}
@@ -265,9 +272,12 @@ def test_two_runs_end_to_end(spark, tmp_path):
 def test_dry_run_writes_nothing(spark, tmp_path):
     sources = spark.createDataFrame([source()], SOURCE_SCHEMA)
     payloads = spark.createDataFrame([page(BOARD)], LANDING_SCHEMA)
+    shared = shared_folder(spark)
+    before = sorted(os.listdir(shared)), sorted(os.listdir(tmp_path))
     dry = run_once(payloads, sources, str(tmp_path / "none"), str(tmp_path / "out"), now(), dry_run=True)
     assert dry.summary.first()["new_jobs"] == 2 and dry.digest.count() == 1
-    assert not (tmp_path / "out").exists()
+    # Neither the target nor the session's shared folder got anything.
+    assert (sorted(os.listdir(shared)), sorted(os.listdir(tmp_path))) == before
     with pytest.raises(ValueError, match="nobody"):
         run_once(payloads, sources, str(tmp_path / "none"), str(tmp_path / "out"), now(), only=["acme", "Nobody"])
 
@@ -316,9 +326,111 @@ def test_a_rendered_posting_without_url_links_to_its_page(spark):
     assert [g["application_url"] for g in got] == ["https://a.test/x"]
 
 
+@pytest.mark.parametrize("selector", ["li#x", "ul > li", "li[id]", "li, p", "li:first-child"])
+def test_a_selector_nobody_can_read_is_reported(spark, selector):
+    for fn, kind in ((pages.html_rows, "html"), (pages.rendered, "playwright")):
+        ctx = context(spark, [source(kind=kind), source("Beta", kind, no=2)], configs={"*": SELECT, "Acme": {"row_selector": selector}})
+        rows = spark.createDataFrame([page(ROWS, kind=kind), page(ROWS, name="Beta", kind=kind)], LANDING_SCHEMA)
+        done = fn(source_pages(rows, ctx.sources), ctx)
+        (problem,) = done.problems.collect()
+        assert (problem["company"], problem["category"]) == ("Acme", "invalid_config")
+        assert problem["message"].endswith(f"row_selector {selector}")
+        assert {r["company"] for r in done.records.collect()} == {"Beta"}
+
+
+def mixed_landing(spark):
+    """Pages of many kinds, two of them by mappings of their own, a broken and a refused one."""
+    pairs = [
+        ("Green", "greenhouse", "g", BOARD), ("Lever", "lever", "l", [{"id": "x", "text": "SWE I", "hostedUrl": "https://l.test/x"}]),
+        ("Amz", "json", "amazon", {"jobs": [{"id": "a1", "title": "SDE I", "job_path": "/p"}]}),
+        ("MapA", "json", "", {"result": {"openings": [{"req": "R-1", "name": "SWE I"}]}}),
+        ("MapB", "json", "", {"list": [{"n": 7, "t": {"en": "Dev"}, "tags": ["a", "b"]}]}),
+        ("Cut", "greenhouse", "g", '{"jobs": ['), ("Refused", "json", "", None), ("Html", "html", "https://a.test", ROWS),
+        ("Ld", "jsonld", "x", '<script type="application/ld+json">{"@type": "JobPosting", "title": "Dev"}</script>'),
+        ("Odd", "pigeon", "", "{}"),
+    ]
+    sources = [source(name, kind, ident, no) for no, (name, kind, ident, _) in enumerate(pairs)]
+    rows = [
+        page(body, name=name, kind=kind, context={"error_category": "blocked", "error_message": "no"} if name == "Refused" else None)
+        for name, kind, _, body in pairs
+    ]
+    configs = {"MapA": MAPPING, "*": SELECT, "MapB": {
+        "request": {"url": "https://b.test"}, "jobs_path": "list", "fields": {"title": "t.en", "source_job_id": "n", "department": "tags.1"}}}
+    return spark.createDataFrame(rows, LANDING_SCHEMA), sources, configs
+
+
+def test_mixed_dispatch(spark, tmp_path):
+    payloads, sources, configs = mixed_landing(spark)
+    ctx = context(spark, sources, configs=configs)
+    kept = keep_in(str(tmp_path / "steps"))
+    for found in (normalize(payloads, ctx), normalize(payloads, replace(ctx, keep=kept))):
+        got = sorted((r["company"], r["source_job_id"], r["title"], r["department"]) for r in found.records.collect() if r["company"] not in ("Green", "Html"))
+        assert got == [("Amz", "a1", "SDE I", ""), ("Ld", "", "Dev", None), ("Lever", "x", "SWE I", ""), ("MapA", "R-1", "SWE I", ""), ("MapB", "7", "Dev", "b")]
+        assert found.records.where("company IN ('Green', 'Html')").count() == 6
+        assert sorted((r["company"], r["category"]) for r in found.problems.collect()) == [
+            ("Cut", "parse_error"), ("Odd", "unsupported"), ("Refused", "blocked")]
+
+
+def test_a_branch_reads_its_partition_and_parses_a_body_once(spark, tmp_path):
+    payloads, sources, configs = mixed_landing(spark)
+    base = context(spark, sources, configs=configs)
+    table = land(payloads, base.sources, str(tmp_path / "landing"))
+    plans = {}
+
+    def keep(df, name, by=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep_in(str(tmp_path / "steps"))(df, name, by)
+
+    found = normalize(table, replace(base, keep=keep))
+    opened = {n: p for n, p in plans.items() if n.startswith(("opened", "rows", "blocks"))}
+    assert sorted(opened) == ["blocks-jsonld", "opened-greenhouse", "opened-json", "opened-json-amazon", "opened-lever", "rows-html"]
+    for name, plan in opened.items():
+        kind = name.split("-", 1)[1].replace("-", ":")
+        (scan,) = [line for line in plan.splitlines() if "FileScan" in line and "body#" in line]
+        assert re.search(rf"PartitionFilters: \[isnotnull\(kind#\d+\), \(kind#\d+ = {kind}\)\]", scan)
+        assert plan.count("from_json(") <= 1 and "landed" not in plans
+    # Records and problems read what was opened; neither goes back to the landing table.
+    for df in (found.records, found.problems):
+        assert "body#" not in df._jdf.queryExecution().executedPlan().toString()
+    assert found.records.count() == 11
+
+
+def test_a_hundred_mappings_are_one_scan(spark):
+    names = [f"S{i}" for i in range(100)]
+    configs = {n: {"request": {"url": "u"}, "jobs_path": f"p{i}.rows", "fields": {"title": f"t{i}", "source_job_id": "id"}} for i, n in enumerate(names)}
+    ctx = context(spark, [source(n, "json", "", i) for i, n in enumerate(names)], configs=configs)
+    rows = [page({f"p{i}": {"rows": [{f"t{i}": f"T{i}", "id": i}]}}, name=n, kind="json") for i, n in enumerate(names)]
+    done = endpoints.generic(source_pages(spark.createDataFrame(rows, LANDING_SCHEMA), ctx.sources), ctx)
+    assert sorted((r["company"], r["title"]) for r in done.records.collect()) == sorted((n, f"T{i}") for i, n in enumerate(names))
+    plan = done.records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+
+
+def test_a_configured_cap_bounds_rows_before_the_shuffle(spark):
+    ctx = context(spark, [source()], configs={"Acme": {"detail_fetch_cap": 2}, "Beta": {"detail_fetch_cap": 5}})
+    rows = spark.range(300).select(F.get(F.array(F.lit("Acme"), F.lit("Beta"), F.lit("Free")), (F.col("id") % 3).cast("int")).alias("company"), "id")
+    kept = first_n_per_key(rows, ["company"], ["id"], detail_cap(ctx))
+    assert {r["company"]: r["count"] for r in kept.groupBy("company").count().collect()} == {"Acme": 2, "Beta": 5, "Free": 100}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+
+
+def test_runs_of_a_ledger(spark, tmp_path):
+    sources = spark.createDataFrame([source(), source("Lost", no=2)], SOURCE_SCHEMA)
+    payloads = spark.createDataFrame([page(BOARD)], LANDING_SCHEMA)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    first = run_next(payloads, sources, ledger, now())
+    assert first.changes.where("lifecycle = 'new'").count() == 2 and first.digest.count() == 1
+    second = run_next(payloads.where("FALSE"), sources, ledger, now())
+    assert second.changes.count() == 0 and ledger.active(2).count() == 2
+    assert {r["company"]: r["consecutive_failures"] for r in second.health.collect()} == {"Acme": 1, "Lost": 2}
+    texts = {r["title"]: r["description"] for r in ledger.with_texts(ledger.active(2)).collect()}
+    assert texts["Graduate Backend Engineer (2027)"] == "Python & SQL. Visa sponsorship available."
+    assert not (tmp_path / "ledger" / "steps" / "2").exists()
+
+
 def test_detail_cap_is_a_setting_of_the_source(spark):
     from feedloom.operators.enrich import enrich
-    from feedloom.sources.landing import detail_cap
 
     names = ["A"] * 3 + ["B"] * 3 + ["C"] * 3
     listing = spark.createDataFrame([(n, str(i), i) for i, n in enumerate(names)], "company STRING, detail_key STRING, fetch_ord INT")
