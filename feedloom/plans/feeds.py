@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import strip_html
+from ..session import scratch_path, written
 from ..sources import boards, endpoints, pages
-from ..sources.landing import Context, normalize, source_pages
+from ..sources.landing import Context, land, normalize, source_pages
+from ..sources.state import load_records
 from . import views
 from .catalog import PACK, query
-from .views import FETCH_TS, run_ts, table
+from .run import keep_in, run_once
+from .views import FETCH_TS, SECOND_TS, run_ts, table
 
 COLUMNS = ["company", "source_job_id", "title", "location", "country", "department",
            "employment_type", "description", "requirements", "application_url", "date_posted"]
@@ -44,10 +47,7 @@ def _cols() -> dict[str, Column]:
     return {c: F.col(c) for c in ("id", "title", "markup", "needs", "lang", "epoch", "company")}
 
 
-@query
-def normalize_greenhouse(spark, folder):
-    docs, c = views.feed_docs(spark, folder), _cols()
-
+def _greenhouse_body(c: dict[str, Column]) -> Column:
     def item(ident: Column, title: Column, content: Column) -> Column:
         return _item(
             id=ident, title=title, updated_at="2026-07-01T12:00:00-04:00",
@@ -59,16 +59,19 @@ def normalize_greenhouse(spark, folder):
         )
 
     # Board content is escaped markup inside JSON.
-    body = _object(jobs=F.array(
+    return _object(jobs=F.array(
         item(c["id"], c["title"], views._escape(c["markup"])),
         item(F.concat(c["id"], F.lit("-b")), F.lit("Second"), F.lit("no &amp; tags")),
     ))
-    return _run(docs, "greenhouse", "", "board", body, boards.greenhouse)
 
 
 @query
-def normalize_lever(spark, folder):
-    docs, c = views.feed_docs(spark, folder), _cols()
+def normalize_greenhouse(spark, folder):
+    docs = views.feed_docs(spark, folder)
+    return _run(docs, "greenhouse", "", "board", _greenhouse_body(_cols()), boards.greenhouse)
+
+
+def _lever_body(c: dict[str, Column]) -> Column:
     item = _item(
         id=c["id"], text=c["title"], createdAt=c["epoch"] * 1000,
         hostedUrl=F.concat(F.lit("https://l.example.com/"), c["id"]),
@@ -82,7 +85,12 @@ def normalize_lever(spark, folder):
             _item(text="Basic Qualifications", content="<li>care</li>"),
         ),
     )
-    return _run(docs, "lever", "", "site", F.to_json(F.array(item)), boards.lever)
+    return F.to_json(F.array(item))
+
+
+@query
+def normalize_lever(spark, folder):
+    return _run(views.feed_docs(spark, folder), "lever", "", "site", _lever_body(_cols()), boards.lever)
 
 
 @query
@@ -282,18 +290,99 @@ MAPPING = {
 }
 
 
-@query
-def normalize_generic(spark, folder):
-    docs, c = views.feed_docs(spark, folder), _cols()
-
+def _mapped_body(c: dict[str, Column]) -> Column:
     def item(name: Column) -> Column:
         return _item(
             req=F.concat(F.lit("R-"), c["id"]), name=name, desc=c["markup"], posted="2026-07-01T00:00:00Z",
             sites=F.array(_item(city=c["lang"]), _item(city="Denver")), path=F.array(_item(label="Ops"), _item(label="x")),
         )
 
-    body = _object(result=F.struct(F.array(item(c["title"]), item(F.lit("Later copy"))).alias("openings")))
-    return _run(docs, "json", "", "", body, endpoints.generic, configs={"*": MAPPING})
+    return _object(result=F.struct(F.array(item(c["title"]), item(F.lit("Later copy"))).alias("openings")))
+
+
+@query
+def normalize_generic(spark, folder):
+    docs = views.feed_docs(spark, folder)
+    return _run(docs, "json", "", "", _mapped_body(_cols()), endpoints.generic, configs={"*": MAPPING})
+
+
+#: Another mapping, of some sources only.
+OWN_MAPPING = {
+    "request": {"url": "https://own.example.com"}, "jobs_path": "0.rows",
+    "fields": {"source_job_id": "key", "title": "names.en", "location": "where.1", "description": "body", "url": "link"},
+}
+
+
+def _own_body(c: dict[str, Column]) -> Column:
+    row = _item(
+        key=c["id"], names=_item(en=c["title"]), where=F.array(F.lit("nowhere"), c["lang"]), body=c["markup"],
+        link=F.concat(F.lit("https://own.example.com/"), c["id"]),
+    )
+    return F.to_json(F.array(F.struct(F.array(row).alias("rows"))))
+
+
+def _kind_no(name: Column) -> Column:
+    return F.regexp_extract(name, "([0-9]+)$", 1).cast("int") % 6
+
+
+@query
+def normalize_mixed(spark, folder):
+    """One landing table with boards, mappings, cut and refused pages: records, and how many pages have which problem."""
+    docs, c = views.feed_docs(spark, folder), _cols()
+    no, cut = _kind_no(F.col("company")), F.concat(F.lit('{"jobs": ['), F.col("id"))
+    body = (
+        F.when((no == 4) & (F.col("lang") == "de"), cut).when(no.isin(0, 4), _greenhouse_body(c))
+        .when(no.isin(1, 5), _lever_body(c)).when(no == 2, _mapped_body(c)).otherwise(_own_body(c))
+    )
+    refused = (no == 5) & (F.col("lang") == "es")
+    landed = views.landed(docs.withColumn("refused", refused), "", "", body, F.col("refused"))
+    of = _kind_no(F.col("name"))
+    typed = F.when(of.isin(0, 4), F.lit("greenhouse")).when(of.isin(1, 5), F.lit("lever")).otherwise(F.lit("json"))
+    sources = views.feed_sources(docs, "", "board").withColumns(
+        {"source_type": typed, "source_identifier": F.when(typed == "json", F.lit("")).otherwise(F.lit("board"))}
+    )
+    own = {f"src{n}": OWN_MAPPING for n in range(3, 60, 6)}
+    steps = scratch_path(spark, "mixed")
+    ctx = Context(sources, run_ts(FETCH_TS), pack=PACK, configs={**own, "*": MAPPING}, keep=keep_in(steps))
+    found = normalize(land(landed, sources, f"{steps}/landing"), ctx)
+    counted = found.problems.groupBy("company", "category").agg(F.count(F.lit(1)).cast("string").alias("source_job_id"))
+    shown = _shown(found.records).na.fill("").withColumn("category", F.lit(""))
+    blank = [F.lit("").alias(c) for c in COLUMNS if c not in counted.columns]
+    return shown.unionByName(counted.select("*", *blank))
+
+
+# ------------------------------------------------------------------ whole runs
+def _landed_board(docs: DataFrame, refused: Column) -> DataFrame:
+    return views.landed(docs.withColumn("refused", refused), "greenhouse", "", _greenhouse_body(_cols()), F.col("refused"))
+
+
+def whole_runs(spark, folder, runs: int) -> DataFrame:
+    """The state after one or two whole runs: landed pages -> records -> gates -> score -> merge -> outputs.
+
+    The digest of the first run is delivered.  The second run finds two thirds of the postings, and one source refuses.
+    """
+    docs, root = views.feed_docs(spark, folder), scratch_path(spark, "runs")
+    sources = views.feed_sources(docs, "greenhouse", "board")
+    run_once(_landed_board(docs, F.lit(False)), sources, f"{root}/0", f"{root}/1", run_ts(FETCH_TS), pack=PACK,
+             deliver=lambda digest: True)
+    if runs == 2:
+        later = _landed_board(docs.where(F.col("doc_id") % 3 != 0), F.col("company") == "src4")
+        run_once(later, sources, f"{root}/1", f"{root}/2", run_ts(SECOND_TS), pack=PACK)
+    rows = spark.read.parquet(f"{root}/{runs}/state").where("lifecycle <> 'closed'")
+    saved = load_records(spark, f"{root}/{runs}/active").unionByName(load_records(spark, f"{root}/{runs}/archived"))
+    shown = ["job_id", "title", "overall_score", "sponsorship_classification", "disqualified", "first_seen", "last_seen",
+             "status", "consecutive_missing", "announced"]
+    return saved.join(rows.select("job_id", "lifecycle", "matched_by"), "job_id", "left").select(*shown, "lifecycle", "matched_by")
+
+
+@query
+def full_run_state(spark, folder):
+    return whole_runs(spark, folder, 1)
+
+
+@query
+def second_run_state(spark, folder):
+    return whole_runs(spark, folder, 2)
 
 
 @query
@@ -332,12 +421,12 @@ def page_articles(spark, folder):
 
 def _page_sources(feed: DataFrame, source_type: str) -> DataFrame:
     hosts = feed.select(F.col("company").alias("name")).distinct()
-    return hosts.select(
+    return written(hosts.select(
         F.lit(0).alias("source_no"), "name", F.lit(True).alias("enabled"), F.lit(1).alias("priority"),
         F.lit("").alias("careers_url"), F.lit(source_type).alias("source_type"),
         F.lit("https://example.com/jobs").alias("source_identifier"),
         F.array().cast("array<string>").alias("locations"), F.lit("").alias("notes"),
-    )
+    ), "sources")
 
 
 def _page_context(feed: DataFrame, source_type: str) -> tuple[DataFrame, Context]:

@@ -6,11 +6,13 @@ covers the whole tables.
 
 from __future__ import annotations
 
+import re
+
 from ..functions.labels import SPONSORSHIP_BADGES, SPONSORSHIP_LABELS
 from ..functions.urls import TRACKING_KEYS
 from ..rules import CORPUS, HARD_DISQUALIFIERS, SPONSORSHIP_FACTORS
 from ..schema import SOURCE_TYPES
-from .views import ARCHIVE_SEEN, FETCH_TS, PREVIOUS_SEEN, RUN_TS
+from .views import ARCHIVE_SEEN, FETCH_TS, PARTS, PREVIOUS_SEEN, RUN_TS, SECOND_TS
 
 P = CORPUS
 SPACES = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
@@ -316,6 +318,21 @@ merged AS (
   FROM state WHERE scope = 1 AND job_id NOT IN (SELECT job_id FROM firsts WHERE rnk > 3))"""
 
 
+_NUMBERED = re.compile(r"\b(state|keyed|feed|resolved|firsts|tiers|merged|ok_sources)\b")
+
+
+def numbered(sql: str, n: int) -> str:
+    """The parts of a merge under names of their own, so that several runs follow one another."""
+    return _NUMBERED.sub(rf"\g<1>_{n}", sql)
+
+
+def next_state(n: int, extra: str, announced: str = "announced") -> str:
+    """What the run after run n starts from."""
+    return f"""state_{n + 1} AS (
+  SELECT CASE WHEN lifecycle IN ('closed', 'archived') THEN 1 ELSE 0 END AS scope, job_id, company, title, application_url,
+    first_seen, last_seen, status, consecutive_missing, {announced} AS announced, {extra} FROM merged_{n})"""
+
+
 _MERGE_BASE = f"{RECORDS}, {RUN_LOG}, {OK_SOURCES}, {HISTORY}"
 MERGED = f"{_MERGE_BASE}, {merge('fetched', 'NULL AS x', 'NULL')}"
 _SCORE_COLUMNS = ["overall_score", "disqualified", "sponsorship_classification", "sponsorship_evidence",
@@ -700,8 +717,94 @@ cells AS (
     replace(regexp_extract(cell, '">([^<]*)</a>', 1), '&amp;', '&') AS raw FROM links),
 found AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS application_url FROM cells)"""
 
+# Three runs over thirds of the documents.
+THREE_RUNS = f"""{_MERGE_BASE}, {', '.join(f'ok_sources_{n} AS (SELECT * FROM ok_sources)' for n in range(3))},
+{', '.join(f'fetched_{n} AS (SELECT * FROM fetched WHERE (fetch_ord // 2) % 3 = {n})' for n in range(3))},
+state_0 AS (SELECT * FROM state), {numbered(merge('fetched_0', 'location', 'location'), 0)}, {next_state(0, 'location')},
+{numbered(merge('fetched_1', 'location', 'location'), 1)}, {next_state(1, 'location')},
+{numbered(merge('fetched_2', 'location', 'location'), 2)}"""
+
+
+def _board(source: str) -> str:
+    order = dict(doc_id="doc_id", country="''", **_GREENHOUSE)
+    return feed(source, description=_TEXT, application_url="'https://boards.example.com/' || doc_id", fetch_ord="doc_id * 2", **order) + (
+        " UNION ALL BY NAME " + feed(
+            source, source_job_id="doc_id || '-b'", title="'Second'", description="'no & tags'", fetch_ord="doc_id * 2 + 1",
+            application_url="'https://boards.example.com/' || doc_id || '-b'", **order))
+
+
+# Two whole runs: the second finds two thirds of the documents, and one source refuses.
+_STAMP = FETCH_TS.replace(" ", "T") + "Z"
+_KEPT = "location, overall_score, sponsorship_classification, disqualified"
+_FEED_SOURCES = """sources AS (SELECT DISTINCT source AS name, CAST([] AS VARCHAR[]) AS locations FROM documents)"""
+_ONE_RUN = f"""{_FEED_SOURCES}, pages_0 AS ({_board('documents')}), {gated('pages_0', 'gated_0')},
+{judged('judged_0', 'gated_0').replace(RUN_TS[:10], FETCH_TS[:10])}, ok_sources_0 AS (SELECT name AS company FROM sources),
+state_0 AS (SELECT 0 AS scope, '' AS job_id, '' AS company, '' AS title, '' AS location, '' AS application_url, '' AS first_seen,
+  '' AS last_seen, '' AS status, 0 AS consecutive_missing, FALSE AS announced, 0 AS overall_score, '' AS sponsorship_classification,
+  FALSE AS disqualified WHERE FALSE),
+{numbered(merge('judged_0', _KEPT, _KEPT), 0)}"""
+_TWO_RUNS = f"""{_ONE_RUN}, {next_state(0, _KEPT, f'announced OR ({ELIGIBLE})')},
+pages_1 AS (SELECT * FROM pages_0 WHERE doc_id % 3 <> 0 AND company <> 'src4'), {gated('pages_1', 'gated_1')},
+{judged('judged_1', 'gated_1').replace(RUN_TS[:10], SECOND_TS[:10])}, ok_sources_1 AS (SELECT name AS company FROM sources WHERE name <> 'src4'),
+{numbered(merge('judged_1', _KEPT, _KEPT), 1).replace(_STAMP, SECOND_TS.replace(' ', 'T') + 'Z')}"""
+_SAVED = "job_id, title, overall_score, sponsorship_classification, disqualified, first_seen, last_seen, status, consecutive_missing"
+
+
+def _saved(n: int, announced: str) -> str:
+    # Rows of the active and the archived output; what closed in this run is in the archive without its own word there.
+    return f"""SELECT {_SAVED}, {announced} AS announced, CASE WHEN lifecycle <> 'closed' THEN lifecycle END AS lifecycle,
+      CASE WHEN lifecycle <> 'closed' THEN matched_by END AS matched_by FROM merged_{n}"""
+
+
+def _sources_of(n: str) -> str:
+    return f"(SELECT * FROM documents WHERE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 6 {n})"
+
+
+def _mixed() -> str:
+    green, lever = _sources_of("IN (0, 4)"), _sources_of("IN (1, 5)")
+    lever_columns = dict(
+        location="lang", country="'US'", department="'Core'", employment_type="'Full-time'",
+        description=f"CASE WHEN lang = 'de' THEN 'Plain text.' ELSE {_TEXT} END", requirements=f"{_NEEDS} || ' care'", date_posted=_FEED_DAY,
+        application_url="CASE WHEN lang = 'en' THEN 'https://l.example.com/apply/' ELSE 'https://l.example.com/' END || doc_id",
+    )
+    number = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 6"
+    cut, refused = f"({number} = 4 AND lang = 'de')", f"({number} = 5 AND lang = 'es')"
+    parts = [
+        f"SELECT * EXCLUDE (doc_id, fetch_ord) FROM ({_board(f'(SELECT * FROM {green} WHERE NOT {cut})')})",
+        feed(f"(SELECT * FROM {lever} WHERE NOT {refused})", **lever_columns),
+        feed(_sources_of("= 2"), source_job_id="'R-' || doc_id", location="lang || '; Denver'", department="'Ops'", description=_TEXT,
+             application_url="'https://api.example.com/apply/R-' || doc_id", date_posted="'2026-07-01'"),
+        feed(_sources_of("= 3"), location="lang", description=_TEXT, application_url="'https://own.example.com/' || doc_id"),
+    ]
+    rows = " UNION ALL BY NAME ".join(f"SELECT *, '' AS category FROM ({p})" for p in parts)
+    blank = ", ".join(f"'' AS {c}" for c in ("title", *_EMPTY))
+    problems = f"""SELECT source AS company, CAST(count(*) AS VARCHAR) AS source_job_id, {blank},
+      CASE WHEN {cut} THEN 'parse_error' ELSE 'blocked' END AS category
+      FROM documents WHERE {cut} OR {refused} GROUP BY source, category"""
+    return f"{rows} UNION ALL BY NAME {problems}"
+
+
+# Announcements within a bound: what is remembered after a part, and what that leaves of the next.
+_WITHIN = "INTERVAL 2 DAY"
+_BOUNDED = f"""log AS (SELECT 'src' || user_id AS company, CASE WHEN ts < TIMESTAMP '{PARTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{PARTS[1]}' THEN 1 ELSE 2 END AS part,
+  max(date_trunc('second', ts)) AS ts FROM events GROUP BY ALL),
+due AS (SELECT company, part, CASE WHEN part = 2 AND company LIKE '%0' THEN TIMESTAMP '{PARTS[0]}' - INTERVAL 1 DAY ELSE ts END AS ts FROM log),
+mark AS (SELECT max(ts) FILTER (WHERE part = 0) - {_WITHIN} AS one, max(ts) FILTER (WHERE part <= 1) - {_WITHIN} AS two FROM due),
+out_0 AS (SELECT * FROM due WHERE part = 0),
+held_1 AS (SELECT company, ts FROM out_0, mark WHERE ts + {_WITHIN} > one),
+out_1 AS (SELECT due.* FROM due, mark WHERE part = 1 AND ts > one AND company NOT IN (SELECT company FROM held_1)),
+held_2 AS (SELECT company FROM (SELECT company, ts FROM held_1 UNION ALL SELECT company, ts FROM out_1), mark WHERE ts + {_WITHIN} > two),
+out_2 AS (SELECT due.* FROM due, mark WHERE part = 2 AND ts > two AND company NOT IN (SELECT company FROM held_2))"""
+
 ORACLE.update(
     {
+        "normalize_mixed": _mixed(),
+        "full_run_state": _with(_ONE_RUN, _saved(0, f"announced OR ({ELIGIBLE})")),
+        "second_run_state": _with(_TWO_RUNS, _saved(1, "announced")),
+        "stream_lifecycle_runs": _with(THREE_RUNS, f"SELECT {STATE_COLUMNS} FROM merged_2"),
+        "stream_health_shuffled": ORACLE["source_health_fold"],
+        "stream_announce_bounded": _with(_BOUNDED, """SELECT company, strftime(ts, '%Y-%m-%d %H:%M:%S') AS announced_at
+          FROM (SELECT * FROM out_0 UNION ALL SELECT * FROM out_1 UNION ALL SELECT * FROM out_2)"""),
         "normalize_greenhouse": feed(
             description=_TEXT, application_url="'https://boards.example.com/' || doc_id", **_GREENHOUSE
         ) + " UNION ALL BY NAME " + feed(

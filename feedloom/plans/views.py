@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug, text_or_empty
 from ..schema import SOURCE_TYPES, conform_records
+from ..session import written
 
 RUN_TS = "1998-12-01 06:30:00"
 FETCH_TS = "2024-02-01 12:00:00"
+SECOND_TS = "2024-02-02 06:00:00"
+#: Where the parts of the event stream end, and how long an announced source is remembered.
+PARTS, REMEMBERED = ("2024-01-11", "2024-01-21"), "2 days"
 PREVIOUS_SEEN = "2024-01-01T00:00:00Z"
 ARCHIVE_SEEN = "2023-06-01T00:00:00Z"
 
@@ -82,13 +86,17 @@ def _source_number() -> Column:
 
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:
-    """The source dimension: one row per distinct document source."""
+    """The source dimension: one row per distinct document source.
+
+    It is written once, so its size is known when a join is planned: a small one is
+    broadcast, and no text is shuffled on a source's name.
+    """
     names = table(spark, folder, "documents").select(F.col("source").alias("name")).distinct()
     n = _source_number()
     allowed = [[], ["EUROPE", "NATION_7"], ["asia", "nation_1"], ["Africa", "Middle East"]]
     locations = F.get(F.array(*[F.array(*[F.lit(x) for x in a]).cast("array<string>") for a in allowed]), n % 4)
     types = [*SOURCE_TYPES, "pigeon"]
-    return names.select(
+    return written(names.select(
         n.alias("source_no"),
         "name",
         (n % 7 != 6).alias("enabled"),
@@ -98,7 +106,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
         F.col("name").alias("source_identifier"),
         locations.alias("locations"),
         F.when(n % 2 == 0, F.lit("checked by hand")).otherwise(F.lit("")).alias("notes"),
-    )
+    ), "sources")
 
 
 def run_log(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
@@ -123,7 +131,7 @@ def ok_sources(spark: SparkSession, folder: str) -> DataFrame:
     last = run_log(spark, folder).groupBy("company").agg(
         F.max_by("status", F.struct("run_ts", "run_id")).alias("status")
     )
-    return last.where(F.col("status").isin("ok", "ok_empty")).select("company")
+    return written(last.where(F.col("status").isin("ok", "ok_empty")).select("company"), "ok-sources")
 
 
 def _history(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> DataFrame:
@@ -240,25 +248,29 @@ def feed_docs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def landed(docs: DataFrame, source_type: str, preset: str, body: Column) -> DataFrame:
-    """One landed page per document; the document number is the page number."""
+def landed(docs: DataFrame, source_type: str, preset: str, body: Column, refused: Column | None = None) -> DataFrame:
+    """One landed page per document; the document number is the page number.  A refused one has an error and no body."""
+    error = F.lit(None).cast("string")
+    if refused is not None:
+        error = F.when(refused, F.lit('{"error_category": "blocked", "error_message": "refused"}'))
+        body = F.when(~refused, body)
     return docs.select(
         "company", F.lit(source_type).alias("source_type"), F.lit(preset).alias("preset"),
         F.lit(0).alias("query_no"), F.col("doc_id").alias("page_no"),
         F.lit(FETCH_TS).cast("timestamp").alias("fetched_at"),
         F.concat(F.lit("https://feeds.example.com/"), F.col("id")).alias("url"),
-        body.alias("body"), F.lit(None).cast("string").alias("context_json"),
+        body.alias("body"), error.alias("context_json"),
     )
 
 
 def feed_sources(docs: DataFrame, source_type: str, identifier: str) -> DataFrame:
     """The sources of a landed feed, all of one type, without a place rule."""
-    return docs.select(F.col("company").alias("name")).distinct().select(
+    return written(docs.select(F.col("company").alias("name")).distinct().select(
         _source_number().alias("source_no"), "name", F.lit(True).alias("enabled"), F.lit(1).alias("priority"),
         F.concat(F.lit("https://"), F.col("name"), F.lit(".example.com/jobs")).alias("careers_url"),
         F.lit(source_type).alias("source_type"), F.lit(identifier).alias("source_identifier"),
         F.array().cast("array<string>").alias("locations"), F.lit("").alias("notes"),
-    )
+    ), "sources")
 
 
 def feed_details(spark: SparkSession, folder: str, docs: DataFrame, body: Column) -> DataFrame:

@@ -6,7 +6,8 @@ A saved snapshot costs a full rewrite per run.  A ledger is a folder of tables t
     changes/version=N   narrow rows that run N added or changed, one per job_id
     texts/version=N     (job_id, description, requirements) of rows that are new in run N, or whose text is
 
-State rows hold `text_id`, a hash of their texts, and `text_version`, the run that wrote them.  The merge sees narrow rows only;
+State rows hold `text_id`, a hash of their texts, `text_version`, the run that wrote these, and `changed_in`, the run that wrote the
+row: what a row's `lifecycle` says holds for that run, and one that later runs left alone reads as carried or archived.  The merge sees narrow rows only;
 texts are picked for the rows that need them, by their fetch order, and joined back only for outputs that show them.
 
 Runs are numbered from 1; version 0 is the state a ledger starts with.  Run N reads version N-1 and writes folders of its own
@@ -31,7 +32,7 @@ TEXTS = ("description", "requirements")
 NARROW = [c for c in RECORD_COLUMNS if c not in TEXTS]
 CARRY = ("text_id", "text_version")
 UNCHANGED = ("carried", "archived")
-COLUMNS = [*NARROW, "lifecycle", "matched_by", *CARRY]
+COLUMNS = [*NARROW, "lifecycle", "matched_by", *CARRY, "changed_in"]
 
 
 def text_id() -> Column:
@@ -64,12 +65,20 @@ class Ledger:
     # ------------------------------------------------------------------ reading
     def state(self, version: int) -> DataFrame:
         """Narrow rows after a run: the base without what changed since, and the last change of each id."""
-        base = self.base_of(version)
+        rows = self._rows(self.base_of(version), version)
+        now, shelved = F.col("changed_in") == version, F.col("lifecycle").isin("closed", "archived")
+        return rows.withColumns({
+            "lifecycle": F.when(now, F.col("lifecycle")).when(shelved, F.lit("archived")).otherwise(F.lit("carried")),
+            "matched_by": F.when(now, F.col("matched_by")).otherwise(F.lit("none")),
+        })
+
+    def _rows(self, base: int, version: int) -> DataFrame:
+        """The rows of a base, and the changes after it in place of theirs."""
         rows = self._read("base", [base]).select(COLUMNS)
         if version == base:
             return rows
         changes = self._read("changes", list(range(base + 1, version + 1)))
-        last = changes.groupBy("job_id").agg(F.max_by(F.struct(*COLUMNS), "version").alias("row")).select("row.*")
+        last = changes.groupBy("job_id").agg(F.max_by(F.struct(*COLUMNS), "changed_in").alias("row")).select("row.*")
         return rows.join(last.select("job_id"), "job_id", "left_anti").unionByName(last)
 
     def active(self, version: int) -> DataFrame:
@@ -98,7 +107,7 @@ class Ledger:
         none = self.spark.createDataFrame([], RECORD_SCHEMA)
         rows = conform_records(active if active is not None else none).withColumn("lifecycle", F.lit("carried")).unionByName(
             conform_records(archived if archived is not None else none).withColumn("lifecycle", F.lit("archived"))
-        ).withColumns({"matched_by": F.lit("none"), "text_id": text_id(), "text_version": F.lit(0)})
+        ).withColumns({"matched_by": F.lit("none"), "text_id": text_id(), "text_version": F.lit(0), "changed_in": F.lit(0)})
         rows.select("job_id", *TEXTS).write.mode("overwrite").parquet(self._path("texts", 0))
         rows.select(COLUMNS).write.mode("overwrite").parquet(self._path("base", 0))
 
@@ -119,7 +128,7 @@ class Ledger:
         same = F.col("was_text_id").isNotNull() & (F.col("was_text_id") == F.col("text_id"))
         # A row that was not fetched keeps its text; it has no fetch order.
         own = F.when(same | F.col("fetch_ord").isNull(), F.col("was_text_version")).otherwise(F.lit(version))
-        rows = changed.withColumn("text_version", F.coalesce(own, F.lit(version)).cast("int"))
+        rows = changed.withColumns({"text_version": F.coalesce(own, F.lit(version)).cast("int"), "changed_in": F.lit(version)})
         path = self._path("changes", version)
         written = rows.select(*COLUMNS, "fetch_ord")
         written.write.mode("overwrite").parquet(path)
@@ -137,10 +146,7 @@ class Ledger:
         The base before stays, so that the run can be repeated; texts stay, since long-lived rows name old versions.
         """
         before = version - self.every
-        base = self._read("base", [before]).select(COLUMNS)
-        changes = self._read("changes", list(range(before + 1, version + 1)))
-        last = changes.groupBy("job_id").agg(F.max_by(F.struct(*COLUMNS), "version").alias("row")).select("row.*")
-        rows = base.join(last.select("job_id"), "job_id", "left_anti").unionByName(last)
+        rows = self._rows(before, version)
         rows.write.mode("overwrite").parquet(self._path("base", version))
         for old in range(max(0, before - self.every), before):
             remove(self.spark, self._path("changes", old + 1))
@@ -150,7 +156,10 @@ class Ledger:
 
 def run_ledger(ledger: Ledger, version: int, fetched: DataFrame, ok_companies: DataFrame, run_ts: Column, archive_after: int,
                keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """One run: judged rows are kept once, merged without texts, appended.  Returns the changes."""
-    judged = keep(conform_records(fetched, "fetch_ord"), "judged")
+    """One run: judged rows (kept by the caller, as they are read twice) are merged without texts and appended.
+
+    Returns the changes.
+    """
+    judged = conform_records(fetched, "fetch_ord")
     merge = ledger.merge(version, narrow(judged, "fetch_ord"), ok_companies, run_ts, archive_after, keep)
     return ledger.append(version, merge, judged)

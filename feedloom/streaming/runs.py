@@ -65,7 +65,8 @@ def lifecycle_stream(
             df.write.mode("overwrite").parquet(f"{steps}/{name}")
             return spark.read.schema(df.schema).parquet(f"{steps}/{name}")
 
-        run_ledger(ledger, batch_id + 1, fetched(batch), ok_companies(batch), run_ts(batch_id), archive_after, keep)
+        judged = keep(fetched(batch), "judged")
+        run_ledger(ledger, batch_id + 1, judged, ok_companies(batch), run_ts(batch_id), archive_after, keep)
         remove(spark, steps)
 
     run_to_end(stream, run, f"{root}-checkpoint")
@@ -111,10 +112,10 @@ def date_floor(stream: DataFrame, column: str, bound: str) -> DataFrame:
     return stream.where(posted_since(F.col(column), bound))
 
 
-def append_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Append a stream to a fresh shared table until it is used up; read it back."""
+def append_to_table(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
+    """Append a stream to a shared table (a fresh one, unless named) until it is used up; read it back."""
     spark = stream.sparkSession
-    root = scratch_path(spark, label)
+    root = root or scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .option("path", root)
