@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import contained, let, passage, truncate
 from ..rules import RulePack
 
-# Patterns that tie a year to graduation.
-_BEFORE = r"(?:graduat\w+|class of|degree|expected|completion)"
-_AFTER = r"(?:graduat\w+|grads?(?!\w))"
-_YEAR = r"(?<!\w)20[0-9]{2}(?!\w)"
-YEAR_PATTERN = f"(?U){_YEAR}"
-YEAR_CONTEXT_PATTERN = rf"(?iU){_BEFORE}[^0-9]{{0,40}}{_YEAR}|{_YEAR}[^0-9]{{0,40}}{_AFTER}"
+# A year, and what ties it to graduation.
+YEAR_PATTERN = r"(?U)(?<!\w)20[0-9]{2}(?!\w)"
+YEAR_CONTEXT_PATTERN = (
+    r"(?iU)(?:graduat\w+|class of|degree|expected|completion)[^0-9]{0,40}(?<!\w)20[0-9]{2}(?!\w)"
+    r"|(?<!\w)20[0-9]{2}(?!\w)[^0-9]{0,40}(?:graduat\w+|grads?(?!\w))"
+)
 
 
 def sponsorship_hits(text: Column, pack: RulePack) -> Column:

@@ -116,7 +116,11 @@ def explore(
 def explore_page(
     active: DataFrame, new: DataFrame, conditions: Explore, pack: RulePack, by: str, size: int,
 ) -> DataFrame:
-    """The first `size` rows that match, each with `matched`, the number of all that do."""
+    """The first `size` rows that match, in explorer order, each with `matched`, the number of all that do.
+
+    The count needs the tested columns only; the page, at most `size` rows, is ordered after they meet.
+    """
     found = explore(active, new, conditions, pack, by)
     total = found.agg(F.count(F.lit(1)).alias("matched")).withColumn("_one", F.lit(1))
-    return found.limit(size).withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    page = found.limit(size).withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    return page.orderBy(*explorer_order(by))

@@ -111,14 +111,3 @@ def conform_records(df: DataFrame, *extra: str) -> DataFrame:
 
 def conform_health(df: DataFrame, *extra: str) -> DataFrame:
     return _conform(df, HEALTH_FIELDS, extra)
-
-
-def with_typed_dates(df: DataFrame) -> DataFrame:
-    """Typed companions of the text date columns; unknown text becomes NULL."""
-    return df.withColumns(
-        {
-            "date_posted_d": F.try_to_date(F.left("date_posted", F.lit(10)), "yyyy-MM-dd"),
-            "first_seen_ts": F.try_to_timestamp("first_seen"),
-            "last_seen_ts": F.try_to_timestamp("last_seen"),
-        }
-    )
