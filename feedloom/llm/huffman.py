@@ -11,7 +11,7 @@ Blocks are independent of each other.  A decoder reads `MAX_BITS` bits at a time
 all stretches between checkpoints of many blocks advance together as arrays.  Lengths come from the global counts by
 package-merge, so the codes are the best of that limit.
 
-Documents are written in ascending doc_id (NULL last; ties by their ids), in files that Spark ranges by doc_id.  A
+Documents are written in ascending doc_id (NULL last; ties by a digest of their ids), in files that Spark ranges by doc_id.  A
 document may go over several blocks.  Nulls count as empty texts; each document ends with the end id.  Repeated rows are written
 as often as they occur.  An empty table gives empty files.
 """
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, written
-from .common import per_batch
 
 MAX_BITS, BLOCK, STEP = 20, 1 << 15, 128
 END = 2
@@ -99,8 +98,10 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     # A code lies in one 32-bit word or two; its two parts are added, as bits of different codes never meet.
     word, shift = starts >> 5, 64 - (starts & 31) - size
     both = codes[ids] << shift.astype(np.uint64)
-    np.add.at(buffer, word, both >> np.uint64(32))
-    np.add.at(buffer, word + 1, both & np.uint64(0xFFFFFFFF))
+    if len(ids):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        buffer[word[first]] += np.add.reduceat(both >> np.uint64(32), first)
+        buffer[word[first] + 1] += np.add.reduceat(both & np.uint64(0xFFFFFFFF), first)
     payload = buffer.astype(">u4").tobytes()[:(total + 7) // 8]
     return payload, starts[::STEP].astype("<u4").tobytes()
 
@@ -135,39 +136,47 @@ def unpack(blocks: list[tuple[int, bytes, bytes]], table: tuple[np.ndarray, np.n
 
 
 def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, width: int = 4) -> DataFrame:
-    """(doc_id, ids): each text's ids as little-endian integers of `width` bytes, the end id behind; one pass, no shuffle.
+    """(doc_id, ids, counts): each text's ids as little-endian integers of `width` bytes, the end id behind; one pass, no shuffle.
 
-    A vocabulary with ids too large for `width` is an error.
+    Behind the documents of a partition stands one row with `counts`, how often each id occurs in it (int64 by id), and
+    without ids.  A vocabulary with ids too large for `width` is an error.
     """
     from .lib_words import library_codec
 
-    def run(cols):
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = library_codec(file)
         if max(len(codec.pieces) - 1, end) >= 1 << 8 * width:
             raise ValueError(f"{len(codec.pieces)} ids need more than {width} bytes")
         stop, kind = np.array([end], f"<u{width}").tobytes(), f"<u{width}"
-        return {"doc_id": cols["doc_id"], "ids": [np.frombuffer(codec.encode(t), "<u4").astype(kind).tobytes() + stop for t in cols["text"]]}
+        total = np.zeros(max(len(codec.pieces), end + 1), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = [np.frombuffer(codec.encode(t), "<u4").astype(kind).tobytes() + stop for t in part.column(1).to_pylist()]
+                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
+        # The worker goes on to other stages; what it remembered is of no use there.
+        codec.memo.clear()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(per_batch(run, schema), "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def global_counts(rows: DataFrame, width: int = 4) -> np.ndarray:
-    """How often each id occurs: counted per partition, summed by Spark; as long as the vocabulary."""
+def global_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs: the partitions' counts, summed by Spark; as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                data = b"".join(batch.column("ids").slice(start, 256).to_pylist())
-                found = np.bincount(np.frombuffer(data, f"<u{width}"), minlength=len(total))
-                found[:len(total)] += total
-                total = found
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
-
-    sums = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+            for data in batch.column("counts").to_pylist():
+                total = np.frombuffer(data, np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    counted = rows.where("counts IS NOT NULL").select("counts")
+    sums = counted.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     at = sums.column("id").to_numpy()
     out = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
     out[at] = sums.column("n").to_numpy()
@@ -175,9 +184,9 @@ def global_counts(rows: DataFrame, width: int = 4) -> np.ndarray:
 
 
 def write_tokens(rows: DataFrame, folder: str, width: int = 4) -> None:
-    """Write (doc_id, ids) rows, ids of `width` bytes each, as token files."""
+    """Write the rows of `encoded`, ids of `width` bytes each, as token files."""
     spark = rows.sparkSession
-    lengths = code_lengths(global_counts(rows, width))
+    lengths = code_lengths(global_counts(rows))
     codes = canonical_codes(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "code_lengths binary").write.parquet(f"{folder}/lengths")
     schema = pa.schema([
@@ -195,7 +204,7 @@ def write_tokens(rows: DataFrame, folder: str, width: int = 4) -> None:
 
         for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             for doc, data in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
-                rest = np.frombuffer(data, f"<u{width}").astype(np.int64)
+                rest = np.frombuffer(data, f"<u{width}")
                 while len(rest):
                     piece, rest = rest[:BLOCK - held], rest[BLOCK - held:]
                     docs.append(doc or 0)
@@ -211,40 +220,51 @@ def write_tokens(rows: DataFrame, folder: str, width: int = 4) -> None:
             yield block()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("ids")]
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Ties by a digest of the ids: the sort, and the sample it ranges by, hold no whole documents as keys.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    tied = rows.where("counts IS NULL").select("doc_id", "ids", F.md5("ids").alias("tie"))
+    ranged = tied.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie")
     blocks = ranged.mapInArrow(
         run, "block long, doc_ids binary, doc_nulls binary, doc_sizes binary, n_ids long, payload binary, checkpoints binary"
     ).withColumn("part", F.spark_partition_id())
     blocks.write.parquet(f"{folder}/blocks")
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, part, block, nth, ends, ids): the pieces of all documents, decoded from the files."""
+_PIECE = [("doc_id", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("nth", pa.int32()), ("ends", pa.bool_())]
+
+
+def read_tokens(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
+    """(doc_id, part, block, nth, ends, ids): the pieces of all documents, decoded from the files.
+
+    With `digests`, `crc` and `n` (crc32 and number of a piece's ids) stand in place of the ids, which then leave no worker.
+    """
     lengths = np.frombuffer(spark.read.parquet(f"{folder}/lengths").first()["code_lengths"], np.uint8)
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("nth", pa.int32()), ("ends", pa.bool_()), ("ids", pa.binary())
-    ])
+    shown = [("crc", pa.int64()), ("n", pa.int64())] if digests else [("ids", pa.binary())]
+    schema = pa.schema([*_PIECE, *shown])
+
+    def piece(ids: np.ndarray) -> tuple:
+        return (zlib.crc32(ids), len(ids)) if digests else (ids.tobytes(),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                rows = batch.slice(start, 64).to_pylist()
+            for start in range(0, batch.num_rows, 32):
+                rows = batch.slice(start, 32).to_pylist()
                 decoded = unpack([(r["n_ids"], r["payload"], r["checkpoints"]) for r in rows], table)
                 cols: list[list] = [[] for _ in schema]
                 for r, ids in zip(rows, decoded):
                     sizes = np.frombuffer(r["doc_sizes"], "<i8")
-                    cut = np.cumsum(np.abs(sizes))
+                    ids, cut = np.ascontiguousarray(ids, "<u4"), np.cumsum(np.abs(sizes))
                     docs, nulls = np.frombuffer(r["doc_ids"], "<i8").tolist(), np.frombuffer(r["doc_nulls"], np.uint8).tolist()
                     for k, (doc, null, size, end) in enumerate(zip(docs, nulls, sizes.tolist(), cut.tolist())):
-                        values = (None if null else doc, r["part"], r["block"], k, size > 0, ids[end - abs(size):end].astype("<u4").tobytes())
+                        values = (None if null else doc, r["part"], r["block"], k, size > 0, *piece(ids[end - abs(size):end]))
                         for col, v in zip(cols, values):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
+    kinds = "crc long, n long" if digests else "ids binary"
     blocks = spark.read.parquet(f"{folder}/blocks")
-    return blocks.mapInArrow(run, "doc_id long, part int, block long, nth int, ends boolean, ids binary")
+    return blocks.mapInArrow(run, f"doc_id long, part int, block long, nth int, ends boolean, {kinds}")
 
 
 def _crc_joined(a: int, b: int, size: int) -> int:
@@ -270,22 +290,12 @@ def _crc_joined(a: int, b: int, size: int) -> int:
 
 
 def catalogue(pieces: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of all documents, from decoded pieces.
+    """(doc_id, start, n_tokens, ids_crc32) of all documents, from the digests of decoded pieces.
 
     Offsets of the parts are running sums over one row per part; inside a part, over its own pieces.
     """
 
-    def crcs(cols):
-        cols["crc"] = [zlib.crc32(b) for b in cols["ids"]]
-        cols["n"] = [len(b) // 4 for b in cols["ids"]]
-        return cols
-
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("nth", pa.int32()), ("ends", pa.bool_()), ("crc", pa.int64()), ("n", pa.int64())
-    ])
-    narrow = written(pieces.mapInArrow(
-        per_batch(crcs, schema), "doc_id long, part int, block long, nth int, ends boolean, crc long, n long"
-    ), "pieces")
+    narrow = written(pieces, "pieces")
     per_part = narrow.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_part.select(F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("_offset"))
@@ -320,4 +330,4 @@ def tokens_written_and_read(docs: DataFrame, file: str, width: int = 4) -> DataF
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
     write_tokens(written(encoded(docs, file, width=width), "ids"), folder, width)
-    return catalogue(read_tokens(spark, folder))
+    return catalogue(read_tokens(spark, folder, digests=True))

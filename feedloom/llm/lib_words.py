@@ -12,11 +12,31 @@ import struct
 
 from .bpe import Codec
 
+#: Remembered stretches of a worker, while it encodes a partition.
+REMEMBERED = 400_000
+
+
+class Stretches(dict):
+    """Ids by stretch; full, it is emptied.  A second generation costs more in moves than it saves in misses."""
+
+    def __init__(self, make, limit: int = REMEMBERED):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value
+        return value
+
 
 class LibraryCodec(Codec):
     def __init__(self, file: str):
         super().__init__(file)
-        self.model = self.library.model
+        # Of the library only the model, and the normaliser, are called for.
+        self.model, self.library = self.library.model, None
+        self.memo = Stretches(self.chunk)
 
     @staticmethod
     def ranks(merges, vocab):
