@@ -74,8 +74,9 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
         return {"doc_id": cols["doc_id"], "f": [features(t).tobytes() for t in cols["text"]]}
 
     schema = pa.schema([("doc_id", pa.int64()), ("f", pa.binary())])
-    # The list is at most POSITIVES or UNLABELLED ids long.
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+    # The list is at most POSITIVES or UNLABELLED ids long; an id that is repeated gives its least text.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = chosen.groupBy("doc_id").agg(F.min(F.col("text").cast("binary")).alias("text"))
     found = rows.mapInArrow(per_batch(run, schema), "doc_id long, f binary").toArrow()
     data = sorted(zip(found.column("doc_id").to_pylist(), found.column("f").to_pylist()))
     return np.frombuffer(b"".join(f for _, f in data), np.float32).reshape(-1, N_FEATURES)

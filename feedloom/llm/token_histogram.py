@@ -64,6 +64,21 @@ def token_counts(docs: DataFrame, file: str) -> DataFrame:
     return answers(written(histogram(lengths(docs, file)), "lengths"))
 
 
+def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """(context_limit, docs_up_to, docs_above, total_tokens, truncated_tokens) for any limits, also between lengths.
+
+    One pass over the histogram, combined before the shuffle; one row per limit of the given list.
+    """
+    each = hist.withColumn("context_limit", F.explode(F.array(*[F.lit(int(x)) for x in limits])))
+    fits = F.col("n_tokens") <= F.col("context_limit")
+    return each.groupBy("context_limit").agg(
+        F.sum(F.when(fits, F.col("n_docs")).otherwise(0)).alias("docs_up_to"),
+        F.sum(F.when(fits, 0).otherwise(F.col("n_docs"))).alias("docs_above"),
+        F.sum(F.col("n_tokens") * F.col("n_docs")).alias("total_tokens"),
+        F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("truncated_tokens"),
+    )
+
+
 def quantiles(answer: DataFrame, shares: list[float]) -> DataFrame:
     """(share, n_tokens): the least length that so many of the documents do not exceed."""
     return answer.select(F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"), "share_up_to", "n_tokens").where(

@@ -49,12 +49,15 @@ def path_of(url: Column) -> Column:
 
 
 def entries(rules: DataFrame) -> DataFrame:
-    """(key, text): sorted records.  `r` + rule, NUL, verdict; `h` + host, NUL, lengths of its rules' paths."""
+    """(key, text): sorted records.  `r` + host, SOH, path, NUL, verdict; `h` + host, NUL, lengths of its rules' paths.
+
+    The mark between host and path keeps rules apart whose texts are equal when written together.
+    """
     clean = rules.where("host is not null").select(
         F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
     ).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
     digest = F.udf(lambda s: xxhash.xxh64_intdigest(s.encode()) - (1 << 63), "long")
-    rule = clean.select(F.concat(F.lit("r"), "host", "path").alias("name"), F.col("verdict").alias("value"))
+    rule = clean.select(F.concat(F.lit("r"), "host", F.lit("\x01"), "path").alias("name"), F.col("verdict").alias("value"))
     lengths = clean.groupBy("host").agg(F.array_join(F.sort_array(F.collect_set(F.length("path").cast("string"))), ",").alias("value"))
     host = lengths.select(F.concat(F.lit("h"), "host").alias("name"), "value")
     # Keys are shifted to signed numbers of the same order, so Spark's sort is the array's.
@@ -130,14 +133,14 @@ def judge(array: DigestArray, hosts: list[str], paths: list[str]) -> Iterator[tu
     tails = sorted({s for h in set(hosts) for s in suffixes(h)})
     known = {t: [int(x) for x in v.split(b",")] for t, v in zip(tails, array.find([b"h" + t.encode() for t in tails])) if v is not None}
     candidates = Memo(lambda key: [
-        tail + key[1][:n] for tail in suffixes(key[0]) for n in known.get(tail, ()) if n <= len(key[1])
+        (tail, key[1][:n]) for tail in suffixes(key[0]) for n in known.get(tail, ()) if n <= len(key[1])
     ])
     names = sorted({c for key in zip(hosts, paths) for c in candidates[key]})
-    value = dict(zip(names, array.find([b"r" + c.encode() for c in names])))
+    value = dict(zip(names, array.find([b"r" + "\x01".join(c).encode() for c in names])))
     for key in zip(hosts, paths):
         fits = [c for c in candidates[key] if value[c] is not None]
-        best = min(fits, key=lambda c: (-len(c), c), default=None)
-        yield best, None if best is None else value[best].decode()
+        best = min(fits, key=lambda c: (-len(c[0]) - len(c[1]), c[0] + c[1], c[0]), default=None)
+        yield (None, None) if best is None else (best[0] + best[1], value[best].decode())
 
 
 @functools.cache
@@ -181,7 +184,7 @@ def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     fits = urls.withColumn("_host", F.explode(tails)).join(clean, "_host").where(F.startswith("path", F.col("_path")))
     rule = F.concat("_host", "_path")
-    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), "verdict")).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), "_host", "verdict")).alias("best"))
     return rows.join(best, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
