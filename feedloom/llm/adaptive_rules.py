@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, text_or_empty
+from ..session import written
+from .common import carry, text_hash
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\f\r"
@@ -171,13 +173,24 @@ def verdicts(metrics: DataFrame) -> DataFrame:
 
 
 def metrics_of(docs: DataFrame) -> DataFrame:
-    """Narrow measured rows, without texts."""
-    return measured(docs).select("doc_id", "lang", "source", "_c", *[f"_r_{name}" for name in WIDTHS])
+    """Narrow measured rows: a hash (`_th`) in place of the text."""
+    rows = measured(docs.select("doc_id", "lang", "source", "text")).withColumn("_th", text_hash(F.col("text")))
+    return rows.select("doc_id", "lang", "source", "_th", "_c", *[f"_r_{name}" for name in WIDTHS])
 
 
-def kept_documents(docs: DataFrame, limits: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    return judged(measured(docs), limits).where("_kept").select(*docs.columns)
+def kept_documents(docs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """The documents that pass, with their own columns only, from their (written) `metrics_of`.
+
+    Texts are measured once: the narrow rows are judged, and the documents meet the keys of the rejected ones.
+    """
+    bad = judged(metrics, fences(sketches(metrics))).where(~F.col("_kept"))
+    keys = ("doc_id", "lang", "source", "_th")
+    rejected = written(bad.select(*[F.col(c).alias(f"_bad_{c}") for c in keys]).distinct(), "rejected")
+    rows = carry(docs, "doc_id", "lang", "source", "text").withColumn("_th", text_hash(F.col("text")))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_bad_{c}"))
+    return rows.join(rejected, same, "left_anti").select("_row.*")
 
 
 def rules_sql(documents: str = "documents") -> str:

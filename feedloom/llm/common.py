@@ -81,6 +81,15 @@ def per_batch(fn: Callable[[dict[str, list]], dict[str, list] | None], schema: p
     return run
 
 
+def carry(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns an operator reads, and the whole row as one struct `_row`.
+
+    Its own columns so never meet the caller's, whatever their names; `_row.*` gives those back.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(*needed, whole.alias("_row"))
+
+
 def text_hash(text: Column) -> Column:
     """Tells the texts of rows with one doc_id apart; NULL has a value of its own."""
     return F.coalesce(F.xxhash64(text), F.lit(0))

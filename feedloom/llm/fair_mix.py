@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_sum
+from .common import WORD, carry, running_sum
 
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 #: Slices of a source's shuffle hash (hex digits) and of a unit of virtual time.
@@ -108,17 +108,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
     A document without words is kept once: it costs nothing.
     """
-    names = docs.columns
     found = mixed(units_of(docs), weights, share, epochs).select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
         F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("_copies"),
     ).where("_copies > 0")
-    sized = docs.withColumn("_words", size_of(F.col("text")))
+    sized = carry(docs, "doc_id", "source", "text").withColumn("_words", size_of(F.col("text")))
     joined = sized.join(found, [
         F.col("doc_id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_source")),
         F.col("_words") == F.col("_size"),
     ])
-    return joined.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    return joined.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def mix_sql(documents: str = "documents") -> str:

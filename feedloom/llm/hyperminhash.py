@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import split_join
 from ..session import written
-from .common import Memo, chained, mixed, per_batch, text_hash, words
+from .common import Memo, carry, chained, mixed, per_batch, text_hash, words
 from .components import connected
 
 BUCKETS, ROWS = 200, 5
@@ -159,15 +160,15 @@ def memberships(nodes: DataFrame) -> DataFrame:
 def shared_buckets(members: DataFrame) -> DataFrame:
     """Memberships in buckets of two nodes or more, with the bucket's size."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return members.join(sizes, "bucket")
+    return split_join(members, sizes, ["bucket"])
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
     """(node, hub): every member of a bucket with the bucket's hub, each pair once."""
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = shared.select("bucket", "node").join(degree, "node")
+    ranked = split_join(shared.select("bucket", "node"), degree, ["node"])
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
-    pairs = shared.select("bucket", "node").join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket")
+    pairs = split_join(shared.select("bucket", "node"), hubs.select("bucket", F.col("hub.node").alias("hub")), ["bucket"])
     return pairs.where("node <> hub").select("node", "hub").distinct()
 
 
@@ -327,7 +328,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "digest", "first", F.coalesce("_r", "node").alias("root")
     )
     firsts = placed.groupBy("root").agg(F.min("first").alias("top"))
-    classes = placed.join(firsts, "root").select("digest", "top")
+    classes = split_join(placed, firsts, ["root"]).select("digest", "top")
     found = rows.select("doc_id", "th", "digest", "n").join(classes, "digest", "left")
     alone = F.col("n") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("top.id"))
@@ -343,16 +344,15 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without words all stay, except that repeated rows (equal in doc_id and text) stay once.
     """
-    names = docs.columns
     rows = written(near_duplicates(docs, k, percent).select("doc_id", "th", "first"), "verdicts")
     copies = rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"), F.bool_and("first").alias("first"))
     marked = written(copies.where("n > 1 or not first"), "marked").withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))
-    hashed = docs.withColumn("_t", text_hash(F.col("text")))
-    single = hashed.join(if_small(marked), same, "left_anti").select(*names)
+    hashed = carry(docs, "doc_id", "text").withColumn("_t", text_hash(F.col("text")))
+    single = hashed.join(if_small(marked), same, "left_anti").select("_row.*")
     again = marked.where("first")
     if not again.limit(1).count():
         return single
-    nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(*names))
+    nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_row"))
     repeated = hashed.join(if_small(again), same).withColumn("_nth", nth).where("_nth = 1")
-    return single.unionByName(repeated.select(*names))
+    return single.unionByName(repeated.select("_row.*"))

@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import split_join
 from ..session import written
-from .common import per_batch, text_hash, words
+from .common import carry, per_batch, text_hash, words
 
 #: The floor of 12 words is the last before hits in documents that share no 50 words with another rise steeply (README).
 SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 12, 50
@@ -98,13 +99,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, len): spans that occurred before, each once."""
     every = written(span_rows(docs), "spans")
     counted = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    hits = written(every.join(counted, "key", "left_semi"), "repeated")
+    hits = written(split_join(every, counted, ["key"], "left_semi"), "repeated")
     place = F.struct(
         F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"), F.col("pos").alias("pos")
     )
     first = hits.groupBy("key").agg(F.min(place).alias("first"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos")))
-    return hits.join(first, "key").where(later).select("doc_id", "th", "pos", "len")
+    return split_join(hits, first, ["key"]).where(later).select("doc_id", "th", "pos", "len")
 
 
 def _cut(text: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
@@ -119,7 +120,7 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     """The rows with `_runs`, their list of spans to remove (NULL: none)."""
     runs = repeated_spans(docs).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "len")).alias("_runs"))
     runs = written(runs, "runs").withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    rows = docs.withColumn("_t", text_hash(F.col("text")))
+    rows = carry(docs, "doc_id", "text").withColumn("_t", text_hash(F.col("text")))
     return rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
 
 
@@ -152,8 +153,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Documents of which nothing but white space is left go; those that had no words before stay as they are.
     """
-    names = docs.columns
-
     @F.pandas_udf("string")
     def cut(text, runs):
         import pandas as pd
@@ -166,10 +165,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     hit = F.col("_runs").isNotNull()
     # Untouched rows send NULL to the worker and keep their text.
     left = cut(F.when(hit, F.col("text").cast("binary")), F.col("_runs"))
-    changed = joined.withColumn("_left", left).withColumn("text", F.when(hit, F.col("_left")).otherwise(F.col("text")))
-    changed = changed.where(~hit | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in names:
-        changed = changed.withColumn(
-            "n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        )
-    return changed.select(*names)
+    changed = joined.withColumn("_left", left).where(~hit | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
+    row = F.col("_row").withField("text", F.when(hit, F.col("_left")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kept = F.when(hit, F.length("_left")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", kept)
+    return changed.select(row.alias("_row")).select("_row.*")
