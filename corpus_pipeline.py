@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as Parquet to the shared
 folder and reads it back as the next stage's documents.  All stages but the last return the columns of documents.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns of any
+name; what becomes of them is stated in its operator's module.  Documents without words fail the base rules; where a later
+stage meets them alone they stay (stage 2 keeps repeated rows once).  The last stage encodes a NULL text as an empty one.
 """
 
 from __future__ import annotations
@@ -19,8 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fences of their language and source."""
-    limits = written(adaptive_rules.fences(adaptive_rules.sketches(adaptive_rules.measured(docs))), "fences")
-    return adaptive_rules.kept_documents(docs, limits)
+    return adaptive_rules.kept_documents(docs, written(adaptive_rules.metrics_of(docs), "rules"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
