@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
 import random
@@ -62,6 +63,15 @@ def test_urls(spark):
     for limit in (1 << 20, 0):  # the array, and the join for rule sets too large for it
         got = {r[0]: tuple(r[1:]) for r in url_filter.judged_urls(rows, rules, max_bytes=limit).collect()}
         assert got == {i: brute(u) for i, u in enumerate(urls)}
+    # Rules whose host and path are equal when written together are rules apart; NULL hosts, repeats and both verdicts.
+    twins = spark.createDataFrame(
+        [("net", "", "block"), ("ne", "t", "allow"), (None, "/x", "block"), ("b.org", "/a", "allow"), ("b.org", "/a", "block"), ("b.org", "/a", "allow")],
+        "host string, path string, verdict string",
+    )
+    some = spark.createDataFrame([(1, "http://net/x"), (2, "http://ne/t"), (3, "http://c.b.org/a/" + "q" * 50_000)], "page_id long, url string")
+    for limit in (1 << 20, 0):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged_urls(some, twins, max_bytes=limit).collect()}
+        assert got == {1: ("net", "block"), 2: (None, "allow"), 3: ("b.org/a", "block")}
     assert url_filter.judged_urls(rows.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judged_urls(rows, rules.limit(0)).collect()} == {"allow"}
 
@@ -287,7 +297,11 @@ def test_token_files(spark, odd, empty, monkeypatch):
         want.append((d, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     assert got == want
-    assert huffman.tokens_written_and_read(odd, word_bpe_file()).count() == len(ODD)
+    counts = collections.Counter(codec.encode(t) + (2).to_bytes(4, "little") for _, t, *_ in ODD)
+    got = huffman.tokens_written_and_read(odd, word_bpe_file()).collect()
+    assert collections.Counter((r["n_tokens"], r["ids_crc32"]) for r in got) == collections.Counter(
+        {(len(ids) // 4, zlib.crc32(ids)): n for ids, n in counts.items()})
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])][-2:] == [None, None]
     assert huffman.tokens_written_and_read(empty, word_bpe_file()).count() == 0
 
 
@@ -420,8 +434,8 @@ def test_rules(spark, odd, empty):
     assert not any(got[500 + i]["kept"] for i in range(5)) and all(got[600 + i]["kept"] for i in range(150))
     found = {(r["doc_id"], *(r[c] for c in adaptive_rules.COUNTS)) for r in adaptive_rules.verdicts(adaptive_rules.metrics_of(odd)).collect()}
     assert found == {(d, *brute(t)) for d, t, *_ in ODD}
-    limits = adaptive_rules.fences(adaptive_rules.sketches(adaptive_rules.measured(odd)))
-    assert adaptive_rules.kept_documents(odd, limits).columns == odd.columns
+    kept_odd = adaptive_rules.kept_documents(odd, adaptive_rules.metrics_of(odd))
+    assert kept_odd.columns == odd.columns
     assert adaptive_rules.verdicts(adaptive_rules.metrics_of(empty)).count() == 0
 
 
@@ -437,6 +451,11 @@ def test_token_counts(spark, odd, empty, monkeypatch):
     for x, r in got.items():
         assert (r["n_docs"], r["docs_up_to"], r["docs_above"]) == (lengths.count(x), sum(v <= x for v in lengths), sum(v > x for v in lengths))
         assert (r["total_tokens"], r["truncated_tokens"]) == (sum(lengths), sum(min(v, x) for v in lengths))
+    limits = [0, 1, 7, 10 ** 6, *range(lengths[-1] - 3, lengths[-1] + 2)]
+    hist = spark.createDataFrame(collections.Counter(lengths).items(), "n_tokens long, n_docs long")
+    for r in token_histogram.at_limits(hist, limits).collect():
+        x = r["context_limit"]
+        assert tuple(r)[1:] == (sum(v <= x for v in lengths), sum(v > x for v in lengths), sum(lengths), sum(min(v, x) for v in lengths))
     middle = token_histogram.quantiles(answer, [0.5, 1.0]).collect()
     assert {r["share"]: r["n_tokens"] for r in middle} == {0.5: lengths[(len(lengths) + 1) // 2 - 1], 1.0: lengths[-1]}
     assert token_histogram.token_counts(odd, word_bpe_file()).agg(F.sum("n_docs")).first()[0] == len(ODD)
@@ -455,6 +474,30 @@ def test_pipeline(spark, odd, empty):
             out.collect()
 
 
+#: Names that the stages give columns of their own.
+OWN_NAMES = [
+    "_c", "_lang", "_source", "_kept", "_base_failed", "_r_symbols", "_f_symbols", "_th", "_bad_doc_id", "_row", "_id", "_t", "_n", "_r", "_nth",
+    "_runs", "_left", "_size", "_copies", "_words", "_each", "_dealt", "key", "first", "root", "bucket", "node", "n_rows", "target", "taken",
+]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    import corpus_pipeline
+
+    text = lambda i: ". ".join(" ".join(prose(9 * i + s, 14, 10**6)) for s in range(6)) + "."
+    rows = [(i % 38, text(i % 36), "en" if i % 3 else None, f"s{i % 2}", 1) for i in range(40)]
+    plain = spark.createDataFrame(rows, DOCS)
+    extra = plain.withColumns({name: F.concat(F.lit(f"{name} of "), "doc_id") for name in OWN_NAMES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, "")
+        assert out.columns == extra.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c} of {r['doc_id']}" for r in got for c in OWN_NAMES), name
+        want = stage(spark, plain, "").collect()
+        assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(repr(tuple(r)) for r in want), name
+    assert corpus_pipeline.bpe_encoding(spark, extra, "").count() == 40
+
+
 def test_pipeline_stages_on_documents(spark, sf_dir):
     import corpus_pipeline
 
