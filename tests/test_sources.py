@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.paths import dig_text
 from feedloom.operators.identity import first_n_per_key
-from feedloom.plans.run import keep_in, plan_run, run_next, run_once, validate_sources
+from feedloom.plans.run import judge_pages, keep_in, plan_run, run_next, run_once, validate_sources
 from feedloom.rules import POSTING
 from feedloom.schema import DETAIL_SCHEMA, LANDING_SCHEMA, SOURCE_SCHEMA
 from feedloom.sources import boards, endpoints, pages
@@ -395,6 +395,20 @@ def test_a_branch_reads_its_partition_and_parses_a_body_once(spark, tmp_path):
     assert found.records.count() == 11
 
 
+def test_no_text_is_shuffled_on_a_sources_name(spark, tmp_path):
+    ctx = context(spark, [source(), source("Beta", no=2)])
+    plans = {}
+
+    def keep(df, name, by=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep_in(str(tmp_path))(df, name, by)
+
+    judge_pages(spark.createDataFrame([page(BOARD), page({"x": 1}, name="Beta")], LANDING_SCHEMA), replace(ctx, keep=keep))
+    # Pages meet the live sources, records the failed ones and the sources' place rules: by broadcasts of written tables.
+    for name in ("landed", "judged"):
+        assert "BroadcastHashJoin" in plans[name] and "hashpartitioning" not in plans[name], name
+
+
 def test_a_hundred_mappings_are_one_scan(spark):
     names = [f"S{i}" for i in range(100)]
     configs = {n: {"request": {"url": "u"}, "jobs_path": f"p{i}.rows", "fields": {"title": f"t{i}", "source_job_id": "id"}} for i, n in enumerate(names)}
