@@ -449,6 +449,20 @@ def page_rows(spark, folder):
     return rows.select("company", "title", "application_url")
 
 
+@query
+def page_detail_rows(spark, folder):
+    """Listing pages with the text of each posting's own page, which exists for labelled documents."""
+    docs, c = views.feed_docs(spark, folder), _cols()
+    path = F.concat(F.lit("/p/"), c["id"])
+    listing = F.concat(F.lit('<ul><li class="job"><a href="'), path, F.lit('">'), views._escape(c["title"]), F.lit("</a></li></ul>"))
+    own_page = F.concat(F.lit("<html><body><nav>Menu</nav><main>"), c["markup"], F.lit("</main></body></html>"))
+    details = views.feed_details(
+        spark, folder, docs.withColumn("detail_key", F.concat(F.lit("https://feeds.example.com"), path)), own_page
+    )
+    selectors = {"row_selector": "li.job", "title_selector": "a", "detail_selector": "main"}
+    return _run(docs, "html", "", "https://feeds.example.com", listing, pages.html_rows, details, {"*": selectors})
+
+
 def _jsonld_page(c: dict[str, Column]) -> Column:
     address = F.struct(
         F.lit("PostalAddress").alias("@type"), F.lit("Boston").alias("addressLocality"),

@@ -893,6 +893,11 @@ ORACLE.update(
               SELECT *, row_number() OVER (PARTITION BY company, application_url ORDER BY page_id, pos) AS nth FROM found)
             WHERE nth = 1""",
         ),
+        "page_detail_rows": feed(
+            "feed", detailed(), source_job_id="''", title=norm_ws(SENTENCE),
+            description=f"CASE WHEN has_detail THEN {_TEXT} ELSE '' END",
+            application_url="'https://feeds.example.com/p/' || doc_id",
+        ),
         "page_jsonld": feed(
             source_job_id="'REQ-' || doc_id", location="'Boston, MA'", country="lang", employment_type="'FULL_TIME'",
             description=_TEXT, date_posted="'2026-07-06'",

@@ -211,7 +211,7 @@ def test_entry_imports_without_a_session():
 
 
 FAST = ["canonical_urls", "priority_class", "overall_score", "identity_match_tiers", "source_health_fold",
-        "normalize_workday", "page_rows", "stream_lifecycle"]
+        "normalize_workday", "normalize_mixed", "page_rows", "page_detail_rows", "stream_lifecycle", "stream_announce_bounded"]
 
 
 @pytest.mark.parametrize("name", FAST)
