@@ -6,9 +6,10 @@ A saved snapshot costs a full rewrite per run.  A ledger is a folder of tables t
     changes/version=N   narrow rows that run N added or changed, one per job_id
     texts/version=N     (job_id, description, requirements) of rows that are new in run N, or whose text is
 
-State rows hold `text_id`, a hash of their texts, `text_version`, the run that wrote these, and `changed_in`, the run that wrote the
-row: what a row's `lifecycle` says holds for that run, and one that later runs left alone reads as carried or archived.  The merge sees narrow rows only;
-texts are picked for the rows that need them, by their fetch order, and joined back only for outputs that show them.
+State rows hold `text_id`, a hash of their texts, `text_version`, the run that wrote these, and `changed_in`, the run that wrote
+the row: what a row's `lifecycle` says holds for that run, and one that later runs left alone reads as carried or archived.
+The merge sees narrow rows only; texts are picked for the rows that need them, by their fetch order, and joined back only for
+outputs that show them.
 
 Runs are numbered from 1; version 0 is the state a ledger starts with.  Run N reads version N-1 and writes folders of its own
 number, so a run that failed, or a repeated micro-batch, is simply run again.  Which base a version builds on follows from
