@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dom import EDGES, FEATURES, Page, features, read_page
+from .dom import EDGES, Page, features, read_page
 
 PAGES, ROUNDS, RIDGE = 400, 150, 1e-4
 #: Pages of a batch are read together up to so many characters.
