@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, text_or_empty
 from ..session import written
-from .common import carry, text_hash
+from .common import carry, if_small, text_hash
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\f\r"
@@ -190,7 +190,7 @@ def kept_documents(docs: DataFrame, metrics: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"_bad_{c}"))
-    return rows.join(rejected, same, "left_anti").select("_row.*")
+    return rows.join(if_small(rejected), same, "left_anti").select("_row.*")
 
 
 def rules_sql(documents: str = "documents") -> str:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Narrow keys are broadcast up to so many counted rows.
+BROADCAST_ROWS = 1_000_000
+
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -90,6 +93,11 @@ def carry(docs: DataFrame, *needed: str) -> DataFrame:
     return docs.select(*needed, whole.alias("_row"))
 
 
+def if_small(keys: DataFrame) -> DataFrame:
+    """A written table of narrow keys, marked for broadcast if its counted rows are few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def text_hash(text: Column) -> Column:
     """Tells the texts of rows with one doc_id apart; NULL has a value of its own."""
     return F.coalesce(F.xxhash64(text), F.lit(0))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import split_join
 from ..session import written
-from .common import Memo, carry, chained, mixed, per_batch, text_hash, words
+from .common import Memo, carry, chained, if_small, mixed, per_batch, text_hash, words
 from .components import connected
 
 BUCKETS, ROWS = 200, 5
@@ -44,9 +44,6 @@ EMPTY = 0xFFFF
 CELL = 40_000
 #: Hubs that a node is confirmed with before its cluster is looked at.
 HUBS = 2
-#: A list of narrow keys is broadcast up to so many rows (counted first), else joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
 _probes = np.argsort(
     mixed(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(77)).reshape(BUCKETS, BUCKETS), axis=1
 )
@@ -166,17 +163,12 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 def hub_pairs(shared: DataFrame) -> DataFrame:
     """(node, hub): every member of a bucket with the bucket's hub, each pair once."""
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = split_join(shared.select("bucket", "node"), degree, ["node"])
+    ranked = shared.select("bucket", "node").join(degree, "node")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
     pairs = split_join(shared.select("bucket", "node"), hubs.select("bucket", F.col("hub.node").alias("hub")), ["bucket"])
     return pairs.where("node <> hub").select("node", "hub").distinct()
 
 
-def if_small(keys: DataFrame) -> DataFrame:
-    """A written table of narrow keys, marked for broadcast if its counted rows are few."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
-
-
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, set): the sorted shingle hashes of the nodes given, recomputed from the first row of each."""
 

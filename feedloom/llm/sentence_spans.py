@@ -120,7 +120,8 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     """The rows with `_runs`, their list of spans to remove (NULL: none)."""
     runs = repeated_spans(docs).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "len")).alias("_runs"))
     runs = written(runs, "runs").withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    rows = carry(docs, "doc_id", "text").withColumn("_t", text_hash(F.col("text")))
+    # The text crosses the join once, inside its row.
+    rows = carry(docs, "doc_id").withColumn("_t", text_hash(F.col("_row.text")))
     return rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
 
 
@@ -141,7 +142,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
         ("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("words_removed", pa.int64()), ("text", pa.string())
     ])
     rows = _with_runs(docs).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("_runs").alias("runs")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("_row.text").cast("binary").alias("text"), F.col("_runs").alias("runs")
     )
     return rows.mapInArrow(
         per_batch(run, schema), "doc_id long, n_sentences long, n_removed long, words_removed long, text string"
@@ -164,9 +165,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     joined = _with_runs(docs)
     hit = F.col("_runs").isNotNull()
     # Untouched rows send NULL to the worker and keep their text.
-    left = cut(F.when(hit, F.col("text").cast("binary")), F.col("_runs"))
+    left = cut(F.when(hit, F.col("_row.text").cast("binary")), F.col("_runs"))
     changed = joined.withColumn("_left", left).where(~hit | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    row = F.col("_row").withField("text", F.when(hit, F.col("_left")).otherwise(F.col("text")))
+    row = F.col("_row").withField("text", F.when(hit, F.col("_left")).otherwise(F.col("_row.text")))
     if "n_chars" in docs.columns:
         kept = F.when(hit, F.length("_left")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
         row = row.withField("n_chars", kept)
