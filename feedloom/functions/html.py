@@ -10,12 +10,13 @@ from __future__ import annotations
 import html as html_std
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
+from .slices import by_slices
 from .text import let, normalize_ws, text_or_empty
 
 # Elements whose text is not part of the page's text.
@@ -81,14 +82,14 @@ def page_text(markup: str) -> str:
     return "".join(collector.pieces)
 
 
-@pandas_udf(T.StringType())
-def _parse_text(markup: pd.Series) -> pd.Series:
-    return markup.map(page_text, na_action="ignore")
+@arrow_udf(T.StringType())
+def _parse_text(markup: pa.Array) -> pa.Array:
+    return by_slices(lambda v: None if v is None else page_text(v), pa.string(), markup)
 
 
-@pandas_udf(T.StringType())
-def _unescape_all(value: pd.Series) -> pd.Series:
-    return value.map(html_std.unescape, na_action="ignore")
+@arrow_udf(T.StringType())
+def _unescape_all(value: pa.Array) -> pa.Array:
+    return by_slices(lambda v: None if v is None else html_std.unescape(v), pa.string(), value)
 
 
 def decode_common(value: Column) -> Column:

@@ -7,15 +7,16 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.dates import iso_prefix
 from ..functions.html import HIDDEN, strip_html
 from ..functions.labels import lookup
+from ..functions.slices import by_slices
 from ..functions.text import first_filled, normalize_ws
 from ..operators.enrich import enrich
 from ..operators.gates import title_prefilter
@@ -30,12 +31,16 @@ _BLOCK = (
 
 
 # ---------------------------------------------------------------- JSON-LD
+_NUMBERS = ("block", "pos")
+_FIELDS = ("identifier", "title", "location", "country", "place_type", "employment_type", "description", "url", "direct", "posted")
 _POSTING = T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("block", "pos")]
-    + [T.StructField(n, T.StringType()) for n in (
-        "identifier", "title", "location", "country", "place_type", "employment_type", "description", "url", "direct", "posted")]
+    [T.StructField(n, T.IntegerType()) for n in _NUMBERS] + [T.StructField(n, T.StringType()) for n in _FIELDS]
 )
 _FOUND = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("postings", T.ArrayType(_POSTING))])
+_FOUND_ARROW = pa.struct([
+    ("readable", pa.bool_()),
+    ("postings", pa.list_(pa.struct([(n, pa.int32()) for n in _NUMBERS] + [(n, pa.string()) for n in _FIELDS]))),
+])
 
 
 def _text(value) -> str:
@@ -101,11 +106,11 @@ def _job_postings(block: str) -> list[dict]:
     return found
 
 
-@pandas_udf(_FOUND)
-def _postings(pages: pd.Series) -> pd.DataFrame:
+@arrow_udf(_FOUND)
+def _postings(pages: pa.Array) -> pa.Array:
     """Per page, from its blocks: whether one could be read, and the postings of all that could."""
 
-    def read(blocks) -> tuple[bool, list[dict]]:
+    def read(blocks) -> dict:
         readable, out = False, []
         for number, block in enumerate(blocks if blocks is not None else []):
             try:
@@ -114,10 +119,9 @@ def _postings(pages: pd.Series) -> pd.DataFrame:
                 continue
             readable = True
             out.extend(_typed(p, number, i) for i, p in enumerate(found))
-        return readable, out
+        return {"readable": readable, "postings": out}
 
-    rows = [read(blocks) for blocks in pages]
-    return pd.DataFrame({"readable": [r for r, _ in rows], "postings": [p for _, p in rows]})
+    return by_slices(read, _FOUND_ARROW, pages)
 
 
 def with_postings(pages: DataFrame) -> DataFrame:
@@ -263,16 +267,16 @@ class _RowReader(HTMLParser):
         self.captures = [c for c in self.captures if c[0] <= depth]
 
 
-_ROW_TYPE = T.ArrayType(
-    T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "location", "date")])
-)
+_CELLS = ("title", "link", "location", "date")
+_ROW_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in _CELLS]))
+_ROW_ARROW = pa.list_(pa.struct([(n, pa.string()) for n in _CELLS]))
 
 
-@pandas_udf(_ROW_TYPE)
+@arrow_udf(_ROW_TYPE)
 def _read_rows(
-    body: pd.Series, base: pd.Series, row: pd.Series, title: pd.Series,
-    location: pd.Series, date: pd.Series,
-) -> pd.Series:
+    body: pa.Array, base: pa.Array, row: pa.Array, title: pa.Array,
+    location: pa.Array, date: pa.Array,
+) -> pa.Array:
     """Rows of each page by its source's selectors; empty when none matched."""
 
     def read(page, address, row_sel, title_sel, location_sel, date_sel):
@@ -296,11 +300,11 @@ def _read_rows(
             )
         return out
 
-    return pd.Series([read(*r) for r in zip(body, base, row, title, location, date)])
+    return by_slices(read, _ROW_ARROW, body, base, row, title, location, date)
 
 
-@pandas_udf(T.StringType())
-def _read_element(body: pd.Series, selector: pd.Series) -> pd.Series:
+@arrow_udf(T.StringType())
+def _read_element(body: pa.Array, selector: pa.Array) -> pa.Array:
     """Text of the first element a selector picks, NULL when there is none."""
 
     def read(page, wanted):
@@ -314,7 +318,7 @@ def _read_element(body: pd.Series, selector: pd.Series) -> pd.Series:
         reader.close()
         return " ".join(found["text"][0]) if "text" in found else None
 
-    return pd.Series([read(*r) for r in zip(body, selector)])
+    return by_slices(read, pa.string(), body, selector)
 
 
 def _setting(ctx: Context, name: str, default: str = "") -> Column:
