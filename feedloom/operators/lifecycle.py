@@ -216,7 +216,9 @@ def merge_state(
     )
 
     ok = keep(ok_companies.select("company").distinct(), "ok-sources").withColumn("_ok", F.lit(True))
-    absent = split_join(previous.join(winners.select("job_id"), "job_id", "left_anti"), ok, ["company"], "left")
+    # Names find out which rows are absent and whose source answered: a wide row crosses one shuffle, and none on a source's name.
+    names = previous.select("job_id", "company").distinct().join(winners.select("job_id"), "job_id", "left_anti")
+    absent = previous.join(split_join(names, ok, ["company"], "left"), ["job_id", "company"])
     count = F.col("consecutive_missing") + F.when(F.col("_ok"), F.lit(1)).otherwise(F.lit(0))
     closing = F.col("_ok") & (count >= archive_after)
     gone = absent.withColumns(

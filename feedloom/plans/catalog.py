@@ -321,30 +321,43 @@ def record_ids(spark, folder):
     return rows.withColumn("source_job_id", blank).select("doc_id", identity.record_id().alias("record_id"))
 
 
+#: What the merges hold in place of a text.
+TEXT = ("text_key",)
+
+
 def merged(spark, folder) -> lifecycle.Merge:
+    """A merge without texts: rows name theirs by `text_key`."""
+    known, ok = views.history(spark, folder), views.ok_sources(spark, folder)
     return lifecycle.merge_state(
-        views.fetched(spark, folder), views.previous_state(spark, folder),
-        views.archived_state(spark, folder), views.ok_sources(spark, folder),
-        run_ts(FETCH_TS), PACK.archive_after_missing_runs, written,
+        views.fetched(spark, folder, known=known, ok=ok, carry=TEXT), views.previous_state(spark, folder, known, TEXT),
+        views.archived_state(spark, folder, known, TEXT), ok,
+        run_ts(FETCH_TS), PACK.archive_after_missing_runs, written, TEXT,
     )
 
 
+def whole(merge: lifecycle.Merge, spark, folder) -> lifecycle.Merge:
+    """The merge with its texts, for outputs that hold them."""
+    return lifecycle.Merge(views.with_texts(merge.state, spark, folder))
+
+
 def judged_merge(spark, folder) -> lifecycle.Merge:
-    """The merge a real run makes: fetched rows are gated and scored first."""
+    """The merge a real run makes: fetched rows are gated and scored first.  It holds no texts, and fetched rows name none."""
+    known, ok = views.history(spark, folder), views.ok_sources(spark, folder)
     scores = judge_records(
-        views.fetched(spark, folder), views.sources(spark, folder), PACK, run_ts()
+        views.fetched(spark, folder, ok=ok), views.sources(spark, folder), PACK, run_ts()
     )
-    fresh = written(scores.drop("description", "requirements"), "judged")
+    fresh = written(scores.drop("description", "requirements"), "judged").withColumn("text_key", F.lit(None).cast("string"))
     return lifecycle.merge_state(
-        fresh, views.previous_state(spark, folder), views.archived_state(spark, folder),
-        views.ok_sources(spark, folder), run_ts(FETCH_TS), PACK.archive_after_missing_runs, written,
+        fresh, views.previous_state(spark, folder, known, TEXT), views.archived_state(spark, folder, known, TEXT),
+        ok, run_ts(FETCH_TS), PACK.archive_after_missing_runs, written, TEXT,
     )
 
 
 @query
 def identity_match_tiers(spark, folder):
-    fresh = views.fetched(spark, folder).withColumn("job_id", identity.record_id())
-    found = lifecycle.resolve(fresh, views.previous_state(spark, folder), views.archived_state(spark, folder))
+    known = views.history(spark, folder)
+    fresh = views.fetched(spark, folder, known=known).withColumn("job_id", identity.record_id())
+    found = lifecycle.resolve(fresh, views.previous_state(spark, folder, known), views.archived_state(spark, folder, known))
     return found.select(
         "fetch_ord", lifecycle.match_tier(F.col("rank")).alias("tier"),
         F.coalesce("history.job_id", F.lit("")).alias("known_as"),
@@ -581,21 +594,21 @@ def new_only(spark, folder):
 def saved_records(spark, folder):
     """The active rows, saved as JSON lines and loaded again."""
     path = scratch_path(spark, "active")
-    state.save_records(merged(spark, folder).active, path, run_ts(FETCH_TS), "json")
+    state.save_records(whole(merged(spark, folder), spark, folder).active, path, run_ts(FETCH_TS), "json")
     return state.load_records(spark, path, "json").select("job_id", "title", "application_url", "first_seen")
 
 
 @query
 def saved_envelope(spark, folder):
     path = scratch_path(spark, "active")
-    state.save_records(merged(spark, folder).active, path, run_ts(FETCH_TS))
+    state.save_records(whole(merged(spark, folder), spark, folder).active, path, run_ts(FETCH_TS))
     return spark.read.schema("generated_at STRING, count BIGINT").json(f"{path}/envelope")
 
 
 @query
 def saved_csv(spark, folder):
     path = scratch_path(spark, "csv")
-    state.save_csv(merged(spark, folder).active, path)
+    state.save_csv(whole(merged(spark, folder), spark, folder).active, path)
     return state.load_csv(spark, path).select("job_id", "title", "application_url", "first_seen")
 
 
@@ -611,7 +624,7 @@ def run_outputs(spark, folder):
     """All outputs of a run whose digest was delivered; its rows are saved as announced."""
     path = scratch_path(spark, "run")
     state.write_outputs(
-        judged_merge(spark, folder), source_health_step(spark, folder), views.sources(spark, folder), path,
+        whole(judged_merge(spark, folder), spark, folder), source_health_step(spark, folder), views.sources(spark, folder), path,
         run_ts(FETCH_TS), PACK, deliver=lambda digest: True,
     )
     return state.load_records(spark, f"{path}/active").select("job_id", "announced")
