@@ -17,12 +17,12 @@ from .views import FETCH_TS, PARTS, REMEMBERED, run_ts
 @query
 def stream_lifecycle(spark, folder):
     root = scratch_path(spark, "lifecycle")
+    known, ok = views.history(spark, folder, texts=True), views.ok_sources(spark, folder)
     state = runs.lifecycle_stream(
         runs.table_stream(spark, folder, "documents"),
-        lambda batch: views.fetched(batch.sparkSession, folder, batch),
-        views.previous_state(spark, folder), views.archived_state(spark, folder),
-        lambda batch: views.ok_sources(batch.sparkSession, folder),
-        lambda batch_id: run_ts(FETCH_TS), PACK.archive_after_missing_runs, root,
+        lambda batch: views.fetched(batch.sparkSession, folder, batch, ok=ok),
+        views.previous_state(spark, folder, known), views.archived_state(spark, folder, known),
+        lambda batch: ok, lambda batch_id: run_ts(FETCH_TS), PACK.archive_after_missing_runs, root,
     )
     return state.select(*catalog._STATE)
 
@@ -54,13 +54,13 @@ def in_turns(spark: SparkSession, parts: list[DataFrame], play: Callable[[DataFr
 def stream_lifecycle_runs(spark, folder):
     """Three runs of a ledger, each over a third of the documents: rows go missing, close and reopen."""
     root, docs = scratch_path(spark, "lifecycle"), views.table(spark, folder, "documents")
+    known, ok = views.history(spark, folder, texts=True), views.ok_sources(spark, folder)
     state = in_turns(
         spark, [docs.where(F.col("doc_id") % 3 == n) for n in range(3)],
         lambda stream: runs.lifecycle_stream(
-            stream, lambda batch: views.fetched(batch.sparkSession, folder, batch),
-            views.previous_state(spark, folder), views.archived_state(spark, folder),
-            lambda batch: views.ok_sources(batch.sparkSession, folder),
-            lambda batch_id: run_ts(FETCH_TS), PACK.archive_after_missing_runs, root, every=2,
+            stream, lambda batch: views.fetched(batch.sparkSession, folder, batch, ok=ok),
+            views.previous_state(spark, folder, known), views.archived_state(spark, folder, known),
+            lambda batch: ok, lambda batch_id: run_ts(FETCH_TS), PACK.archive_after_missing_runs, root, every=2,
         ),
     )
     return state.select(*catalog._STATE)
