@@ -18,6 +18,7 @@ as often as they occur.  An empty table gives empty files.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -149,16 +150,19 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
         codec = library_codec(file)
         if max(len(codec.pieces) - 1, end) >= 1 << 8 * width:
             raise ValueError(f"{len(codec.pieces)} ids need more than {width} bytes")
-        stop, kind = np.array([end], f"<u{width}").tobytes(), f"<u{width}"
+        kind = f"<u{width}"
         total = np.zeros(max(len(codec.pieces), end + 1), np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [np.frombuffer(codec.encode(t), "<u4").astype(kind).tobytes() + stop for t in part.column(1).to_pylist()]
-                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
-        # The worker goes on to other stages; what it remembered is of no use there.
-        codec.memo.clear()
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                found, ends = codec.encode_all(part.column(1).to_pylist())
+                flat = np.insert(found.astype(kind), ends, end)
+                total += np.bincount(flat, minlength=len(total))
+                data, cuts = flat.tobytes(), (width * (ends + np.arange(1, len(ends) + 1))).tolist()
+                ids = pa.array([data[a:b] for a, b in zip([0, *cuts], cuts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.nulls(len(ids), pa.binary())], schema=schema)
+        # The worker may go on to other stages, where what it remembers is of no use.
+        codec.keep()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -267,25 +271,30 @@ def read_tokens(spark: SparkSession, folder: str, digests: bool = False) -> Data
     return blocks.mapInArrow(run, f"doc_id long, part int, block long, nth int, ends boolean, {kinds}")
 
 
+def _applied(matrix: list[int], v: int) -> int:
+    out = 0
+    for row in matrix:
+        if v & 1:
+            out ^= row
+        v >>= 1
+    return out
+
+
+@functools.cache
+def _zero_bits(power: int) -> list[int]:
+    """What appending 2 ** power zero bits does to a crc32, by its bits."""
+    if not power:
+        return [0xEDB88320, *(1 << i for i in range(31))]
+    half = _zero_bits(power - 1)
+    return [_applied(half, x) for x in half]
+
+
 def _crc_joined(a: int, b: int, size: int) -> int:
     """crc32 of two stretches from theirs; `size` bytes are in the second."""
-    rows = [0xEDB88320, *(1 << i for i in range(31))]  # appending one zero bit
-
-    def times(m, v):
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[i]
-            v >>= 1
-            i += 1
-        return out
-
-    squared = lambda m: [times(m, x) for x in m]
-    m, bits = rows, 8 * size
-    while bits:
-        if bits & 1:
-            a = times(m, a)
-        m, bits = squared(m), bits >> 1
+    bits = 8 * size
+    for power in range(bits.bit_length()):
+        if bits >> power & 1:
+            a = _applied(_zero_bits(power), a)
     return a ^ b
 
 

@@ -256,6 +256,35 @@ def test_bpe_equals_the_library():
         assert codec.encode("some words " * 50) == whole
 
 
+@pytest.mark.parametrize("easy", [True, False])
+def test_unknown_words_of_a_slice_take_one_library_call(monkeypatch, easy):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(word_bpe_file())
+    marks = [chr(c) for c in [*range(0x260), *range(0x2000, 0x2070)]]
+    texts = [None, *TEXTS, "it's 'sad x'\u2019s #49406 #2 '' 12", *[f"{c} A{c}b{c}'S 1{c}{c}" for c in marks]] + [" ".join(prose(3, 400))] * 2
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    codec = lib_words.LibraryCodec(word_bpe_file())
+    codec.easy &= easy
+    calls, asked = [], codec.library_ids
+    monkeypatch.setattr(codec, "library_ids", lambda words: calls.append(len(words)) or asked(words))
+
+    def encoded():
+        ids, ends = codec.encode_all(texts)
+        return [x.tolist() for x in np.split(ids, ends)[:-1]]
+
+    assert encoded() == want and len(calls) == 1
+    assert encoded() == want and len(calls) == 1
+    assert not len(codec.encode_all([])[0]) and [len(x) for x in codec.encode_all([""])] == [0, 1]
+    # With little memory, and pieces within words that look like their ends.
+    for name, value in (("AT_ONCE", 40), ("REMEMBERED", 60), ("KEPT", 7)):
+        monkeypatch.setattr(lib_words, name, value)
+    monkeypatch.setattr(codec, "ends", np.ones_like(codec.ends))
+    codec.keep()
+    assert len(codec.memo) == len(codec.size) == codec.fixed + 7
+    assert encoded() == want and len(calls) > 10 and len(codec.memo) < 600
+
+
 def test_merges_of_long_words_are_those_of_short_ones():
     rng = random.Random(1)
     pairs = {(a, b): (r, 10 + r) for r, (a, b) in enumerate(rng.sample([(a, b) for a in range(14) for b in range(14)], 40))}
@@ -284,6 +313,15 @@ def test_code_lengths_are_best():
         assert (got * np.array(counts)).sum() == best and got.max() <= limit
 
 
+def test_joined_crcs_reuse_their_matrices():
+    rng = random.Random(6)
+    huffman._zero_bits.cache_clear()
+    for n in [0, 1, 4, *[rng.randrange(10**5) for _ in range(50)]]:
+        a, b = rng.randbytes(33), rng.randbytes(n)
+        assert huffman._crc_joined(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+    assert huffman._zero_bits.cache_info().misses <= 21
+
+
 def test_token_files(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(huffman, "BLOCK", 300)
     rows = [(i * 3 % 97, " ".join(prose(i, i * 7 % 500)), "en", "s", 1) for i in range(97)]
