@@ -6,7 +6,7 @@ them against the library's whole-text encoding.
 
 A slice of texts is cut into words by Arrow's kernels, and only its different words become Python strings.  Words are numbered,
 and their ids lie one behind the other in one array, from which those of the slice are gathered.  All words of a slice that
-are not known yet go to the library in one call.
+are not known yet go to the library together.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .bpe import Codec
 REMEMBERED, KEPT = 400_000, 150_000
 #: Ids remembered for each of them on average, at most.
 IDS_EACH = 8
-#: Characters that are cut into words at once, and a part of a text more.
-AT_ONCE = 1 << 21
+#: Characters that are cut into words at once, and a part of a text more; unknown words of one call, whose answer is large.
+AT_ONCE, ASKED = 1 << 21, 1 << 14
 #: The split that Arrow's kernels can do, and all it cuts out from between letters (their \s lacks the vertical tab).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BETWEEN = r"'s|'t|'re|'ve|'m|'ll|'d|\pN|[^\s\x0b\pL\pN]+"
@@ -117,7 +117,8 @@ class LibraryCodec(Codec):
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         new = np.flatnonzero(at >= len(self.size))
         if len(new):
-            ids, size = self.library_ids([words[i] for i in new.tolist()])
+            found = [self.library_ids([words[i] for i in new[k:k + ASKED].tolist()]) for k in range(0, len(new), ASKED)]
+            ids, size = (np.concatenate(x) for x in zip(*found))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
